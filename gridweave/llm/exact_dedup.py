@@ -1,9 +1,9 @@
 """Exact dedup by deterministic block naming (operator 8), in DataFrame operations only.
 
 Each lower-cased text is cut into blocks of a fixed number of characters.  Equal blocks get
-equal integer names and different blocks different ones: the distinct blocks are dealt into
-buckets by hash, sorted inside a bucket, and the name is ``rank * buckets + bucket``; no name
-depends on a hash being free of collisions.  Neighbouring names are then paired, the distinct
+equal integer names and different blocks different ones: blocks that share a hash with another
+row are dealt into buckets, the distinct ones sorted inside a bucket, and the name is
+``rank * buckets + bucket``; no name depends on a hash being free of collisions.  Neighbouring names are then paired, the distinct
 pairs are named in the same way, and so on until a document has one name.  Documents that
 needed the same number of blocks and have the same name are equal, and only they.
 """
@@ -13,19 +13,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, settle
+from .common import ascii_lower, bounded_broadcast, settle
 
 BLOCK_CHARS = 4096
 NAME_BUCKETS = 4096
 _NO_ID = -(2**63)
 
 
-def _names(keys: DataFrame, cols: list[str], buckets: int) -> DataFrame:
-    """``cols`` distinct, and an integer ``name`` that belongs to that value alone."""
-    deal = F.pmod(F.xxhash64(*cols), F.lit(buckets)).cast("long")
-    each = keys.groupBy(*cols).agg(F.lit(1).alias("_one")).withColumn("_bucket", deal)
+def _named(rows: DataFrame, cols: list[str], buckets: int) -> DataFrame:
+    """``rows`` with an integer name, (kind, value), for the value of ``cols``, which go.
+
+    A value whose 64-bit hash no other row has differs from all others; the hash is its name
+    (kind 0).  Only the others have to be sorted and joined (kind 1).  The repeated hashes are
+    broadcast if they are few, else joined by a shuffle.
+    """
+    rows = rows.withColumn("_hash", F.xxhash64(*cols))
+    again = settle(rows.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_hash"))
+    again = bounded_broadcast(again, again.count())
+    name = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value")).alias("name")
+    rest = [c for c in rows.columns if c not in (*cols, "_hash")]
+    single = rows.join(again, "_hash", "left_anti").select(*rest, name(0, F.col("_hash")))
+    many = rows.join(again, "_hash", "left_semi")
+    each = many.groupBy(*cols).agg(F.lit(1).alias("_one")).withColumn("_bucket", F.pmod(F.xxhash64(*cols), F.lit(buckets)).cast("long"))
     rank = F.row_number().over(Window.partitionBy("_bucket").orderBy(*cols)).cast("long")
-    return each.select(*cols, (rank * buckets + F.col("_bucket")).alias("name"))
+    names = each.select(*cols, name(1, rank * buckets + F.col("_bucket")))
+    return settle(single.unionByName(many.join(names, cols).select(*rest, "name")))
 
 
 def block_identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, buckets: int = NAME_BUCKETS) -> DataFrame:
@@ -36,11 +48,9 @@ def block_identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     low = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("key"), low.alias("low"))
     base = base.withColumn("sha", F.sha2("low", 256)).withColumn("n", F.greatest(F.lit(1), F.ceil(F.length("low") / F.lit(float(block_chars)))).cast("int"))
-    at = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("pos")
-    blocks = base.select("key", "sha", F.col("n").alias("n_blocks"), at, "low")
+    blocks = base.select("key", "sha", F.col("n").alias("n_blocks"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("pos"), "low")
     blocks = blocks.select("key", "sha", "n_blocks", "pos", F.substring("low", F.col("pos") * block_chars + 1, F.lit(block_chars)).alias("block"))
-    named = blocks.join(_names(blocks, ["block"], buckets), "block").select("key", "sha", "n_blocks", "pos", "name")
-    named = settle(named)
+    named = _named(blocks, ["block"], buckets)
     done = named.where("n_blocks = 1").select("key", "sha", "n_blocks", "name").distinct()
     left = named.where("n_blocks > 1").withColumn("n", F.col("n_blocks"))
     most = left.agg(F.max("n_blocks")).first()[0] or 1
@@ -48,8 +58,8 @@ def block_identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         pair = F.struct("pos", "name")
         halves = left.groupBy("key", "sha", "n_blocks", "n", F.floor(F.col("pos") / 2).cast("int").alias("half"))
         two = halves.agg(F.min(pair).alias("a"), F.max(pair).alias("b"))
-        two = two.select("key", "sha", "n_blocks", ((F.col("n") + 1) / 2).cast("int").alias("n"), F.col("half").alias("pos"), F.col("a.name").alias("a"), F.when(F.col("b.pos") > F.col("a.pos"), F.col("b.name")).otherwise(F.lit(-1).cast("long")).alias("b"))
-        left = settle(two.join(_names(two, ["a", "b"], buckets), ["a", "b"]).select("key", "sha", "n_blocks", "n", "pos", "name"))
+        two = two.select("key", "sha", "n_blocks", ((F.col("n") + 1) / 2).cast("int").alias("n"), F.col("half").alias("pos"), F.col("a.name").alias("a"), F.when(F.col("b.pos") > F.col("a.pos"), F.col("b.name")).otherwise(F.struct(F.lit(-1).alias("kind"), F.lit(0).cast("long").alias("value"))).alias("b"))
+        left = _named(two, ["a", "b"], buckets)
         done = done.unionByName(left.where("n = 1").select("key", "sha", "n_blocks", "name"))
         left, most = left.where("n > 1"), (most + 1) // 2
     return done
