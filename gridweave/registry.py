@@ -1,11 +1,195 @@
-"""Queries over grids and the SQL that states them."""
+"""Queries over grids made from the tables, and the SQL that states them."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import kernels
+from .functions.projections import forward, inverse
+from .model import Grid, Resampler, cell_type
+from .operators import geometry as geo
+from .operators import reproject as rp
+from .operators import tiles as tl
+
+GLOBE = Grid("+proj=longlat", -180.0, 90.0, 5.625, 32, 64, "Float64")
+PLANE_COLS = 50  # columns of the grid made from orders
+CELL = 20_000.0
+PROJECTIONS = ("sinu", "cea", "merc", "mill", "gall", "gnom", "laea", "aea", "vandg")
+PARAMETER = ("moll", "eck4", "eck6")
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{table}.parquet")
+
+
+def globe_pixels(spark: SparkSession, d: str) -> DataFrame:
+    """Global 32 x 64 grids from the vectors: 32 vectors a grid; only whole grids."""
+    e = _read(spark, d, "embeddings")
+    whole = e.agg(F.expr("count(*) div 32").alias("n")).first().n
+    each = e.where(F.col("vec_id") < whole * 32).select(F.expr("vec_id div 32").alias("raster_id"), (F.col("vec_id") % 32).cast("int").alias("row"), F.posexplode("embedding").alias("col", "value"))
+    return each.withColumn("value", F.col("value").cast("double"))
+
+
+GLOBE_SQL = "SELECT vec_id // 32 AS raster_id, vec_id % 32 AS row, c AS col, CAST(embedding[c + 1] AS DOUBLE) AS value FROM embeddings, range(0, 64) r(c) WHERE vec_id < (SELECT count(*) // 32 * 32 FROM embeddings)"
+
+
+PLANE = Grid("+proj=cea", -PLANE_COLS * CELL / 2, 5_000_000.0, CELL, 30, PLANE_COLS, "Float64")
+
+
+def plane_pixels(spark: SparkSession, d: str) -> DataFrame:
+    """Grids of 30 x 50 orders' prices, in metres."""
+    at = f"o_orderkey div {PLANE_COLS}"
+    return _read(spark, d, "orders").selectExpr(f"({at}) div 30 AS raster_id", f"CAST(({at}) % 30 AS INT) AS row", f"CAST(o_orderkey % {PLANE_COLS} AS INT) AS col", "o_totalprice AS value")
+
+
+PLANE_SQL = "SELECT o_orderkey // 50 // 30 AS raster_id, o_orderkey // 50 % 30 AS row, o_orderkey % 50 AS col, o_totalprice AS value FROM orders"
+
+
+def _out_sql(cells_of: str, src: Grid, fill: float, agg: str | None, support: int = 0, weight: str = "1e0", pixels: str = GLOBE_SQL, dst: Grid | None = None) -> str:
+    """A reprojection as SQL; ``cells_of`` is a query of the output's cells, ``dst`` its grid."""
+    m = geo.pixel_map_sql(cells_of, dst, src, support)
+    rect = f"SELECT row AS dst_row, col AS dst_col, ul_col, ul_row, least(lr_col, {src.n_cols - 1}) AS lr_col, lr_row FROM ({m}) m WHERE valid AND ul_col <= {src.n_cols - 1} AND lr_row <= {src.n_rows - 1}"
+    if agg is None:
+        got = "SELECT p.raster_id, r.dst_row, r.dst_col, p.value FROM rect r JOIN pixels p ON p.row = r.ul_row AND p.col = r.ul_col"
+    else:
+        got = f"SELECT raster_id, dst_row, dst_col, {agg} AS value FROM (SELECT *, {weight} AS w FROM (SELECT p.raster_id, p.row, p.col, p.value, r.dst_row, r.dst_col, r.ul_col, r.ul_row, r.lr_col, r.lr_row FROM rect r JOIN pixels p ON p.row BETWEEN r.ul_row AND r.lr_row AND p.col BETWEEN r.ul_col AND r.lr_col) j) k GROUP BY 1, 2, 3"
+    return f"WITH pixels AS ({pixels}), rect AS ({rect}), got AS ({got}) SELECT i.raster_id, c.row, c.col, round(coalesce(g.value, {fill}), 6) AS value FROM (SELECT DISTINCT raster_id FROM pixels) i CROSS JOIN ({cells_of}) c LEFT JOIN got g ON g.raster_id = i.raster_id AND g.dst_row = c.row AND g.dst_col = c.col"
+
+
+AGG = {"nearest": None, "min": "min(value)", "max": "max(value)", "mean": "avg(value)"}
+
+
+def fixed_output(proj: str) -> Grid:
+    """Output grids whose cell borders avoid those of the source; sizing has queries of its own."""
+    span = {"sinu": (-20015077.3, 10007538.6), "cea": (-20015077.3, 6370990.1), "merc": (-20015077.3, 15000011.7)}[proj]
+    ps = 625471.1
+    return Grid(f"+proj={proj}", span[0], span[1], ps, int(2 * span[1] / ps), 64, "Float64")
+
+
+def _cells_sql(g: Grid) -> str:
+    return f"SELECT r AS row, c AS col FROM range(0, {g.n_rows}) a(r), range(0, {g.n_cols}) b(c)"
+
+
+PLANE_OUT = Grid("+proj=sinu", PLANE.ulx + 3333.3, 5_555_777.7, 34_567.8, 17, 27, "Float64")
+
+
+def queries() -> dict[str, Query]:
+    q: dict[str, Query] = {}
+    for r in AGG:
+        for proj in ("sinu", "merc", "cea"):
+            q[f"reproject_{r}_{proj}"] = lambda s, d, r=r, p=proj: rp.reproject(globe_pixels(s, d), GLOBE, fixed_output(p), r).withColumn("value", F.round("value", 6))
+    for r in kernels.KERNELS:
+        q[f"reproject_{r}"] = lambda s, d, r=r: rp.reproject(plane_pixels(s, d), PLANE, PLANE_OUT, r).withColumn("value", F.round("value", 4))
+    q["reproject_sized_sinu"] = lambda s, d: rp.reproject(globe_pixels(s, d), GLOBE, geo.output_grid(s, GLOBE, "+proj=sinu"))
+    for proj in (*PROJECTIONS, *PARAMETER):
+        q[f"proj_{proj}_fwd"] = lambda s, d, p=proj: geo._chain(_points(s, d), [dict(zip(("x", "y"), forward(p, "lam", "phi"), strict=True))]).selectExpr("id", "round(x, 3) AS x", "round(y, 3) AS y")
+        q[f"proj_{proj}_roundtrip"] = _roundtrip(proj)
+    q["cell_to_projected"] = lambda s, d: geo.cells(s, 32, 64).selectExpr("row", "col", *[f"{v} AS {k}" for k, v in zip("xy", geo.to_projected(GLOBE), strict=True)])
+    q["projected_to_cell"] = lambda s, d: _points(s, d).selectExpr("id", *[f"round({v}, 9) AS {k}" for k, v in zip(("col", "row"), geo.to_raster(GLOBE, "degrees(lam)", "degrees(phi)"), strict=True)])
+    for mode in ("strict", "corrected"):
+        q[f"projected_minbox_{mode}"] = lambda s, d, m=mode: geo.projected_minbox(s, GLOBE, "sinu", m).selectExpr(*[f"round({c}, 3) AS {c}" for c in ("ulx", "uly", "lrx", "lry")])
+    size = ["round(ulx, 3) AS ulx", "round(uly, 3) AS uly", "round(pixel_size, 3) AS pixel_size", "n_rows", "n_cols"]
+    q["output_size_diag"] = lambda s, d: geo.output_size(s, GLOBE, "sinu").selectExpr(*size)
+    q["output_size_maxdim"] = lambda s, d: geo.output_size(s, GLOBE, "cea", max_dim=100).selectExpr(*size)
+    for name, (rows, cols, ts, ps, n) in BLOCKS.items():
+        q[f"block_partition_{name}"] = lambda s, d, a=(rows, cols, ts, ps, n): geo.block_partition(s, *a)
+    q["pixel_map_sinu"] = lambda s, d: geo.pixel_map(geo.cells(s, fixed_output("sinu").n_rows, 64), fixed_output("sinu"), GLOBE)
+    q["raster_minbox_per_block"] = lambda s, d: geo.raster_minbox(geo.block_partition(s, fixed_output("sinu").n_rows, 64, 8), fixed_output("sinu"), GLOBE)
+    q["kernel_values"] = lambda s, d: s.range(0, 81).selectExpr("id", *[f"round({k('((id - 40)/10e0)')}, 9) AS {n}" for n, k in kernels.KERNELS.items()])
+    q["mean_wraparound_u8"] = lambda s, d: rp.wrapping_mean(_read(s, d, "part").selectExpr("p_partkey div 10 AS cell", "p_size*5 AS value"), ["cell"], cell_type("Byte"))
+    q["rasterize_counts_u16"] = lambda s, d: _read(s, d, "lineitem").groupBy((F.col("l_orderkey") % 60).alias("row"), (F.col("l_suppkey") % 50).alias("col")).agg(F.count(F.lit(1)).alias("value"))
+    q["tile_split"] = lambda s, d: tl.split_area(geo.block_partition(s, 100, 130, 37), 16).selectExpr("part_id", "tile_row", "tile_col", "ul_col", "ul_row", "lr_col", "lr_row")
+    q["tile_file_offset"] = lambda s, d: geo.cells(s, 40, 50).select("row", "col", tl.cell_offset(TILED, F.col("row").cast("long"), F.col("col").cast("long"), 1000).alias("offset"))
+    q["tile_roundtrip"] = lambda s, d: tl.to_pixels(tl.to_tiles(globe_pixels(s, d), Grid("", 0, 0, 1, 32, 64, tile_size=10)))
+    q["raster_compare_badpixels"] = lambda s, d: rp.compare(globe_pixels(s, d), globe_pixels(s, d).withColumn("value", F.expr("value + CASE WHEN (row + col) % 7 = 0 THEN 0.01e0 ELSE 0.0005e0 END")))
+    q["timing_summary"] = lambda s, d: rp.timing_summary(_timing(s, d)).selectExpr(*[f"round({c}, 6) AS {c}" for c in rp.TIMES])
+    q["geotiff_roundtrip"] = geotiff_roundtrip
+    return q
+
+
+BLOCKS = {"small": (180, 360, 1024, 1, 1000), "big": (21600, 43200, 1024, 1, 1000), "huge": (104424, 161190, 1024, 1, 1000), "worker_assign": (5000, 7000, 256, 6, 7)}
+TILED = Grid("", 0, 0, 1, 40, 50, "UInt16", tile_size=16)
+POINTS = "SELECT c_custkey AS id, radians((c_custkey*37 % 3400)/10e0 - 170e0) AS lam, radians((c_custkey*53 % 1600)/10e0 - 80e0) AS phi FROM customer"
+
+
+def _points(s: SparkSession, d: str) -> DataFrame:
+    return _read(s, d, "customer").selectExpr("c_custkey AS id", "radians((c_custkey*37 % 3400)/10e0 - 170e0) AS lam", "radians((c_custkey*53 % 1600)/10e0 - 80e0) AS phi")
+
+
+def _back(proj: str) -> list[dict[str, str]]:
+    return [dict(zip(("x", "y"), forward(proj, "lam", "phi"), strict=True)), dict(zip(("lam2", "phi2"), inverse(proj, "x", "y"), strict=True))]
+
+
+ROUNDTRIP = "coalesce(abs(lam2 - lam) < 1e-6 AND abs(phi2 - phi) < 1e-6, x IS NULL) AS same"
+
+
+def _roundtrip(proj: str) -> Query:
+    return lambda s, d: geo._chain(_points(s, d), _back(proj)).selectExpr("id", ROUNDTRIP)
+
+
+def _timing(s: SparkSession, d: str) -> DataFrame:
+    e = _read(s, d, "events")
+    return e.groupBy((F.col("user_id") % 8).alias("process")).agg(*[F.sum(F.col("value") * (i + 1)).alias(c) for i, c in enumerate(rp.TIMES)])
+
+
+def geotiff_roundtrip(s: SparkSession, d: str) -> DataFrame:
+    """A grid written as a tiled file and read again, in the session's shared folder."""
+    import tempfile
+
+    from .sources.bigtiff import options, register
+
+    register(s)
+    g = Grid("+proj=longlat", -180.0, 90.0, 5.625, 32, 64, "Float64", tile_size=16)
+    folder = (s.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp()).removeprefix("file://")
+    path = tempfile.mktemp(suffix=".tif", dir=folder)
+    one = globe_pixels(s, d).where("raster_id = 0").drop("raster_id")
+    tl.to_tiles(one, g).write.format("gridtiff").options(**options(g)).mode("overwrite").save(path)
+    return tl.to_pixels(s.read.format("gridtiff").load(path)).select("row", "col", "value")
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    q: dict[str, str] = {}
+    for r, agg in AGG.items():
+        for proj in ("sinu", "merc", "cea"):
+            g = fixed_output(proj)
+            q[f"reproject_{r}_{proj}"] = _out_sql(_cells_sql(g), GLOBE, 0.0, agg, dst=g)
+    for r, kernel in kernels.KERNELS.items():
+        support = Resampler(r).support
+        weight = rp.weight_sql(kernel, support, PLANE, PLANE_OUT)
+        q[f"reproject_{r}"] = _out_sql(_cells_sql(PLANE_OUT), PLANE, 0.0, "sum(w*value)/nullif(sum(w), 0e0)", support, weight, PLANE_SQL, PLANE_OUT).replace(", 6) AS value", ", 4) AS value")
+    for proj in PROJECTIONS:
+        x, y = forward(proj, "lam", "phi")
+        q[f"proj_{proj}_fwd"] = f"SELECT id, round({x}, 3) AS x, round({y}, 3) AS y FROM ({POINTS}) p"
+        first, second = _back(proj)
+        sql = f"SELECT *, {', '.join(f'{v} AS {k}' for k, v in first.items())} FROM ({POINTS}) p"
+        q[f"proj_{proj}_roundtrip"] = f"SELECT id, {ROUNDTRIP} FROM (SELECT *, {', '.join(f'{v} AS {k}' for k, v in second.items())} FROM ({sql}) q) r"
+    x, y = geo.to_projected(GLOBE)
+    q["cell_to_projected"] = f"SELECT row, col, {x} AS x, {y} AS y FROM ({_cells_sql(GLOBE)}) c"
+    col, row = geo.to_raster(GLOBE, "degrees(lam)", "degrees(phi)")
+    q["projected_to_cell"] = f"SELECT id, round({col}, 9) AS col, round({row}, 9) AS row FROM ({POINTS}) p"
+    for mode in ("strict", "corrected"):
+        q[f"projected_minbox_{mode}"] = f"SELECT {', '.join(f'round({c}, 3) AS {c}' for c in ('ulx', 'uly', 'lrx', 'lry'))} FROM ({geo.minbox_sql(GLOBE, 'sinu', mode)}) b"
+    size = "round(ulx, 3) AS ulx, round(uly, 3) AS uly, round(pixel_size, 3) AS pixel_size, n_rows, n_cols"
+    q["output_size_diag"] = f"SELECT {size} FROM ({geo.output_size_sql(GLOBE, 'sinu')}) b"
+    q["output_size_maxdim"] = f"SELECT {size} FROM ({geo.output_size_sql(GLOBE, 'cea', max_dim=100)}) b"
+    for name, a in BLOCKS.items():
+        q[f"block_partition_{name}"] = geo.block_partition_sql(*a)
+    g = fixed_output("sinu")
+    q["pixel_map_sinu"] = f"SELECT row, col, {', '.join(geo.MAP)} FROM ({geo.pixel_map_sql(_cells_sql(g), g, GLOBE)}) m"
+    q["raster_minbox_per_block"] = f"SELECT part_id, min(m.ul_col) AS ul_col, min(m.ul_row) AS ul_row, max(m.lr_col) AS lr_col, max(m.lr_row) AS lr_row FROM ({geo.pixel_map_sql(_cells_sql(g), g, GLOBE)}) m JOIN ({geo.block_partition_sql(g.n_rows, 64, 8)}) b ON m.row BETWEEN b.ul_row AND b.lr_row AND m.col BETWEEN b.ul_col AND b.lr_col WHERE valid AND m.ul_col <= 63 AND m.ul_row <= 31 AND m.lr_col <= 63 AND m.lr_row <= 31 GROUP BY 1"
+    q["kernel_values"] = f"SELECT id, {', '.join(f'round({k("((id - 40)/10e0)")}, 9) AS {n}' for n, k in kernels.KERNELS.items())} FROM range(0, 81) r(id)"
+    q["mean_wraparound_u8"] = "SELECT p_partkey // 10 AS cell, (sum(p_size*5) % 256) // count(*) AS value FROM part GROUP BY 1"
+    q["rasterize_counts_u16"] = "SELECT l_orderkey % 60 AS row, l_suppkey % 50 AS col, count(*) AS value FROM lineitem GROUP BY 1, 2"
+    q["tile_split"] = f"SELECT part_id, t AS tile_row, u AS tile_col, greatest(ul_col, u*16) AS ul_col, greatest(ul_row, t*16) AS ul_row, least(lr_col, u*16 + 15) AS lr_col, least(lr_row, t*16 + 15) AS lr_row FROM ({geo.block_partition_sql(100, 130, 37)}) b JOIN range(0, 7) x(t) ON t BETWEEN ul_row // 16 AND lr_row // 16 JOIN range(0, 9) y(u) ON u BETWEEN ul_col // 16 AND lr_col // 16"
+    q["tile_file_offset"] = f"SELECT row, col, 1000 + (row // 16*4 + col // 16)*512 + (col % 16 + row % 16*16)*2 AS \"offset\" FROM ({_cells_sql(TILED)}) c"
+    q["tile_roundtrip"] = GLOBE_SQL
+    q["geotiff_roundtrip"] = f"SELECT row, col, value FROM ({GLOBE_SQL}) p WHERE raster_id = 0"
+    q["raster_compare_badpixels"] = f"SELECT count(*) AS n_cells, 0 AS n_missing, count(*) FILTER ((row + col) % 7 = 0) AS n_bad FROM ({GLOBE_SQL}) p"
+    times = ", ".join(f"round(avg({c}), 6) AS {c}" for c in rp.TIMES)
+    sums = ", ".join(f"sum(value*{i + 1}) AS {c}" for i, c in enumerate(rp.TIMES))
+    q["timing_summary"] = f"SELECT {times} FROM (SELECT user_id % 8 AS process, {sums} FROM events GROUP BY 1) t"
+    return q
