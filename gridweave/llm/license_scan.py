@@ -72,18 +72,23 @@ RULES = (
     (r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*", "\n"),
     (r"(^|\n)[ \t]*all rights reserved[^\n]*", "\n"),
 )
-#: What counts as punctuation or white space.
-MARKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F“”‘’©]+"
+#: What counts as punctuation or white space, but for line ends.
+MARKS = r"[\x00-\x09\x0B-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F“”‘’©]+"
 
 
-def canonical(text: Column) -> Column:
-    """Canonical form of a whole text; null stays null."""
+def canonical_lines(text: Column) -> Column:
+    """Canonical form of a text in which line ends still stand; null stays null."""
     c = F.lower(text)
     for pattern, to in RULES:
         c = F.regexp_replace(c, pattern, to)
     for a, b in SPELLINGS:
         c = F.replace(c, F.lit(a), F.lit(b))
-    return F.trim(F.regexp_replace(c, MARKS, " "))
+    return F.regexp_replace(c, MARKS, " ")
+
+
+def one_line(canonical: Column) -> Column:
+    """Canonical form of the whole text."""
+    return F.trim(F.regexp_replace(canonical, r"[\n ]+", " "))
 
 
 def known_licenses(spark: SparkSession) -> DataFrame:
@@ -92,7 +97,7 @@ def known_licenses(spark: SparkSession) -> DataFrame:
 
 def license_digests(licenses: DataFrame) -> DataFrame:
     """(digest, license_id), one row per digest; of licences with one canonical text the least id."""
-    text = canonical(F.col("license_text"))
+    text = one_line(canonical_lines(F.col("license_text")))
     d = licenses.select("license_id", text.alias("text")).where("text != ''")
     return d.groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("license_id").alias("license_id"))
 
@@ -110,15 +115,13 @@ def license_scan(docs: DataFrame, licenses: DataFrame | None = None, id_col: str
     """
     licenses = known_licenses(docs.sparkSession) if licenses is None else licenses
     known = license_digests(licenses)
-    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    whole = base.select("doc_id", F.sha2("text", 256).alias("sha"), F.sha2(canonical(F.col("text")), 256).alias("digest"))
-    whole = whole.join(known, "digest", "left")
-    lines = base.select("doc_id", F.sha2("text", 256).alias("sha"), F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
-    lines = lines.select("doc_id", "sha", "at", F.sha2(canonical(F.col("line")), 256).alias("digest")).join(known, "digest")
-    lines = lines.select("doc_id", "sha", "at", "license_id").distinct()  # repeated rows count once
-    found = lines.groupBy(F.col("doc_id").alias("id"), F.col("sha").alias("s")).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_set("license_id")), ",").alias("notices"))
-    out = whole.join(found, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("sha") == F.col("s")), "left")
-    return out.select("doc_id", "digest", "license_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_notices"), "notices")
+    base = docs.select(F.col(id_col).alias("doc_id"), F.sha2(F.coalesce(text_col, F.lit("")), 256).alias("sha"), canonical_lines(F.coalesce(text_col, F.lit(""))).alias("text"))
+    lines = base.select("doc_id", "sha", F.sha2(one_line(F.col("text")), 256).alias("digest"), F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
+    lines = lines.select("doc_id", "sha", "digest", "at", F.sha2(F.trim("line"), 256).alias("line_digest"))
+    lines = lines.join(known.select(F.col("digest").alias("line_digest"), F.col("license_id").alias("notice")), "line_digest", "left")
+    texts = lines.groupBy("doc_id", "sha", "digest").agg(F.count_if(F.col("at") == 0).alias("rows"), F.count("notice").alias("n"), F.array_join(F.sort_array(F.collect_set("notice")), ",").alias("notices"))
+    out = texts.join(known, "digest", "left").withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    return out.select("doc_id", "digest", "license_id", (F.col("n") / F.col("rows")).cast("long").alias("n_notices"), F.when(F.col("n") > 0, F.col("notices")).alias("notices"))
 
 
 def oracle_sql() -> str:
@@ -130,7 +133,7 @@ def oracle_sql() -> str:
             c = f"regexp_replace({c}, '{pattern}', {quote(to)}, 'g')"
         for a, b in SPELLINGS:
             c = f"replace({c}, '{a}', '{b}')"
-        return f"trim(regexp_replace({c}, '{MARKS}', ' ', 'g'))"
+        return f"trim(regexp_replace(regexp_replace({c}, '{MARKS}', ' ', 'g'), '[\\n ]+', ' ', 'g'))"
 
     rows = ", ".join(f"({quote(i)}, {quote(t)})" for i, t in LICENSES)
     return f"""
