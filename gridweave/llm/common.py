@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Rows that are broadcast at most (16 bytes each or less); beyond it a shuffle join is used.
-BROADCAST_ROWS = 1_000_000
+#: Rows of ids or pairs of ids (some tens of bytes each) that are broadcast at most; beyond it a
+#: shuffle join is used.
+BROADCAST_ROWS = 500_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -164,10 +164,15 @@ def _direct(lists: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _with(pairs: DataFrame, side: DataFrame, value: str) -> DataFrame:
-    """``pairs`` with the value of a and of b, as a_value and b_value."""
-    for c in ("a", "b"):
-        pairs = pairs.join(side.select(F.col("id").alias(c), F.col(value).alias(f"{c}_{value}")), c)
-    return pairs
+    """``pairs`` with the value of a and of b, as a_value and b_value.
+
+    Few pairs are broadcast to the values, so that only the values of paired documents move.
+    """
+    pairs = settle(pairs)
+    n = pairs.count()
+    few = side.select("id", value).join(bounded_broadcast(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), 2 * n), "id", "left_semi")
+    first = bounded_broadcast(pairs, n).join(few.select(F.col("id").alias("a"), F.col(value).alias(f"a_{value}")), "a")
+    return first.join(few.select(F.col("id").alias("b"), F.col(value).alias(f"b_{value}")), "b")
 
 
 def links(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
@@ -176,8 +181,11 @@ def links(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, D
     base = settle(_described(docs, words, num, den))
     sig = ["sig1", "sig2", "n"]
     classes = base.where("n > 0").groupBy(*sig).agg(F.min("id").alias("rep"))
-    members = base.select("id", *sig).join(classes, sig, "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
-    reps = settle(base.join(classes.withColumnRenamed("rep", "id"), ["id", *sig], "left_semi").select("id", "n", "prefix", "bitmap"))
+    members = base.select("id", *sig).join(classes, sig, "left").select("id", *sig, F.coalesce("rep", "id").alias("rep"))
+    members = settle(members)
+    copies = members.where("id != rep").select("id", *sig)
+    copies = bounded_broadcast(copies, copies.count())
+    reps = settle(base.where("n > 0").join(copies, ["id", *sig], "left_anti").select("id", "n", "prefix", "bitmap"))
     bitmaps = reps.select("id", "bitmap")
     entries = reps.select("id", "n", F.posexplode("prefix").alias("pos", "shingle"))
 
@@ -186,7 +194,7 @@ def links(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, D
     pairs: list[DataFrame] = []
     stars: list[DataFrame] = []
     for turn in range(ROUNDS + 1):
-        stats = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("cnt"), F.min("id").alias("pivot")).where("cnt > 1")
+        stats = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("cnt"), F.min(F.struct("id", "n")).alias("p")).where("cnt > 1").select("shingle", "cnt", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n"))
         hits = settle(entries.join(stats, "shingle"))
         entry = F.struct("id", "n", "pos")
         lists = hits.where(F.col("cnt") <= SHORT_LIST).groupBy("shingle").agg(F.collect_list(entry).alias("all"))
@@ -196,12 +204,11 @@ def links(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, D
             a, b = long.select("shingle", entry.alias("a")), long.select("shingle", entry.alias("b"))
             pairs.append(_direct(a.join(b, "shingle"), num, den))
             break
-        star = settle(long.where("id != pivot").select("id", "n", "pivot").distinct())
+        star = settle(long.where("id != pivot").select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("pivot").alias("b"), F.col("pivot_n").alias("nb")).distinct())
         if star.isEmpty():
             break
         # what is surely far from its pivot needs no sets
-        close = _with(star.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("pivot").alias("b")), bitmaps, "bitmap")
-        close = close.join(reps.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
+        close = _with(star, bitmaps, "bitmap")
         bound = (F.col("na") + F.col("nb") - _distance(F.col("a_bitmap"), F.col("b_bitmap"))) / 2
         close = settle(close.where(bound >= zone * (F.col("na") + F.col("nb") - bound)).select("a", "na", "b", "nb"))
         found = _with(close, settle(_sets(docs, close.select(F.explode(F.array("a", "b")).alias("id")), words)), "set")
