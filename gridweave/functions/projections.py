@@ -111,7 +111,7 @@ def _vandg_inverse(s: Srs, x: str, y: str) -> tuple[str, str]:
     a1 = f"(({c1} - {c2}*{c2}/(3e0*{c3}))/{c3})"
     m1 = f"(2e0*sqrt(greatest(0e0, -{a1}/3e0)))"
     ratio = f"(3e0*{w}/nullif({a1}*{m1}, 0e0))"
-    theta = f"(acos(CASE WHEN abs({ratio}) <= 1e0 THEN {ratio} WHEN abs({ratio}) <= 1.0000001e0 THEN sign({ratio}) END)/3e0)"
+    theta = f"(acos(greatest(-1e0, least(1e0, {ratio})))/3e0)"
     phi = f"CASE WHEN {v} = 0e0 THEN 0e0 ELSE sign({v})*{PI}e0*(-{m1}*cos({theta} + {PI}e0/3e0) - {c2}/(3e0*{c3})) END"
     lam = f"CASE WHEN {u} = 0e0 THEN 0e0 ELSE {PI}e0*({d} - 1e0 + sqrt(1e0 + 2e0*({u}*{u} - {v}*{v}) + {d}*{d}))/(2e0*nullif({u}, 0e0)) END"
     return lam, phi
