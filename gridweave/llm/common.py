@@ -132,3 +132,30 @@ def word_hashes(data: np.ndarray, offs: np.ndarray, kind: str = "blank") -> tupl
     np.cumsum((low.astype(np.uint64) + np.uint64(1)) * pw[: data.size], out=total[1:])
     h = (total[e] - total[s]) * inv[s]
     return mix(h + (e - s).astype(np.uint64) * _MUL), np.searchsorted(offs, s, "right") - 1
+
+
+def line_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hash, number of words and document index of each line of many texts, ends apart.
+
+    A text has a line more than it has line ends; words stand between blanks, tabs and returns.
+    """
+    n = offs.size - 1
+    ends = np.flatnonzero(data == 10)
+    # a line starts at each text and after each line end; a text's own start comes first
+    start = np.concatenate([offs[:-1], ends + 1])
+    doc = np.concatenate([np.arange(n), np.searchsorted(offs, ends, "right") - 1])
+    order = np.lexsort((start, doc))
+    start, doc = start[order], doc[order]
+    last = np.concatenate([doc[1:] != doc[:-1], [True]]) if doc.size else np.zeros(0, bool)
+    end = np.where(last, offs[doc + 1], np.append(start[1:], 0) - 1)
+    word = ~((data == 32) | (data == 9) | (data == 13) | (data == 10))
+    first = word.copy()
+    first[1:] &= ~word[:-1]
+    cut = offs[:-1][(offs[:-1] < data.size) & (np.diff(offs) > 0)]
+    first[cut] = word[cut]
+    count = np.concatenate([[0], np.cumsum(first)])
+    pw, inv = _powers(data.size + 1)
+    total = np.zeros(data.size + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * pw[: data.size], out=total[1:])
+    h = (total[end] - total[start]) * inv[start]
+    return mix(h + (end - start).astype(np.uint64) * _MUL), count[end] - count[start], doc

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix
+from .common import line_hashes, mix, settle, slices, texts
 
 MIN_WORDS = 8
 
@@ -44,20 +44,15 @@ def line_windows(hashes: np.ndarray, words: np.ndarray, doc: np.ndarray, min_wor
 
 def _windows(docs: DataFrame, min_words: int) -> DataFrame:
     """(key, at, lines, print, name): a row for each window; ``docs`` has key and text."""
-    lines = F.split("text", "\n", -1)
-    hashed = docs.select("key", F.transform(lines, lambda x: F.xxhash64(x)).alias("h"), F.transform(lines, lambda x: F.size(F.filter(F.split(x, "[ \t\r]+"), lambda w: w != ""))).alias("w"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h, w = b.column("h"), b.column("w")
-            offs = h.offsets.to_numpy()
-            doc = np.repeat(np.arange(b.num_rows), np.diff(offs))
-            hashes = mix(h.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
-            first, size, least, name = line_windows(hashes, w.flatten().to_numpy(zero_copy_only=False), doc, min_words)
-            at = (first - (offs[:-1] - offs[0])[doc[first]]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(doc[first])), pa.array(at), pa.array(size.astype(np.int32)), pa.array(least.view(np.int64)), pa.array(name.view(np.int64))], ["key", "at", "lines", "print", "name"])
+        for b in slices(batches, "text"):
+            hashes, words, doc = line_hashes(*texts(b.column("text")))
+            first, size, least, name = line_windows(hashes, words, doc, min_words)
+            at = first - np.searchsorted(doc, doc[first])
+            yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(doc[first])), pa.array(at.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(least.view(np.int64)), pa.array(name.view(np.int64))], ["key", "at", "lines", "print", "name"])
 
-    return hashed.mapInArrow(cut, "key struct<id:long,sha:long>, at int, lines int, print long, name long")
+    return docs.mapInArrow(cut, "key struct<id:long,sha:long>, at int, lines int, print long, name long")
 
 
 def _key(id_col: str, text: Column) -> Column:
@@ -69,14 +64,14 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     The first copy of a run, by id and line, stays; null ids come first.  A null or empty text
     stays as it is.  Rows that repeat both id and text are one document.  Columns named
-    ``_key`` or ``_gone`` in the input are not allowed; other names may be any.  An empty table
+    ``_key``, ``_gone`` or ``_lines`` in the input are not allowed; other names may be any.  An empty table
     gives an empty result.
     """
-    for name in ("_key", "_gone"):
+    for name in ("_key", "_gone", "_lines"):
         if name in docs.columns:
             raise ValueError(f"column {name} is reserved")
     base = docs.withColumn("_key", _key(id_col, F.col(text_col)))
-    win = _windows(base.select(F.col("_key").alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), min_words)
+    win = settle(_windows(base.select(F.col("_key").alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), min_words))
     prints = win.groupBy("print").agg(F.min(F.struct("key", "at")).alias("a"), F.max(F.struct("key", "at")).alias("b"))
     prints = prints.where("a != b").select("print")
     again = win.join(prints, "print")
@@ -84,6 +79,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     later = again.join(firsts.select("name", "first"), "name").where(F.struct("key", "at") > F.col("first"))
     gone = later.select("key", F.explode(F.sequence("at", F.col("at") + F.col("lines") - 1)).alias("line"))
     gone = gone.groupBy("key").agg(F.collect_set("line").alias("_gone")).withColumnRenamed("key", "_key")
-    kept = F.array_join(F.transform(F.filter(F.arrays_zip(F.split(text_col, "\n", -1).alias("line"), F.sequence(F.lit(0), F.size(F.split(text_col, "\n", -1)) - 1).alias("at")), lambda x: ~F.array_contains("_gone", x["at"])), lambda x: x["line"]), "\n")
-    out = base.join(gone, "_key", "left")
+    out = base.join(gone, "_key", "left").withColumn("_lines", F.when(F.col("_gone").isNotNull(), F.split(text_col, "\n", -1)))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone")
+    kept = F.array_join(F.transform(stay, lambda i: F.get("_lines", i)), "\n")
     return out.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept)).select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce(F.size("_gone"), F.lit(0)).cast("int").alias("_deleted_lines"))
