@@ -116,9 +116,12 @@ def license_scan(docs: DataFrame, licenses: DataFrame | None = None, id_col: str
     licenses = known_licenses(docs.sparkSession) if licenses is None else licenses
     known = license_digests(licenses)
     base = docs.select(F.col(id_col).alias("doc_id"), F.sha2(F.coalesce(text_col, F.lit("")), 256).alias("sha"), canonical_lines(F.coalesce(text_col, F.lit(""))).alias("text"))
-    lines = base.select("doc_id", "sha", F.sha2(one_line(F.col("text")), 256).alias("digest"), F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
+    # the digest of the text is made before its lines are rows, else it would be made for each line
+    base = base.select("doc_id", "sha", F.sha2(one_line(F.col("text")), 256).alias("digest"), F.split("text", "\n", -1).alias("all"))
+    lines = base.select("doc_id", "sha", "digest", F.posexplode("all").alias("at", "line"))
     lines = lines.select("doc_id", "sha", "digest", "at", F.sha2(F.trim("line"), 256).alias("line_digest"))
     lines = lines.join(known.select(F.col("digest").alias("line_digest"), F.col("license_id").alias("notice")), "line_digest", "left")
+    lines = lines.where("at = 0 or notice is not null")
     texts = lines.groupBy("doc_id", "sha", "digest").agg(F.count_if(F.col("at") == 0).alias("rows"), F.count("notice").alias("n"), F.array_join(F.sort_array(F.collect_set("notice")), ",").alias("notices"))
     out = texts.join(known, "digest", "left").withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
     return out.select("doc_id", "digest", "license_id", (F.col("n") / F.col("rows")).cast("long").alias("n_notices"), F.when(F.col("n") > 0, F.col("notices")).alias("notices"))
