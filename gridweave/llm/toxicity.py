@@ -108,9 +108,16 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", rows: in
             low = (pairs & ((1 << BITS) - 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), pa.array([low[s:e].tobytes() for s, e in zip(ends, ends[1:], strict=False)], pa.binary())], ["id", "y", "features"])
 
-    got = text.select("id", "y", "text").mapInArrow(extract, "id long, y int, features binary").limit(2 * rows).collect()
-    got.sort(key=lambda r: (r.id, r.features))
-    return Ftrl().fit([(np.frombuffer(r.features, np.int32).astype(np.int64), r.y) for r in got]).compact() if got else None
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted((i, f, y) for b in batches for i, y, f in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True))
+        if got:
+            keep, values, bias = Ftrl().fit([(np.frombuffer(f, np.int32), y) for _, f, y in got]).compact()
+            yield pa.RecordBatch.from_arrays([pa.array([keep.tobytes()], pa.binary()), pa.array([values.tobytes()], pa.binary()), pa.array([bias])], ["keep", "values", "bias"])
+
+    # one task learns from the bounded sample, so the driver sees the compact weights only
+    sample = text.select("id", "y", "text").mapInArrow(extract, "id long, y int, features binary").limit(2 * rows)
+    got = sample.mapInArrow(learn, "keep binary, values binary, bias double").collect()
+    return (np.frombuffer(got[0].keep, np.int32), np.frombuffer(got[0]["values"], np.float32), got[0].bias) if got else None
 
 
 def toxicity_scores(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float] | None, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
