@@ -166,13 +166,17 @@ def _direct(lists: DataFrame, num: int, den: int) -> DataFrame:
 def _with(pairs: DataFrame, side: DataFrame, value: str) -> DataFrame:
     """``pairs`` with the value of a and of b, as a_value and b_value.
 
-    Few pairs are broadcast to the values, so that only the values of paired documents move.
+    Few pairs are broadcast to the values, so that only the values of paired documents move: those
+    of a once for each pair, those of b once for each b.
     """
     pairs = settle(pairs)
     n = pairs.count()
-    few = side.select("id", value).join(bounded_broadcast(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), 2 * n), "id", "left_semi")
-    first = bounded_broadcast(pairs, n).join(few.select(F.col("id").alias("a"), F.col(value).alias(f"a_{value}")), "a")
-    return first.join(few.select(F.col("id").alias("b"), F.col(value).alias(f"b_{value}")), "b")
+
+    def of(end: str) -> DataFrame:
+        ids = bounded_broadcast(pairs.select(F.col(end).alias("id")).distinct(), n)
+        return side.select("id", value).join(ids, "id", "left_semi").select(F.col("id").alias(end), F.col(value).alias(f"{end}_{value}"))
+
+    return bounded_broadcast(pairs, n).join(of("a"), "a").join(of("b"), "b")
 
 
 def links(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
