@@ -49,7 +49,7 @@ def shingle_hashes(data: np.ndarray, offs: np.ndarray, words: int) -> tuple[np.n
     short = (n > 0) & (n < words)
     out = np.zeros(h.size, np.uint64)
     for k in range(words):
-        end = h.size - k
+        end = max(0, h.size - k)  # fewer words than k: not a slice from the back
         out[:end] = mix(out[:end] * np.uint64(0x9E3779B97F4A7C15) + h[k:])
     left = first[1:][d] - np.arange(h.size)
     keep = left >= words

@@ -97,6 +97,12 @@ def test_join_is_exact(spark, monkeypatch, words, num, den, short):
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == {(i, len(s), find(i)) for i, s in sets.items()}
 
 
+@pytest.mark.parametrize("n", range(7))
+def test_join_of_few_words(spark, n):
+    got = ngram_join.components(table(spark, [(1, " ".join(f"w{k}" for k in range(n)))])).collect()
+    assert [(r.doc_id, r.n_shingles, r.component_id) for r in got] == [(1, min(n, max(1, n - 4)), 1)]
+
+
 def test_lines_against_brute_force(spark):
     rows = some()
     seen, gone, texts = {}, defaultdict(set), {}
