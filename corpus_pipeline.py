@@ -35,7 +35,7 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated runs of lines go, and documents of which nothing but white space is left by that."""
-    out = line_dedup.line_dedup(docs).where("_deleted_lines = 0 or trim(text) != ''")
+    out = line_dedup.line_dedup(docs, extend=True).where("_deleted_lines = 0 or trim(text) != ''")
     return out.withColumn("n_chars", F.when(F.col("_deleted_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 

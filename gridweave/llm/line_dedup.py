@@ -5,8 +5,15 @@ a window is named by the hashes of its lines.  From every window the least line
 selected as its fingerprint, so equal windows are sure to select the same line.  Fingerprints
 that stand at one place only are dropped; around the others the windows that hold them, before
 and after, are compared.  Where a window stands at an earlier place already (by id, then line),
-all its lines go.  Overlapping windows join to maximal runs, so a repeated run is deleted whole,
-except for its first copy.
+all its lines go.  Overlapping windows join to runs.
+
+With ``extend``, a match reaches both ends of the repeated run, and with any earlier copy, not
+the first only: the shortest run of ``min_words`` words that ends at a line is a window, too.
+A line of a run R that is repeated and has ``min_words`` words either has that many from R's
+start to itself, then the window that ends at it is in R, or the window from R's start holds it
+and is in R; parts of R are repeated as R is.  So exactly the lines of maximal repeated runs go,
+except for their first copy.  Without ``extend`` the last lines of a run that have fewer words
+stay.
 """
 
 from __future__ import annotations
@@ -23,14 +30,20 @@ from .common import line_hashes, mix, settle, slices, texts
 MIN_WORDS = 8
 
 
-def line_windows(hashes: np.ndarray, words: np.ndarray, doc: np.ndarray, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def line_windows(hashes: np.ndarray, words: np.ndarray, doc: np.ndarray, min_words: int = MIN_WORDS, extend: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first line, lines, fingerprint, name) of each window over the lines of many documents."""
     n = hashes.size
     total = np.concatenate([[0], np.cumsum(words)])
     end = np.searchsorted(total, total[:-1] + min_words, "left")  # first line after the window
     last = np.searchsorted(doc, doc, "right")
     first = np.flatnonzero((end <= last) & (end <= n))
-    end = end[first]
+    if extend:
+        start = np.searchsorted(total, total[1:] - min_words, "right") - 1  # of the window that ends at a line
+        at = np.flatnonzero(start >= np.searchsorted(doc, doc, "left"))
+        at = at[end[start[at]] != at + 1]  # the others are there already
+        first, end = np.concatenate([first, start[at]]), np.concatenate([end[first], at + 1])
+    else:
+        end = end[first]
     size = end - first
     name = np.full(first.size, 0x51ED270B27B4F3CF, np.uint64)
     least = np.full(first.size, 0xFFFFFFFFFFFFFFFF, np.uint64)
@@ -42,13 +55,13 @@ def line_windows(hashes: np.ndarray, words: np.ndarray, doc: np.ndarray, min_wor
     return first, size, least, name
 
 
-def _windows(docs: DataFrame, min_words: int) -> DataFrame:
+def _windows(docs: DataFrame, min_words: int, extend: bool) -> DataFrame:
     """(key, at, lines, print, name): a row for each window; ``docs`` has key and text."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             hashes, words, doc = line_hashes(*texts(b.column("text")))
-            first, size, least, name = line_windows(hashes, words, doc, min_words)
+            first, size, least, name = line_windows(hashes, words, doc, min_words, extend)
             at = first - np.searchsorted(doc, doc[first])
             yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(doc[first])), pa.array(at.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(least.view(np.int64)), pa.array(name.view(np.int64))], ["key", "at", "lines", "print", "name"])
 
@@ -59,10 +72,11 @@ def _key(id_col: str, text: Column) -> Column:
     return F.struct(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.xxhash64(text).alias("sha"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, extend: bool = False) -> DataFrame:
     """The rows and columns of ``docs`` with the repeated lines deleted from ``text_col``.
 
-    The first copy of a run, by id and line, stays; null ids come first.  A null or empty text
+    The first copy of a run, by id and line, stays; null ids come first.  ``extend`` deletes
+    repeated runs to both their ends, else only the windows at each line go.  A null or empty text
     stays as it is.  Rows that repeat both id and text are one document.  Columns named
     ``_key``, ``_gone`` or ``_lines`` in the input are not allowed; other names may be any.  An empty table
     gives an empty result.
@@ -71,7 +85,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if name in docs.columns:
             raise ValueError(f"column {name} is reserved")
     base = docs.withColumn("_key", _key(id_col, F.col(text_col)))
-    win = settle(_windows(base.select(F.col("_key").alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), min_words))
+    win = settle(_windows(base.select(F.col("_key").alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), min_words, extend))
     prints = win.groupBy("print").agg(F.min(F.struct("key", "at")).alias("a"), F.max(F.struct("key", "at")).alias("b"))
     prints = prints.where("a != b").select("print")
     again = win.join(prints, "print")

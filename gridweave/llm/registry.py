@@ -36,7 +36,7 @@ def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.line_dedup(read(spark, sf_dir, "documents"))
+    out = line_dedup.line_dedup(read(spark, sf_dir, "documents"), extend=True)
     return out.select("doc_id", F.col("_deleted_lines").alias("deleted_lines"), F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"), "text")
 
 

@@ -121,6 +121,48 @@ def test_lines_against_brute_force(spark):
     assert sum(map(len, gone.values())) > 50
 
 
+def without_repeated_runs(rows, least=8):
+    """Every maximal run that two places share, of ``least`` words, goes at the later place."""
+    docs = [(i, t.split("\n")) for i, t in sorted(rows)]
+    gone = defaultdict(set)
+    for y, (i, later) in enumerate(docs):
+        for x in range(y + 1):
+            earlier = docs[x][1]
+            for off in range(-len(earlier) + 1, len(later)):  # later[k] against earlier[k - off]
+                if x == y and off <= 0:
+                    continue
+                run = []
+                for k in range(max(0, off), min(len(later), len(earlier) + off) + 1):
+                    if k < min(len(later), len(earlier) + off) and later[k] == earlier[k - off]:
+                        run.append(k)
+                        continue
+                    if sum(len(later[j].split()) for j in run) >= least:
+                        gone[i] |= set(run)
+                    run = []
+    return gone, {i: "\n".join(x for k, x in enumerate(lines) if k not in gone[i]) for i, lines in docs}
+
+
+def test_repeated_runs_go_whole(spark):
+    run = "one two three four five six\nseven eight nine ten"
+    rows = [(1, f"{run}\nthe tail"), (2, f"x\n{run}\nother"), (3, f"y\n{run}\nother"), (4, f"{run}\nthe tail\n\nz")]
+    got = {r.doc_id: r.text for r in line_dedup.line_dedup(table(spark, rows), extend=True).collect()}
+    # 3 shares its last line with 2, which isn't the run's first copy
+    assert got == {1: rows[0][1], 2: "x\nother", 3: "y", 4: "\nz"} == without_repeated_runs(rows)[1]
+    rows = some()
+    gone, texts = without_repeated_runs(rows)
+    got = {r.doc_id: (r.text, r._deleted_lines) for r in line_dedup.line_dedup(table(spark, rows), extend=True).collect()}
+    assert got == {i: (t, len(gone[i])) for i, t in texts.items()}
+
+
+def test_the_line_query_deletes_whole_runs(spark, tmp_path):
+    from gridweave.llm.registry import queries
+
+    rows = [(1, "a b c d e f g h\ntail"), (2, "a b c d e f g h\ntail")]
+    table(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries()["op5_line_dedup"](spark, str(tmp_path)).collect()
+    assert {r.doc_id: (r.text, r.deleted_lines) for r in got} == {1: (rows[0][1], 0), 2: ("", 2)}
+
+
 def test_encoding_is_the_librarys(spark):
     import sentencepiece
     import tokenizers
