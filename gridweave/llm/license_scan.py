@@ -7,6 +7,10 @@ whole canonical texts are joined.
 
 from __future__ import annotations
 
+import re
+import textwrap
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +32,8 @@ SPELLINGS = (
     ("http://", "https://"),
 )
 
-# The texts of public licences and the notices that name one.
+# The texts of public licences and the notices that name one.  More whole licences
+# are in the folder ``licenses`` beside this file, each named by its id.
 LICENSES = (
     ("MIT-notice", "Released under the MIT License."),
     ("Apache-2.0-notice", "Licensed under the Apache License, Version 2.0."),
@@ -66,6 +71,17 @@ LICENSES = (
     ),
 )
 
+# Title lines with which files of a licence begin.
+TITLES = {
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "BSD 0-Clause License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "The 2-Clause BSD License", "BSD 2-Clause Simplified License", "Simplified BSD License", "BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "The 3-Clause BSD License", "BSD 3-Clause New or Revised License", "New BSD License", "Modified BSD License", "BSD License"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+    "Zlib": ("zlib License", "The zlib License"),
+}
+
 
 #: Rules (pattern, replacement) applied in order after lower-casing; both engines read them alike.
 RULES = (
@@ -91,8 +107,43 @@ def one_line(canonical: Column) -> Column:
     return F.trim(F.regexp_replace(canonical, r"[\n ]+", " "))
 
 
+def _bodies(name: str, text: str) -> list[str]:
+    """Forms in which the whole text of a licence is in use, without titles."""
+    out = [text]
+    if name == "ISC":
+        out.append(text.replace("and/or distribute", "and distribute"))
+    if name.startswith("BSD"):  # the clauses as a list without numbers
+        out.append(re.sub(r"(?m)^ *\d\. ", "", text))
+    if "END OF TERMS AND CONDITIONS" in text:  # without the appendix, and without that line, too
+        terms = text[: text.index("END OF TERMS AND CONDITIONS")]
+        out += [terms, f"{terms}END OF TERMS AND CONDITIONS"]
+    if len(text) > 4000:
+        return out
+    # a line that happens to begin with "copyright" counts as a notice, so its wrapping matters
+    forms = {}
+    for body in out:
+        for width in (10**6, *range(60, 101)):
+            lines = [x for part in re.split(r"\n\s*\n", body) for x in textwrap.wrap(part, width, break_on_hyphens=False)]
+            forms.setdefault((body, *[x for x in lines if x.lower().startswith("copyright")]), "\n".join(lines))
+    return [*out, *forms.values()]
+
+
+def license_texts() -> list[tuple[str, str]]:
+    """(id, text) of all known licences and notices, in each form."""
+    whole = [x for x in LICENSES if not x[0].endswith("-notice")]
+    isc = dict(whole)["ISC"]
+    whole.append(("0BSD", re.sub(r", provided that [^.]*\.", ".", isc)))
+    for file in sorted(resources.files(__package__).joinpath("licenses").iterdir(), key=lambda f: f.name):
+        whole.append((file.name.removesuffix(".txt"), file.read_text("utf-8")))
+    out = list(LICENSES)
+    for name, text in whole:
+        for body in _bodies(name, text):
+            out += [(name, body), *[(name, f"{title}\n\n{body}") for title in TITLES.get(name, ())]]
+    return list(dict.fromkeys(out))
+
+
 def known_licenses(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(LICENSES), "license_id string, license_text string")
+    return spark.createDataFrame(license_texts(), "license_id string, license_text string")
 
 
 def license_digests(licenses: DataFrame) -> DataFrame:

@@ -189,6 +189,30 @@ def test_cache_is_used(spark, tmp_path):
     assert spark.read.parquet(folder).count() == n and glob.glob(f"{folder}/*.parquet")
 
 
+def test_usual_licence_files(spark):
+    from pathlib import Path
+
+    folder = Path(license_scan.__file__).parent / "licenses"
+    files = {f.stem: f.read_text() for f in folder.glob("*.txt")}
+    assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense"} <= set(files)
+    short = dict(license_scan.LICENSES)
+    holder = "Copyright (c) 2020 Some One\n"
+    isc = "ISC License\n\n" + holder + "\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n\n" + short["ISC"].split("\n\n")[1]
+    cases = [
+        *files.items(),
+        ("MIT", f"MIT License\n\n{holder}\n{short['MIT']}\n"),
+        ("MIT", f"The MIT License (MIT)\n\n{holder}\n{short['MIT']}\n"),
+        ("ISC", isc),
+        ("ISC", isc.split("\n\n", 1)[1]),
+        ("BSD-3-Clause", f"BSD 3-Clause License\n\n{holder}All rights reserved.\n\n{files['BSD-3-Clause']}"),
+        ("BSD-2-Clause", re.sub(r"(?m)^ *\d\. ", "* ", files["BSD-2-Clause"])),
+        ("Apache-2.0", files["Apache-2.0"].split("   END OF TERMS")[0]),
+        (None, files["MPL-2.0"] + "\nmore"),
+    ]
+    got = {r.doc_id: r.license_id for r in license_scan.license_scan(table(spark, [(i, t) for i, (_, t) in enumerate(cases)])).collect()}
+    assert [got[i] for i in range(len(cases))] == [name for name, _ in cases]
+
+
 def test_prints(spark):
     rows = some(60)
     got = {r.doc_id: r for r in fingerprints.compare_neighbours(table(spark, rows), range_rows=7).collect()}
