@@ -34,6 +34,13 @@ def globe_pixels(spark: SparkSession, d: str) -> DataFrame:
     return each.withColumn("value", F.col("value").cast("double"))
 
 
+def all_pixels(s: SparkSession, d: str) -> DataFrame:
+    """The same grids from all vectors: the last one may have fewer rows."""
+    each = _read(s, d, "embeddings").select(F.expr("vec_id div 32").alias("raster_id"), (F.col("vec_id") % 32).cast("int").alias("row"), F.posexplode("embedding").alias("col", "value"))
+    return each.withColumn("value", F.col("value").cast("double"))
+
+
+ALL_SQL = "SELECT vec_id // 32 AS raster_id, vec_id % 32 AS row, c AS col, CAST(embedding[c + 1] AS DOUBLE) AS value FROM embeddings, range(0, 64) r(c)"
 GLOBE_SQL = "SELECT vec_id // 32 AS raster_id, vec_id % 32 AS row, c AS col, CAST(embedding[c + 1] AS DOUBLE) AS value FROM embeddings, range(0, 64) r(c) WHERE vec_id < (SELECT count(*) // 32 * 32 FROM embeddings)"
 
 
@@ -108,6 +115,14 @@ def queries() -> dict[str, Query]:
     q["raster_compare_badpixels"] = lambda s, d: rp.compare(globe_pixels(s, d), globe_pixels(s, d).withColumn("value", F.expr("value + CASE WHEN (row + col) % 7 = 0 THEN 0.01e0 ELSE 0.0005e0 END")))
     q["timing_summary"] = lambda s, d: rp.timing_summary(_timing(s, d)).selectExpr(*[f"round({c}, 6) AS {c}" for c in rp.TIMES])
     q["geotiff_roundtrip"] = geotiff_roundtrip
+    # the queries over whole grids above, over all vectors
+    for r in AGG:
+        for proj in ("sinu", "merc", "cea"):
+            q[f"reproject_{r}_{proj}_all"] = lambda s, d, r=r, p=proj: rp.reproject(all_pixels(s, d), GLOBE, fixed_output(p), r).withColumn("value", F.round("value", 6))
+    q["reproject_sized_sinu_all"] = lambda s, d: rp.reproject(all_pixels(s, d), GLOBE, geo.output_grid(s, GLOBE, "+proj=sinu"))
+    q["tile_roundtrip_all"] = lambda s, d: tl.to_pixels(tl.to_tiles(_padded(all_pixels(s, d)), Grid("", 0, 0, 1, 32, 64, tile_size=10))).where("value is not null")
+    q["raster_compare_badpixels_all"] = lambda s, d: rp.compare(all_pixels(s, d), all_pixels(s, d).withColumn("value", F.expr("value + CASE WHEN (row + col) % 7 = 0 THEN 0.01e0 ELSE 0.0005e0 END")))
+    q["geotiff_roundtrip_all"] = geotiff_roundtrip_all
     return q
 
 
@@ -151,6 +166,28 @@ def geotiff_roundtrip(s: SparkSession, d: str) -> DataFrame:
     return tl.to_pixels(s.read.format("gridtiff").load(path)).select("row", "col", "value")
 
 
+def _padded(pixels: DataFrame) -> DataFrame:
+    """All 32 x 64 cells of each grid, null where it has none: tiles are whole then."""
+    whole = pixels.select("raster_id").distinct().withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(31)))).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    return whole.join(pixels, ["raster_id", "row", "col"], "left")
+
+
+def geotiff_roundtrip_all(s: SparkSession, d: str) -> DataFrame:
+    """All grids, one below the other, written as one tiled file and read again."""
+    import tempfile
+
+    from .sources.bigtiff import options, register
+
+    register(s)
+    rows = _read(s, d, "embeddings").agg(F.max("vec_id")).first()[0] + 1
+    g = Grid("+proj=longlat", -180.0, 90.0, 5.625, rows, 64, "Float64", tile_size=64)
+    folder = (s.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp()).removeprefix("file://")
+    path = tempfile.mktemp(suffix=".tif", dir=folder)
+    tall = all_pixels(s, d).selectExpr("CAST(raster_id * 32 + row AS INT) AS row", "col", "value")
+    tl.to_tiles(tall, g).write.format("gridtiff").options(**options(g)).mode("overwrite").save(path)
+    return tl.to_pixels(s.read.format("gridtiff").option("tilesPerPartition", 256).load(path)).selectExpr("CAST(row div 32 AS BIGINT) AS raster_id", "row % 32 AS row", "col", "value")
+
+
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     for r, agg in AGG.items():
@@ -189,6 +226,12 @@ def oracle_sql() -> dict[str, str]:
     q["tile_roundtrip"] = GLOBE_SQL
     q["geotiff_roundtrip"] = f"SELECT row, col, value FROM ({GLOBE_SQL}) p WHERE raster_id = 0"
     q["raster_compare_badpixels"] = f"SELECT count(*) AS n_cells, 0 AS n_missing, count(*) FILTER ((row + col) % 7 = 0) AS n_bad FROM ({GLOBE_SQL}) p"
+    for r, agg in AGG.items():
+        for proj in ("sinu", "merc", "cea"):
+            g = fixed_output(proj)
+            q[f"reproject_{r}_{proj}_all"] = _out_sql(_cells_sql(g), GLOBE, 0.0, agg, pixels=ALL_SQL, dst=g)
+    q["tile_roundtrip_all"] = q["geotiff_roundtrip_all"] = ALL_SQL
+    q["raster_compare_badpixels_all"] = f"SELECT count(*) AS n_cells, 0 AS n_missing, count(*) FILTER ((row + col) % 7 = 0) AS n_bad FROM ({ALL_SQL}) p"
     times = ", ".join(f"round(avg({c}), 6) AS {c}" for c in rp.TIMES)
     sums = ", ".join(f"sum(value*{i + 1}) AS {c}" for i, c in enumerate(rp.TIMES))
     q["timing_summary"] = f"SELECT {times} FROM (SELECT user_id % 8 AS process, {sums} FROM events GROUP BY 1) t"

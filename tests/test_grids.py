@@ -134,3 +134,18 @@ def test_job(spark, tmp_path):
 def test_command_line_defaults():
     job = parse_args(["a", "b"])
     assert (job.resampler, job.partition_size, job.tile_size, job.output_ratio) == (Resampler.BILINEAR, 1, 1024, 1.0)
+
+
+@pytest.mark.parametrize("name", ["geotiff_roundtrip_all", "tile_roundtrip_all", "raster_compare_badpixels_all", "reproject_mean_sinu_all", "reproject_nearest_cea_all"])
+def test_all_vectors_are_in_grids(spark, name, tmp_path):
+    import duckdb
+
+    rows = [(i, [float(i * 64 + k) / 7 for k in range(64)]) for i in range(32 + 5)]  # 5 rows of an incomplete grid
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = registry.queries()[name](spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({registry.oracle_sql()[name]}) q").fetchall()
+    got = sorted(map(tuple, got.collect()))
+    assert len(got) == len(want) and got[0][0] == 0 or name.startswith("raster_compare")
+    assert all(g == pytest.approx(w, abs=2e-6) for g, w in zip(got, sorted(want), strict=True))
