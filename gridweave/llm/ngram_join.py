@@ -5,7 +5,8 @@ Each set has a prefix of its rarest shingles; two sets that link share one of th
 prefixes make an index of lists: shingle -> (set, its size, the shingle's position).
 
 * Index level: a pair is skipped from sizes and positions alone where what follows the shingle
-  cannot give the overlap that is needed.  Short lists are paired directly.
+  cannot give the overlap that is needed.  Short lists are paired directly.  Lists are not cut
+  into blocks: the test is made for each pair.
 * Answer level: in a long list one set is the pivot, and all others are compared with it only.
   What a set lacks (R) and adds (A) against the pivot gives its answers from the pivot's: with
   cost c = den*|R| + num*|A| and s = |R∩R'| + |A∩A'|, two sets link exactly if
