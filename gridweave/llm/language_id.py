@@ -7,15 +7,16 @@ states joined; a document's probabilities are the means over all its positions.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, slices, texts
+from .common import cuts, mix, slices, texts
 from .toxicity import fold
 
 HIDDEN = 8
@@ -149,7 +150,7 @@ def windows(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return out, doc
 
 
-def predict(net: Network, data: np.ndarray, offs: np.ndarray, batch: int = 2048) -> np.ndarray:
+def predict(net: Network, data: np.ndarray, offs: np.ndarray, batch: int = 1024) -> np.ndarray:
     """Document probabilities [n, K]: means over the positions; zeros for an empty text."""
     x, doc = windows(data, offs)
     total = np.zeros((len(x), len(net.langs)), np.float32)
@@ -169,7 +170,8 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, most: int = TRAIN_WINDOWS, id
     """A network from at most ``most`` windows of at most ``rows`` documents with a language.
 
     Documents whose ``fold`` by held[0] is held[1] are left out.  The windows stand at places
-    anywhere in a text that depend on its id.  None if no document can be learned from.
+    anywhere in a text that depend on its id.  Of rows that repeat an id one is learned from.  None
+    if no document can be learned from.
     """
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("id is not null and lang is not null and length(text) > 0")
     if held:
@@ -189,16 +191,50 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, most: int = TRAIN_WINDOWS, id
                 out.append([data[a : min(a + WINDOW, offs[k + 1])].tobytes() for a in at])
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("lang"), pa.array(out, pa.list_(pa.binary()))], ["id", "lang", "parts"])
 
-    got = base.join(F.broadcast(ids), "id").select("id", "lang", "text").mapInArrow(cut, "id long, lang string, parts array<binary>").limit(2 * rows).collect()
-    if not got:
-        return None
-    got.sort(key=lambda r: (r.id, r.lang, r.parts))
-    langs = sorted({r.lang for r in got})
-    x = np.full((sum(len(r.parts) for r in got), WINDOW), PAD, np.int64)
-    y = np.array([langs.index(r.lang) for r in got for _ in r.parts])
-    for k, part in enumerate(p for r in got for p in r.parts):
-        x[k, : len(part)] = np.frombuffer(part, np.uint8)
-    return fit(x, y, langs)
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted((i, x["lang"], x["parts"]) for b in batches for i, x in zip(b.column("id").to_pylist(), b.column("one").to_pylist(), strict=True))
+        if got:
+            langs = sorted({lang for _, lang, _ in got})
+            x = np.full((sum(len(parts) for *_, parts in got), WINDOW), PAD, np.int64)
+            y = np.array([langs.index(lang) for _, lang, parts in got for _ in parts])
+            for k, part in enumerate(p for *_, parts in got for p in parts):
+                x[k, : len(part)] = np.frombuffer(part, np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(x, y, langs))], pa.binary())], ["network"])
+
+    # one task learns from the bounded sample, so the driver sees the network only
+    windows_of = base.join(F.broadcast(ids), "id").select("id", "lang", "text").mapInArrow(cut, "id long, lang string, parts array<binary>")
+    sample = windows_of.groupBy("id").agg(F.min(F.struct("lang", "parts")).alias("one"))  # at most ``rows`` rows
+    got = sample.coalesce(1).mapInArrow(learn, "network binary").collect()
+    return pickle.loads(got[0].network) if got else None
+
+
+_ASCII_LETTER = np.zeros(256, bool)
+_ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
+
+
+def language_column(net: Network | None) -> Callable[[Column | str], Column]:
+    """Text column -> struct (lang, score); ``und`` with score 0 for a text without a letter, and without a network."""
+
+    def label(col: pa.Array) -> pa.Array:
+        data, offs = texts(col)
+        letters = np.concatenate([[0], np.cumsum(_ASCII_LETTER[data])])
+        some = letters[offs[1:]] > letters[offs[:-1]]
+        for k in np.flatnonzero(~some):
+            some[k] = any(c.isalpha() for c in col[int(k)].as_py() or "")
+        best, top = np.full(len(col), UNKNOWN, object), np.zeros(len(col))
+        if net and len(col):
+            p = predict(net, data, offs)
+            best, top = np.where(some, np.array(net.langs, object)[p.argmax(1)], UNKNOWN), np.where(some, np.clip(p.max(1), 0, 1), 0.0)
+        return pa.StructArray.from_arrays([pa.array(best, pa.string()), pa.array(top)], ["lang", "score"])
+
+    @F.arrow_udf("lang string, score double")
+    def labels(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for col in columns:
+            _, offs = texts(col)
+            parts = [label(col.slice(a, b - a)) for a, b in cuts(offs)]
+            yield pa.concat_arrays(parts) if parts else label(col)
+
+    return labels
 
 
 def language_ids(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -206,23 +242,8 @@ def language_ids(docs: DataFrame, net: Network | None, id_col: str = "doc_id", t
 
     ``und`` with score 0 for a text that is null or has no letter, and without a network.
     ``held_out`` is false for a null id.  Repeated rows pass through, other columns are ignored.
+    An empty table gives an empty result.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(fold(id_col, 3) == 1, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
-    ascii_letter = np.zeros(256, bool)
-    ascii_letter[[*range(65, 91), *range(97, 123)]] = True
-
-    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
-            data, offs = texts(b.column("text"))
-            letters = np.concatenate([[0], np.cumsum(ascii_letter[data])])
-            some = letters[offs[1:]] > letters[offs[:-1]]
-            for k in np.flatnonzero(~some):
-                some[k] = any(c.isalpha() for c in b.column("text")[k].as_py() or "")
-            if net:
-                p = predict(net, data, offs)
-                best, top = np.array(net.langs, object)[p.argmax(1)], np.clip(p.max(1), 0, 1)
-            else:
-                best, top, some = np.full(b.num_rows, UNKNOWN, object), np.zeros(b.num_rows), np.zeros(b.num_rows, bool)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(np.where(some, best, UNKNOWN), pa.string()), pa.array(np.where(some, top, 0.0))], ["doc_id", "held_out", "lang_pred", "score"])
-
-    return base.mapInArrow(label, "doc_id long, held_out boolean, lang_pred string, score double")
+    held = F.coalesce(fold(id_col, 3) == 1, F.lit(False)).alias("held_out")
+    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), held, language_column(net)(F.col(text_col)).alias("found"))
+    return found.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"))

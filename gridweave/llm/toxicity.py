@@ -8,7 +8,7 @@ not zero; those go to the executors, which score whole texts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, slices, texts, word_hashes
+from .common import cuts, mix, slices, texts, word_hashes
 
 BITS = 20
 #: Labelled documents that training takes at most, those with the least hashes of their ids.
@@ -92,7 +92,8 @@ def score_texts(data: np.ndarray, offs: np.ndarray, dense: np.ndarray, bias: flo
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", held: tuple[int, int] | None = (4, 2)) -> tuple[np.ndarray, np.ndarray, float] | None:
     """Compact weights learned from at most ``rows`` labelled documents; None without any.
 
-    Documents whose ``fold`` by held[0] is held[1] are left out.
+    Documents whose ``fold`` by held[0] is held[1] are left out.  Of rows that repeat an id one is
+    learned from; a document with labels of both kinds counts as 1.
     """
     lab = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null")
     if held:
@@ -109,32 +110,41 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", rows: in
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), pa.array([low[s:e].tobytes() for s, e in zip(ends, ends[1:], strict=False)], pa.binary())], ["id", "y", "features"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = sorted((i, f, y) for b in batches for i, y, f in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True))
+        got = sorted((i, f, y) for b in batches for i, y, f in zip(*(b.column(k).to_pylist() for k in ("id", "y", "features")), strict=True))
         if got:
             keep, values, bias = Ftrl().fit([(np.frombuffer(f, np.int32), y) for _, f, y in got]).compact()
             yield pa.RecordBatch.from_arrays([pa.array([keep.tobytes()], pa.binary()), pa.array([values.tobytes()], pa.binary()), pa.array([bias])], ["keep", "values", "bias"])
 
     # one task learns from the bounded sample, so the driver sees the compact weights only
-    sample = text.select("id", "y", "text").mapInArrow(extract, "id long, y int, features binary").limit(2 * rows)
-    got = sample.mapInArrow(learn, "keep binary, values binary, bias double").collect()
+    each = text.select("id", "y", "text").mapInArrow(extract, "id long, y int, features binary")
+    sample = each.groupBy("id", "y").agg(F.min("features").alias("features"))  # at most ``rows`` rows
+    got = sample.coalesce(1).mapInArrow(learn, "keep binary, values binary, bias double").collect()
     return (np.frombuffer(got[0].keep, np.int32), np.frombuffer(got[0]["values"], np.float32), got[0].bias) if got else None
 
 
+def score_column(model: tuple[np.ndarray, np.ndarray, float] | None) -> Callable[[Column | str], Column]:
+    """Text column -> score (0 to 1); null counts as empty.  Without a model every score is 0."""
+
+    @F.arrow_udf("double")
+    def score(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        dense = np.zeros(1 << BITS, np.float32)
+        if model:
+            dense[model[0]] = model[1]
+        for col in columns:
+            _, offs = texts(col)
+            p = [score_texts(*texts(col.slice(a, b - a)), dense, model[2]) if model else np.zeros(b - a) for a, b in cuts(offs)]
+            yield pa.array(np.concatenate([np.zeros(0), *p]))
+
+    return score
+
+
 def toxicity_scores(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float] | None, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per input row: (doc_id, held_out, score, predicted).
 
     Null text counts as empty, whose score is that of the bias.  ``held_out`` is false for a
     null id.  Without a model every score is 0.  Repeated rows pass through, other columns are
-    ignored.
+    ignored.  An empty table gives an empty result.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(fold(id_col, 4) == 2, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dense = np.zeros(1 << BITS, np.float32)
-        if model:
-            dense[model[0]] = model[1]
-        for b in slices(batches, "text"):
-            p = score_texts(*texts(b.column("text")), dense, model[2]) if model else np.zeros(b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
-
-    return base.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
+    held = F.coalesce(fold(id_col, 4) == 2, F.lit(False)).alias("held_out")
+    scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), held, score_column(model)(F.col(text_col)).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

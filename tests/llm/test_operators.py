@@ -256,8 +256,8 @@ def test_lines_of_texts():
     from gridweave.llm.common import line_hashes, texts
 
     rows = ["", "a b\n\nc", None, "\n", "c", "", "é\tz \r\na b", "x\n"]
-    h, words, doc = line_hashes(*texts(pa.array(rows)))
+    h, check, words, doc = line_hashes(*texts(pa.array(rows)))
     lines = [(k, line) for k, t in enumerate(rows) for line in (t or "").split("\n")]
     assert doc.tolist() == [k for k, _ in lines]
     assert words.tolist() == [len(re.findall(r"[^ \t\r]+", line)) for _, line in lines]
-    assert len({(int(x), line) for x, (_, line) in zip(h, lines, strict=True)}) == len({line for _, line in lines}) == np.unique(h).size
+    assert len({(int(x), line) for x, (_, line) in zip(h, lines, strict=True)}) == len({line for _, line in lines}) == np.unique(h).size == np.unique(check).size
