@@ -11,26 +11,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridweave.llm import language_id, line_dedup, ngram_join, packing, toxicity
-from gridweave.llm.common import read, shared_dir
+from gridweave.llm.common import bounded_broadcast, read, settle, shared_dir
 
 #: Documents whose language is less sure than this are rejected.
 LEAST_LANGUAGE_SCORE = 0.5
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """``docs`` without the ids in ``rejected``; rows with a null id stay."""
-    return docs.join(rejected.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_anti").select(*docs.columns)
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scores = toxicity.toxicity_scores(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
-    return _without(docs, scores.where("predicted = 1"))
+    """Rows whose text is scored as toxic go, each by its own text, whatever its id."""
+    score = toxicity.score_column(toxicity.train(docs, read(spark, sf_dir, "labels")))
+    return docs.where(score("text") < toxicity.THRESHOLD)
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a letter and those of no clear language go."""
-    found = language_id.language_ids(docs, language_id.train(docs))
-    return _without(docs, found.where((F.col("lang_pred") == language_id.UNKNOWN) | (F.col("score") < LEAST_LANGUAGE_SCORE)))
+    """Rows whose text has no letter or is of no clear language go, each by its own text."""
+    found = language_id.language_column(language_id.train(docs))("text")
+    return docs.where((found["lang"] != language_id.UNKNOWN) & (found["score"] >= LEAST_LANGUAGE_SCORE))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,9 +35,29 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return out.withColumn("n_chars", F.when(F.col("_deleted_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
+def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows whose id is their own, and the others, once each, with a key ``_id`` for either.
+
+    The key is the id.  Rows without an id or with one that other rows have get a hash of id and text,
+    far below zero; of rows that repeat both, one stays.
+    """
+    repeated = settle(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc_id"))
+    repeated = bounded_broadcast(repeated, repeated.count())
+    own = docs.where("doc_id is not null").join(repeated, "doc_id", "left_anti").withColumn("_id", F.col("doc_id").cast("long"))
+    others = docs.where("doc_id is null").unionByName(docs.join(repeated, "doc_id", "left_semi"))
+    key = -F.lit(1 << 62) - F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 62))
+    return own.select(*docs.columns, "_id"), others.withColumn("_id", key).dropDuplicates(["_id"]).select(*docs.columns, "_id")
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that share four fifths of their runs of five words, the least id stays."""
-    return _without(docs, ngram_join.components(docs).where("component_id != doc_id"))
+    """Of documents that share four fifths of their runs of five words, the least id stays.
+
+    Rows that have no id of their own are told apart by id and text; they come before others.
+    """
+    own, others = _keyed(docs)
+    keyed = own.unionByName(others)
+    gone = settle(ngram_join.components(keyed, id_col="_id").where("component_id != doc_id").select(F.col("doc_id").alias("_id")))
+    return keyed.join(bounded_broadcast(gone, gone.count()), "_id", "left_anti").select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
