@@ -148,14 +148,15 @@ def bpe_encode(docs: DataFrame, path: str, digests: bool = False, id_col: str =
     an empty result.
     """
     schema, names = _DIGESTS if digests else _IDS
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # ids pass pandas as text, since a null would turn a column of longs into doubles
+    base = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = F.length("text")
 
     def short(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(path)
         for f in frames:
             out = pd.DataFrame([_result(c, c.encode(t), digests) for t in f["text"]], columns=names)
-            out.insert(0, "doc_id", f["doc_id"].to_numpy(dtype=object) if f["doc_id"].isna().any() else f["doc_id"].to_numpy())
+            out.insert(0, "doc_id", f["doc_id"].to_numpy())
             yield out
 
     def segments(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -170,12 +171,13 @@ def bpe_encode(docs: DataFrame, path: str, digests: bool = False, id_col: str =
         out = _result(c, c.join_all([[int(i) for i in x] for x in parts]), digests)
         return pd.DataFrame([(f["doc_id"].iloc[0], *out)] * rows, columns=["doc_id", *names])
 
-    plain = base.where(size <= segment_chars).mapInPandas(short, f"doc_id long, {schema}")
-    n = F.ceil(size / F.lit(float(segment_chars))).cast("int")
-    cut = base.where(size > segment_chars).select("doc_id", F.sha2("text", 256).alias("sha"), "text", F.explode(F.sequence(F.lit(0), n - 1)).alias("at"))
-    cut = cut.select("doc_id", "sha", "at", F.substring("text", F.col("at") * segment_chars + 1, F.lit(segment_chars)).alias("part"))
-    cut = cut.repartition("doc_id", "sha", "at").mapInPandas(segments, "doc_id long, sha string, at int, ids array<int>")
-    return plain.unionByName(cut.groupBy("doc_id", "sha").applyInPandas(joined, f"doc_id long, {schema}"))
+    plain = base.where(size <= segment_chars).mapInPandas(short, f"doc_id string, {schema}")
+    # one pass over the text cuts it; a substring for each segment would begin at the first character each time
+    parts = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{segment_chars}}}"), F.lit(0))
+    cut = base.where(size > segment_chars).select("doc_id", F.sha2("text", 256).alias("sha"), F.posexplode(parts).alias("at", "part"))
+    cut = cut.repartition("doc_id", "sha", "at").mapInPandas(segments, "doc_id string, sha string, at int, ids array<int>")
+    both = plain.unionByName(cut.groupBy("doc_id", "sha").applyInPandas(joined, f"doc_id string, {schema}"))
+    return both.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def bpe_decode(rows: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, bounded_broadcast, settle
+from .common import ascii_lower, bounded_broadcast, join_counted, settle
 
 BLOCK_CHARS = 4096
 NAME_BUCKETS = 4096
@@ -47,9 +47,10 @@ def block_identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     low = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("key"), low.alias("low"))
-    base = base.withColumn("sha", F.sha2("low", 256)).withColumn("n", F.greatest(F.lit(1), F.ceil(F.length("low") / F.lit(float(block_chars)))).cast("int"))
-    blocks = base.select("key", "sha", F.col("n").alias("n_blocks"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("pos"), "low")
-    blocks = blocks.select("key", "sha", "n_blocks", "pos", F.substring("low", F.col("pos") * block_chars + 1, F.lit(block_chars)).alias("block"))
+    # one pass over the text cuts it; a substring for each block would begin at the first character each time
+    cut = F.when(F.col("low") == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all("low", F.lit(f"(?s).{{1,{block_chars}}}"), F.lit(0)))
+    base = base.select("key", F.sha2("low", 256).alias("sha"), cut.alias("all"))
+    blocks = base.select("key", "sha", F.size("all").alias("n_blocks"), F.posexplode("all").alias("pos", "block"))
     named = _named(blocks, ["block"], buckets)
     done = named.where("n_blocks = 1").select("key", "sha", "n_blocks", "name").distinct()
     left = named.where("n_blocks > 1").withColumn("n", F.col("n_blocks"))
@@ -78,6 +79,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(low, 256).alias("text_sha256"))
     rows = rows.withColumn("key", F.coalesce("doc_id", F.lit(_NO_ID)))
     rows = rows.join(ids.withColumnRenamed("sha", "text_sha256"), ["key", "text_sha256"])
+    rows = settle(rows)
     groups = rows.groupBy("n_blocks", "name").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    out = rows.join(groups, ["n_blocks", "name"])
+    out = join_counted(rows, settle(groups), ["n_blocks", "name"], "group_size", rows.count())
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix
+from .common import mix, slices, texts
 
 LEVELS = 5
 #: Names of levels below are too short to tell documents apart; they count only for texts that have none above.
@@ -29,7 +29,9 @@ FIRST_LEVEL = 2
 SKETCH = 48
 #: Documents in a range of neighbouring ids, about, and ranges at most (rows of a range are streamed).
 RANGE_ROWS = 1_024
-MOST_RANGES = 10_000
+MOST_RANGES = 100_000
+#: Characters of text that are parsed at once, about.
+CHUNK_CHARS = 500_000
 
 
 def _low_bit(x: np.ndarray) -> np.ndarray:
@@ -114,11 +116,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, fingerprint) of each row; null text counts as empty, whose fingerprint is ''."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(0, b.num_rows, 512):
-                s = b.slice(i, 512)
-                got = sketches(*_pack(s.column("text").to_pylist()))
-                yield pa.RecordBatch.from_arrays([s.column("doc_id"), pa.array([_hex(x) for x in got])], ["doc_id", "fingerprint"])
+        for s in slices(batches, "text", CHUNK_CHARS):
+            got = sketches(*texts(s.column("text")))
+            yield pa.RecordBatch.from_arrays([s.column("doc_id"), pa.array([_hex(x) for x in got])], ["doc_id", "fingerprint"])
 
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
     return base.mapInArrow(run, "doc_id long, fingerprint string")
@@ -153,15 +153,12 @@ def compare_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     base = base.withColumn("part", place("key"))
     heads = sorted(tuple(r) for r in base.groupBy("part").agg(F.min(F.struct("key", "sha")).alias("head")).select("part", "head.key", "head.sha").collect())
-    head = {(key, sha): heads[i - 1][0] for i, (_, key, sha) in enumerate(heads)}
-
-    @F.pandas_udf("array<int>")
-    def goes_to(part: pd.Series, key: pd.Series, sha: pd.Series) -> pd.Series:
-        """The row's range, and for the head of a range -1 - the range before it."""
-        return pd.Series([[p] if (k, s) not in head else [p, -1 - head[k, s]] for p, k, s in zip(part, key, sha, strict=True)], dtype=object)
-
+    # the first row of each range, and the range before it: MOST_RANGES rows at most
+    first = docs.sparkSession.createDataFrame([(key, sha, heads[i - 1][0]) for i, (_, key, sha) in enumerate(heads)], "key long, sha long, before int")
+    marked = base.join(F.broadcast(first), ["key", "sha"], "left")
+    to = F.when(F.col("before").isNull(), F.array("part")).otherwise(F.array("part", -1 - F.col("before")))
+    dealt = marked.select("key", "sha", "text", F.explode(to).alias("to"))
     to = F.col("to")
-    dealt = base.select("key", "sha", "text", F.explode(goes_to("part", "key", "sha")).alias("to"))
     dealt = dealt.select(F.when(to < 0, -1 - to).otherwise(to).alias("part"), (to < 0).cast("int").alias("extra"), "key", "sha", "text")
     dealt = dealt.repartition(max(1, len(heads)), "part").sortWithinPartitions("part", "extra", "key", "sha")
 
@@ -194,7 +191,7 @@ def compare_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                         yield emit(chunk, text)
                     chunk, held = [], 0
                     continue
-                if chunk and held > 1_000_000:
+                if chunk and held > CHUNK_CHARS:
                     yield emit(chunk, text)
                     chunk, held = [], 0
                 chunk.append((key, text))

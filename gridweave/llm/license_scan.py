@@ -7,19 +7,19 @@ whole canonical texts are joined.
 
 from __future__ import annotations
 
+import hashlib
 import re
-import textwrap
 from importlib import resources
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Spellings that count as equal, in the order in which they are replaced.
+# Spellings that count as equal, in the order in which they are replaced, after
+# punctuation has become blanks.
 SPELLINGS = (
     ("licence", "license"),
-    ("licenced", "licensed"),
-    ("sub-license", "sublicense"),
-    ("non-commercial", "noncommercial"),
+    ("sub license", "sublicense"),
+    ("non commercial", "noncommercial"),
     ("per cent", "percent"),
     ("copyright owner", "copyright holder"),
     ("organisation", "organization"),
@@ -29,7 +29,7 @@ SPELLINGS = (
     ("acknowledgement", "acknowledgment"),
     ("authorised", "authorized"),
     ("merchantibility", "merchantability"),
-    ("http://", "https://"),
+    ("http ", "https "),
 )
 
 # The texts of public licences and the notices that name one.  More whole licences
@@ -83,23 +83,38 @@ TITLES = {
 }
 
 
-#: Rules (pattern, replacement) applied in order after lower-casing; both engines read them alike.
+#: A copyright notice is a line that begins with "©", or with "copyright" or "(c)" and goes on with a sign,
+#: a place for a name or "by", or has a year; a sentence that is wrapped before the word is none.
+#: Rules (pattern, replacement) are applied in order after lower-casing; both engines read them alike.
 RULES = (
-    (r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*", "\n"),
+    (r"(^|\n)[ \t]*(©|(copyright|\(c\))(([ \t:]*(copyright[ \t]*)?(\(c\)|©|<|\[|\{|by |yyyy))|[^\n]*[12][0-9][0-9][0-9]))[^\n]*", "\n"),
     (r"(^|\n)[ \t]*all rights reserved[^\n]*", "\n"),
 )
 #: What counts as punctuation or white space, but for line ends.
 MARKS = r"[\x00-\x09\x0B-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F“”‘’©]+"
 
 
+def _replacements() -> list[tuple[str, str]]:
+    """``SPELLINGS``, and those of two words with a line end between them, which stays."""
+    out = []
+    for a, b in SPELLINGS:
+        out.append((a, b))
+        if " " in a.strip():
+            first, second = a.split()
+            out.append((f"{first}\n{second}", b.replace(" ", "\n") if " " in b else f"{b}\n"))
+    return out
+
+
 def canonical_lines(text: Column) -> Column:
     """Canonical form of a text in which line ends still stand; null stays null."""
     c = F.lower(text)
     for pattern, to in RULES:
         c = F.regexp_replace(c, pattern, to)
-    for a, b in SPELLINGS:
+    c = F.regexp_replace(c, MARKS, " ")
+    c = F.regexp_replace(c, " ?\n ?", "\n")
+    for a, b in _replacements():
         c = F.replace(c, F.lit(a), F.lit(b))
-    return F.regexp_replace(c, MARKS, " ")
+    return c
 
 
 def one_line(canonical: Column) -> Column:
@@ -117,15 +132,7 @@ def _bodies(name: str, text: str) -> list[str]:
     if "END OF TERMS AND CONDITIONS" in text:  # without the appendix, and without that line, too
         terms = text[: text.index("END OF TERMS AND CONDITIONS")]
         out += [terms, f"{terms}END OF TERMS AND CONDITIONS"]
-    if len(text) > 4000:
-        return out
-    # a line that happens to begin with "copyright" counts as a notice, so its wrapping matters
-    forms = {}
-    for body in out:
-        for width in (10**6, *range(60, 101)):
-            lines = [x for part in re.split(r"\n\s*\n", body) for x in textwrap.wrap(part, width, break_on_hyphens=False)]
-            forms.setdefault((body, *[x for x in lines if x.lower().startswith("copyright")]), "\n".join(lines))
-    return [*out, *forms.values()]
+    return out
 
 
 def license_texts() -> list[tuple[str, str]]:
@@ -178,20 +185,37 @@ def license_scan(docs: DataFrame, licenses: DataFrame | None = None, id_col: str
     return out.select("doc_id", "digest", "license_id", (F.col("n") / F.col("rows")).cast("long").alias("n_notices"), F.when(F.col("n") > 0, F.col("notices")).alias("notices"))
 
 
+def canonical(text: str) -> str:
+    """The canonical form in plain Python, for the SQL."""
+    c = text.lower()
+    for pattern, to in RULES:
+        c = re.sub(pattern, to, c)
+    c = re.sub(" ?\n ?", "\n", re.sub(MARKS, " ", c))
+    for a, b in _replacements():
+        c = c.replace(a, b)
+    return re.sub("[\n ]+", " ", c).strip(" ")
+
+
 def oracle_sql() -> str:
+    """The scan in SQL; the digests of the known licences are in it as values, worked out without Spark."""
     quote = lambda x: "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
 
     def canon(c: str) -> str:
         c = f"lower({c})"
         for pattern, to in RULES:
             c = f"regexp_replace({c}, '{pattern}', {quote(to)}, 'g')"
-        for a, b in SPELLINGS:
-            c = f"replace({c}, '{a}', '{b}')"
-        return f"trim(regexp_replace(regexp_replace({c}, '{MARKS}', ' ', 'g'), '[\\n ]+', ' ', 'g'))"
-
-    rows = ", ".join(f"({quote(i)}, {quote(t)})" for i, t in LICENSES)
+        c = f"regexp_replace(regexp_replace({c}, '{MARKS}', ' ', 'g'), ' ?\\n ?', chr(10), 'g')"
+        for a, b in _replacements():
+            c = f"replace({c}, {quote(a)}, {quote(b)})"
+        return f"trim(regexp_replace({c}, '[\\n ]+', ' ', 'g'))"
+
+    known: dict[str, str] = {}
+    for name, text in license_texts():
+        digest = hashlib.sha256(canonical(text).encode()).hexdigest()
+        known[digest] = min(name, known.get(digest, name))
+    rows = ", ".join(f"('{d}', {quote(i)})" for d, i in sorted(known.items()))
     return f"""
-WITH known AS (SELECT sha256({canon("t")}) AS digest, min(i) AS license_id FROM (VALUES {rows}) v(i, t) GROUP BY 1),
+WITH known AS (SELECT * FROM (VALUES {rows}) v(digest, license_id)),
 base AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM base),
 found AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notices

@@ -4,6 +4,7 @@ then against brute force."""
 import hashlib
 import random
 import re
+import textwrap
 from collections import defaultdict
 
 import pytest
@@ -179,14 +180,33 @@ def test_encoding_is_the_librarys(spark):
     assert {r.doc_id: r.n_tokens for r in counted} == {i: len(m.encode(x)) for i, x in rows}
 
 
-def test_cache_is_used(spark, tmp_path):
-    import glob
-
-    docs, folder = table(spark, some(20)), str(tmp_path / "cache")
-    token_counts.token_counts(docs, tokenizer("piece_bpe_32k.model"), folder).collect()
+def test_cache_is_used(spark, tmp_path, monkeypatch):
+    docs, folder, path = table(spark, [*some(20), (900, "a b"), (901, "a\u2581b"), (902, None)]), str(tmp_path / "cache"), tokenizer("piece_bpe_32k.model")
+    first = sorted(map(tuple, token_counts.token_counts(docs, path, folder).collect()))
     n = spark.read.parquet(folder).count()
-    token_counts.token_counts(docs, tokenizer("piece_bpe_32k.model"), folder).collect()
-    assert spark.read.parquet(folder).count() == n and glob.glob(f"{folder}/*.parquet")
+    assert n == len({(t or "").replace(" ", "\u2581") for _, t in [*some(20), (900, "a b"), (902, "")]})
+    assert sorted(map(tuple, token_counts.token_counts(docs, path, folder).collect())) == first
+    assert spark.read.parquet(folder).count() == n
+    more = docs.unionByName(table(spark, [(903, "one new text")]))
+    token_counts.token_counts(more, path, folder).collect()
+    assert spark.read.parquet(folder).count() == n + 1
+    monkeypatch.setattr(token_counts, "bounded_broadcast", lambda df, rows: df)  # the same by a shuffle
+    token_counts.token_counts(docs.unionByName(table(spark, [(904, "two new texts")])), path, folder).collect()
+    assert spark.read.parquet(folder).count() == n + 2
+
+
+def test_the_count_query_finds_its_cache_again(spark, tmp_path, monkeypatch):
+    from gridweave.llm.registry import queries
+
+    table(spark, some(30, seed=77)).write.parquet(f"{tmp_path}/documents.parquet")
+    query = queries()["op10_token_counts"]
+    first = sorted(map(tuple, query(spark, str(tmp_path)).collect()))
+    monkeypatch.setattr(token_counts, "count_tokens", None)  # nothing is left to encode
+    assert sorted(map(tuple, query(spark, str(tmp_path)).collect())) == first
+
+
+def wrapped(text, width):
+    return "\n\n".join(textwrap.fill(x, width, break_on_hyphens=False, break_long_words=False) for x in re.split(r"\n\s*\n", text))
 
 
 def test_usual_licence_files(spark):
@@ -208,6 +228,13 @@ def test_usual_licence_files(spark):
         ("BSD-2-Clause", re.sub(r"(?m)^ *\d\. ", "* ", files["BSD-2-Clause"])),
         ("Apache-2.0", files["Apache-2.0"].split("   END OF TERMS")[0]),
         (None, files["MPL-2.0"] + "\nmore"),
+        # any wrapping, where "copyright notice and", "copyright holders" and the like begin a line, too
+        *[(name, wrapped(short.get(name) or files[name], width)) for name in ("MIT", "ISC", "BSD-3-Clause", "Unlicense") for width in (22, 33, 47, 60, 72, 80)],
+        *[("Apache-2.0", wrapped(files["Apache-2.0"], width)) for width in (50, 64, 80)],
+        ("ISC", isc.replace("copyright notice", "copyright\nnotice")),
+        ("BSD-3-Clause", f"Copyright 2001-2020 The Some Authors. All rights reserved.\n\n{files['BSD-3-Clause']}".replace("COPYRIGHT HOLDER", "copyright\nOWNER")),
+        ("MIT", f"Copyright (c) <year> <holder>\n© Some One\n(c) 1999 Else\n{short['MIT']}"),
+        (None, f"Copyright is a right\n{short['MIT']}"),
     ]
     got = {r.doc_id: r.license_id for r in license_scan.license_scan(table(spark, [(i, t) for i, (_, t) in enumerate(cases)])).collect()}
     assert [got[i] for i in range(len(cases))] == [name for name, _ in cases]
@@ -224,6 +251,59 @@ def test_prints(spark):
     assert plain == {i: r.fingerprint for i, r in got.items()}
 
 
+def phrases(names, hashes):
+    """One level of parsing, name by name."""
+    runs = []
+    for x in names:
+        if runs and runs[-1][0] == x:
+            runs[-1][1] += 1
+        else:
+            runs.append([x, 1])
+    one = [hashes((x + n * 0x9E3779B97F4A7C15) % 2**64) if n > 1 else x for x, n in runs]
+    label = one
+    for _ in range(3):
+        before = [~label[0] % 2**64, *label[:-1]]
+        low = [((x ^ y) & -(x ^ y)).bit_length() - 1 for x, y in zip(label, before, strict=True)]
+        label = [2 * b + (x >> b & 1) for b, x in zip(low, label, strict=True)]
+    out, last = [], len(one) - 1
+    for k, x in enumerate(one):
+        if k == 0 or 0 < k < last and label[k] > label[k - 1] and label[k] >= label[k + 1]:
+            out.append([])
+        out[-1].append(x)
+    return [hashes(sum(hashes(x) * (hashes((k + 0x632BE59BD9B4E019) % 2**64) | 1) for k, x in enumerate(p)) % 2**64) for p in out]
+
+
+def test_parsing_name_by_name():
+    import numpy as np
+
+    from gridweave.llm.common import mix
+
+    hashes = lambda x: int(mix(np.array([x], np.uint64))[0])
+    rng = random.Random(8)
+    rows = ["", "a", "aaaa", "ab" * 40, *["".join(rng.choices("abc d", k=rng.randint(1, 90))) for _ in range(30)]]
+    data, offs = fingerprints._pack(rows)
+    names, doc = mix(data.astype(np.uint64) + np.uint64(1)), np.repeat(np.arange(len(rows)), np.diff(offs))
+    want = [[hashes(b + 1) for b in t.encode()] for t in rows]
+    for _ in range(3):
+        names, doc = fingerprints.parse(names, doc)
+        want = [phrases(x, hashes) if x else [] for x in want]
+        assert [names[doc == k].tolist() for k in range(len(rows))] == want
+
+
+def test_likeness_is_the_jaccard_similarity_of_all_names(spark):
+    rows = [(1, "same text " * 30), (2, "same text " * 30), (3, None), (4, ""), *[(10 + k, t) for k, (_, t) in enumerate(some(60))]]
+    got = {r.doc_id: r for r in fingerprints.compare_neighbours(table(spark, rows), range_rows=9).collect()}
+    texts = [t or "" for _, t in rows]
+    edited = [a[: len(a) - len(a) // 2] + b[: len(a) // 2] for a, b in zip(texts, texts[1:] + texts[:1], strict=True)]
+    own, changed = (fingerprints.sketches(*fingerprints._pack(x), size=10**9) for x in (texts, edited))
+    every = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)) if len(a) and len(b) else float(len(a) == len(b))
+    gaps = []
+    for k, (i, _) in enumerate(rows):
+        gaps += [abs(got[i].near_edited - every(own[k], changed[k])), abs(got[i].near_next - every(own[k], own[(k + 1) % len(rows)]))]
+    assert max(gaps) < 0.3 and sum(gaps) / len(gaps) < 0.05
+    assert got[1].near_next == 1 and got[1].fingerprint == got[2].fingerprint and got[3].fingerprint == "" and got[3].near_next == 1
+
+
 def test_bins_hold_their_pieces(spark):
     got = packing.pack(table(spark, [(i, "y" * (i * 97 % 9000)) for i in range(300)])).collect()
     fill = defaultdict(int)
@@ -233,6 +313,55 @@ def test_bins_hold_their_pieces(spark):
     assert all(fill[r.shard, r.bin] == r.used <= r.capacity for r in got)
 
 
+def least_cost(sizes, lengths, overhead):
+    """The cheapest of all ways to put pieces into bins."""
+    best = [10**9]
+
+    def put(k, bins):
+        cost = sum(next(n for n in lengths if n >= x) + overhead for x in bins)
+        if cost >= best[0]:
+            return
+        if k == len(sizes):
+            best[0] = cost
+            return
+        for b in range(len(bins)):
+            if bins[b] + sizes[k] <= lengths[-1]:
+                put(k + 1, [x + sizes[k] * (j == b) for j, x in enumerate(bins)])
+        put(k + 1, [*bins, sizes[k]])
+
+    put(0, [])
+    return best[0]
+
+
+def test_packing_is_near_the_cheapest():
+    rng, ratio, same = random.Random(3), [], 0
+    for _ in range(150):
+        lengths = (8, 16, 40)
+        sizes = sorted((rng.randint(1, 40 if rng.random() < 0.3 else 14) for _ in range(rng.randint(1, 7))), reverse=True)
+        at, final = packing.best_fit(sizes, lengths, 2)
+        for b, n in enumerate(final):
+            used = sum(s for s, x in zip(sizes, at, strict=True) if x == b)
+            assert n == next(m for m in lengths if m >= used)  # downsized
+        cost, least = sum(final) + 2 * len(final), least_cost(sizes, lengths, 2)
+        ratio.append(cost / least)
+        same += cost == least
+    assert max(ratio) <= 1.5 and sum(ratio) / len(ratio) <= 1.04 and same >= 110
+    # one length for all would cost more: the first bin opened is large, the next one small
+    assert packing.best_fit([30, 10, 8], (8, 40), 2) == ([0, 0, 1], [40, 8])
+
+
+def test_ids_beside_nulls_stay_exact(spark):
+    big = 2**53 + 1
+    docs = table(spark, [(big, "a b"), (None, "c"), (big, "a b")])
+    for rows in (packing.pack(docs), bpe.bpe_encode(docs, tokenizer("byte_bpe_50k.json")), bpe.bpe_encode(docs, tokenizer("byte_bpe_50k.json"), segment_chars=1)):
+        assert sorted(str(r.doc_id) for r in rows.collect()) == [str(big), str(big), "None"]
+
+
+def test_rows_without_ids_are_dealt_out(spark):
+    rows = packing.pack(table(spark, [(None, "x" * 50)] * 400), shard_pieces=20).groupBy("shard").count().collect()
+    assert len(rows) > 15 and max(r["count"] for r in rows) < 60
+
+
 def test_models_on_held_out_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = language_id.language_ids(docs, language_id.train(docs)).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
