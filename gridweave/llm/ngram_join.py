@@ -1,12 +1,19 @@
 """Exact Jaccard join of documents on word n-grams (operator 4), by set relations.
 
-Documents with equal sets form a class, and the join runs over one representative of each.
-Each set has a prefix of its rarest shingles; two sets that link share one of them, so the
-prefixes make an index of lists: shingle -> (set, its size, the shingle's position).
-
-* Index level: a pair is skipped from sizes and positions alone where what follows the shingle
-  cannot give the overlap that is needed.  Short lists are paired directly.  Lists are not cut
-  into blocks: the test is made for each pair.
+Documents with equal sets form a class, and the join runs over one representative of each.  Sets
+that are too small to link with a different one take no further part.
+
+Index.  Shingles are put in one order; a set's prefix are its first ones, as many as two sets that
+link must share one of.  The order begins with a zone: the shingles whose hash is in a fixed part
+of the range, half as many again as a prefix needs, by the number of sets that hold them, rarest
+first.  So the frequencies that matter are counted exactly, over all documents, and only a part of
+the shingles moves for it.  What follows the zone is in order of hash.  Small sets have an index of
+their own whose zone is the whole range; sets about its border are in both.  Shingles that stand in
+one set only keep their place in the order and are left out.
+
+* Index level: a list is kept in blocks of neighbouring sizes, and by position in a block.  A block
+  is skipped whole if its sizes are too far apart or what follows its first position cannot give
+  the overlap that is needed; else only the entries before that position are paired.
 * Answer level: in a long list one set is the pivot, and all others are compared with it only.
   What a set lacks (R) and adds (A) against the pivot gives its answers from the pivot's: with
   cost c = den*|R| + num*|A| and s = |R∩R'| + |A∩A'|, two sets link exactly if
@@ -14,32 +21,39 @@ prefixes make an index of lists: shingle -> (set, its size, the shingle's positi
   any other link has s > 0, so it is found by a join on the elements of R and A, again on
   prefixes only.  A group of near copies thus needs a number of comparisons in proportion to
   its size, and only pairs of which one is not linked to the pivot are ever made.
-* Sets far from their pivot go on to a further round with another pivot; what is left after the
-  last round is paired directly.
+* Sets far from their pivot get another one.  After PIVOTS of them they go on to lists of two
+  shared shingles, then of three, and so on: the next shingle that they share stands before the
+  prefix's end, which moves on by one with each.  A shingle that thousands of unlike sets share
+  thus makes no pairs.  Lists that make fewer pairs than longer names would make entries, and those
+  left after the last round, are paired block by block, with the skips above.
 
 Parity bitmaps give a bound on the overlap that drops most pairs before their sets are
-compared; then the exact overlap decides.  The order of shingles comes from a counting sketch
-over all documents and matters for speed only.
+compared; then the exact overlap decides.  Sets are of 64-bit hashes of shingles.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, mix, settle, slices, texts, word_hashes
+from .common import bounded_broadcast, join_counted, mix, settle, slices, texts, word_hashes
 
-SKETCH_BITS = 20
 #: Lists up to this length are paired directly.
 SHORT_LIST = 16
-ROUNDS = 3
-_CHUNK = 1 << 14
+#: Pivots that a list gets before lists are named by one shingle more.
+PIVOTS = 2
+#: Rounds in all; so a list is named by ROUNDS - PIVOTS + 1 shared shingles at most.
+ROUNDS = 4
+#: Sets up to this size are in the index whose zone is the whole range.
+SMALL_SET = 64
+#: Entries in a block of a long list, about.
+BLOCK = 256
+_SMALL = np.uint64(0x5851F42D4C957F2D)
+_SIGN = np.uint64(1 << 63)
 
 
 def shingle_hashes(data: np.ndarray, offs: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,34 +78,6 @@ def shingle_hashes(data: np.ndarray, offs: np.ndarray, words: int) -> tuple[np.n
     return out[keep], np.searchsorted(d[keep], np.arange(offs.size))
 
 
-def _levels(docs: DataFrame, words: int) -> np.ndarray:
-    """Frequency level of each bucket of shingles, from all documents: 2^SKETCH_BITS bytes."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
-        for b in slices(batches, "text"):
-            h, _ = shingle_hashes(*texts(b.column("text")), words)
-            total += np.bincount((h & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64), minlength=total.size)
-        if total.any():
-            salt = int(total.sum() % 64)
-            parts = [(i, salt, zlib.compress(total[i : i + _CHUNK].astype(np.int64).tobytes(), 1)) for i in range(0, total.size, _CHUNK)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*parts, strict=True)], ["chunk", "salt", "counts"])
-
-    def add(f: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(_CHUNK, np.int64)
-        for x in f["counts"]:
-            total += np.frombuffer(zlib.decompress(x), np.int64)
-        return pd.DataFrame({"chunk": [f["chunk"].iloc[0]], "salt": [0], "counts": [zlib.compress(total.tobytes(), 1)]})
-
-    schema = "chunk long, salt long, counts binary"
-    parts = docs.select("text").mapInArrow(count, schema)
-    parts = parts.groupBy("chunk", "salt").applyInPandas(add, schema).groupBy("chunk").applyInPandas(add, schema)
-    total = np.zeros(1 << SKETCH_BITS, np.int64)
-    for r in parts.collect():  # 2^SKETCH_BITS counters, whatever the input
-        total[r.chunk : r.chunk + _CHUNK] = np.frombuffer(zlib.decompress(r.counts), np.int64)
-    return np.minimum(255, np.log2(total + 1) * 4).astype(np.uint8)
-
-
 def _lists(parts: list[np.ndarray]) -> pa.Array:
     offs = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
     flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
@@ -105,27 +91,38 @@ def _bitmap(s: np.ndarray) -> np.ndarray:
 
 
 def _described(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """(id, n, sig1, sig2, prefix, bitmap) of each document; ``docs`` has id and text."""
-    level = _levels(docs, words)
-    shared = docs.sparkSession.sparkContext.broadcast(level)  # 2^SKETCH_BITS bytes
+    """(id, n, sig1, sig2, p, nz, keys, small, bitmap) of each document; ``docs`` has id and text.
+
+    ``p`` is the length of the prefix, ``keys`` the set's shingles of the zone, of which there are
+    ``nz``, and further ones if they don't fill the prefix; ``small`` those for the index of small sets.
+    Both are empty for a set that cannot link with a different one.
+    """
+    zone = np.uint64(min((1 << 64) - 1, int((1 << 64) * 1.5 * (1 - num / den))))
+    most = -(-SMALL_SET * den // num)
+
+    def index(s: np.ndarray) -> tuple[int, int, np.ndarray, np.ndarray]:
+        n, none = s.size, s[:0]
+        p = n - -(-num * n // den) + 1
+        nz = int(np.searchsorted(s, zone))
+        if (den - num) * n < num:
+            return p, 0, none, none
+        keys = s[: max(nz, p + ROUNDS - PIVOTS)] ^ _SIGN if n > SMALL_SET else none  # in order as signed numbers, too
+        return p, nz, keys, mix(s ^ _SMALL) if n <= most else none
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = shared.value
         for b in slices(batches, "text"):
             h, offs = shingle_hashes(*texts(b.column("text")), words)
             sets = [np.unique(h[a:e]) for a, e in zip(offs, offs[1:], strict=False)]
-            prefix = []
-            for s in sets:
-                order = np.argsort(rank[(s & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)], kind="stable")
-                prefix.append(s[order[: s.size - -(-num * s.size // den) + 1 if s.size else 0]])
-            sums = [(int(mix(s).sum(dtype=np.uint64)), int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))) for s in sets]
+            parts = [index(s) for s in sets]
+            sums = [(int(mix(s).sum(dtype=np.uint64)), int(mix(s ^ _SMALL).sum(dtype=np.uint64))) for s in sets]
             sig = np.array(sums, np.uint64).reshape(-1, 2).view(np.int64)
+            ints = [pa.array([int(x) for x in v], pa.int64()) for v in ([s.size for s in sets], sig[:, 0], sig[:, 1], [x[0] for x in parts], [x[1] for x in parts])]
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), pa.array([s.size for s in sets], pa.int64()), pa.array(sig[:, 0]), pa.array(sig[:, 1]), _lists(prefix), _lists([_bitmap(s) if s.size else s for s in sets])],
-                ["id", "n", "sig1", "sig2", "prefix", "bitmap"],
+                [b.column("id"), *ints, _lists([x[2] for x in parts]), _lists([x[3] for x in parts]), _lists([_bitmap(s) if s.size else s for s in sets])],
+                ["id", "n", "sig1", "sig2", "p", "nz", "keys", "small", "bitmap"],
             )
 
-    return docs.select("id", "text").mapInArrow(run, "id long, n long, sig1 long, sig2 long, prefix array<long>, bitmap array<long>")
+    return docs.select("id", "text").mapInArrow(run, "id long, n long, sig1 long, sig2 long, p long, nz long, keys array<long>, small array<long>, bitmap array<long>")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -156,12 +153,81 @@ def _linked(inter: Column, n: Column, m: Column, num: int, den: int) -> Column:
     return den * inter >= num * (n + m - inter)
 
 
-def _direct(lists: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, na, b, nb) from the entries of lists; sizes and positions must leave room."""
-    a, b = F.col("a"), F.col("b")
-    far = (num + den) * F.least(a["n"] - a["pos"], b["n"] - b["pos"]) < num * (a["n"] + b["n"])
-    pairs = lists.where((a["id"] < b["id"]) & ~far)
-    return pairs.select(a["id"].alias("a"), a["n"].alias("na"), b["id"].alias("b"), b["n"].alias("nb"))
+def _prefixes(reps: DataFrame) -> DataFrame:
+    """(id, n, p, small, toks): the shingles of each set's prefix and some more that other sets
+    have as well, as (pos, key) in order; ``small`` tells the two indexes apart."""
+    late = F.when(F.col("i") < F.col("nz"), -1).otherwise(F.col("i") - F.col("nz")).cast("int").alias("late")
+    every = reps.select("id", "nz", F.posexplode("keys").alias("i", "key")).select("key", "id", late)
+    every = every.unionByName(reps.select(F.explode("small").alias("key"), "id", F.lit(-2).alias("late")))
+    total = reps.agg(F.sum(F.size("keys") + F.size("small"))).first()[0] or 0
+    counts = settle(every.groupBy("key").agg(F.count(F.lit(1)).alias("cnt")).where("cnt > 1"))
+    shared = join_counted(every, counts, ["key"], "cnt", total)
+    behind = F.col("late") >= 0
+    tok = F.struct(behind.alias("behind"), F.when(behind, 0).otherwise(F.col("cnt")).alias("cnt"), "key", "late")
+    sets = shared.groupBy("id", (F.col("late") == -2).alias("small")).agg(F.sort_array(F.collect_list(tok)).alias("all"), F.count_if(~behind).alias("early"))
+    sets = sets.join(reps.select("id", "n", "p", "nz"), "id")
+    alone = F.when(F.col("small"), F.col("n")).otherwise(F.col("nz")) - F.col("early")  # in the zone, and in this set only
+    place = F.transform("all", lambda t, i: F.struct(F.when(t["late"] >= 0, F.col("nz") + t["late"]).otherwise(alone + i).alias("pos"), t["key"].alias("key")))
+    return sets.select("id", "n", "p", "small", F.filter(place, lambda t: t["pos"] < F.col("p") + ROUNDS - PIVOTS).alias("toks"))
+
+
+def _short_pairs(lists: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, na, b, nb) of short lists; ``all`` has (n, rest, id) by size, ``rest`` being what
+    the entry's position leaves for the overlap."""
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size = b.column("all").value_lengths().to_numpy(zero_copy_only=False)
+            flat = b.column("all").flatten()
+            n, rest, ids = (flat.field(k).to_numpy() for k in ("n", "rest", "id"))
+            left = np.repeat(np.cumsum(size), size) - np.arange(n.size)  # entries of the list from here on
+            out = []
+            for gap in range(1, int(size.max(initial=0))):
+                i = np.flatnonzero(left > gap)
+                j = i + gap
+                ok = (num * n[j] <= den * n[i]) & ((num + den) * np.minimum(rest[i], rest[j]) >= num * (n[i] + n[j]))
+                out.append((i[ok], j[ok]))
+            i, j = (np.concatenate([np.zeros(0, np.int64), *(o[k] for o in out)]) for k in range(2))
+            yield _pairs(ids, n, i, ids, n, j)
+
+    return lists.mapInArrow(pair, "a long, na long, b long, nb long")
+
+
+def _pairs(ids: np.ndarray, n: np.ndarray, i: np.ndarray, ids2: np.ndarray, n2: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+    """Pairs (a, na, b, nb), the lesser id first."""
+    x, y, nx, ny = ids[i], ids2[j], n[i], n2[j]
+    swap = x > y
+    cols = [np.where(swap, y, x), np.where(swap, ny, nx), np.where(swap, x, y), np.where(swap, nx, ny)]
+    keep = x != y
+    return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], ["a", "na", "b", "nb"])
+
+
+def _block_pairs(long: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of long lists, made block by block: (shingle, a range of sizes, a part of its entries)."""
+    step = F.floor(F.log(F.col("n")) / F.log(F.lit(den / num))).cast("int").alias("step")
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("cnt") / BLOCK)).alias("part")
+    blocks = long.select("shingle", step, part, F.struct((-F.col("rest")).alias("less"), "n", "id").alias("e")).groupBy("shingle", "step", "part")
+    blocks = blocks.agg(F.sort_array(F.collect_list("e")).alias("all"), F.min("e.n").alias("low"), F.max("e.n").alias("high"), F.max(-F.col("e.less")).alias("rest"))
+    blocks = settle(blocks)
+    # sets that link are in the same step or in neighbouring ones
+    one = blocks.select("shingle", *[F.col(c).alias(f"x_{c}") for c in ("step", "part", "all", "low", "high", "rest")])
+    two = blocks.select("shingle", *[F.col(c).alias(f"y_{c}") for c in ("step", "part", "all", "low", "high", "rest")]).withColumn("x_step", F.explode(F.array("y_step", F.col("y_step") - 1)))
+    room = (num + den) * F.least("x_rest", "y_rest") >= num * (F.col("x_low") + F.col("y_low"))
+    both = one.join(two, ["shingle", "x_step"]).where(((F.col("x_step") < F.col("y_step")) | (F.col("x_part") <= F.col("y_part"))) & room & (num * F.col("y_low") <= den * F.col("x_high")))
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                (lx, nx, ix), (ly, ny, iy) = ([b.column(c)[k].values.field(f).to_numpy() for f in ("less", "n", "id")] for c in ("x_all", "y_all"))
+                # by position: entries after the first that leaves too little are skipped
+                x = int(np.searchsorted(lx, -(num * (nx.min() + ny.min())) / (num + den), "right"))
+                y = int(np.searchsorted(ly, -(num * (nx.min() + ny.min())) / (num + den), "right"))
+                need = num * (nx[:x, None] + ny[None, :y])
+                ok = ((num + den) * np.minimum(-lx[:x, None], -ly[None, :y]) >= need) & (num * np.maximum(nx[:x, None], ny[None, :y]) <= den * np.minimum(nx[:x, None], ny[None, :y]))
+                i, j = np.nonzero(ok)
+                yield _pairs(ix, nx, i, iy, ny, j)
+
+    return both.select("x_all", "y_all").repartition(F.xxhash64("x_all", "y_all")).mapInArrow(pair, "a long, na long, b long, nb long")
 
 
 def _with(pairs: DataFrame, side: DataFrame, value: str) -> DataFrame:
@@ -190,24 +256,32 @@ def links(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, D
     members = settle(members)
     copies = members.where("id != rep").select("id", *sig)
     copies = bounded_broadcast(copies, copies.count())
-    reps = settle(base.where("n > 0").join(copies, ["id", *sig], "left_anti").select("id", "n", "prefix", "bitmap"))
+    reps = base.where(f"n > 0 and {den - num} * n >= {num}").join(copies, ["id", *sig], "left_anti")
+    reps = settle(reps.select("id", "n", "p", "nz", "keys", "small", "bitmap"))
     bitmaps = reps.select("id", "bitmap")
-    entries = reps.select("id", "n", F.posexplode("prefix").alias("pos", "shingle"))
+    prefixes = settle(_prefixes(reps))
+    tok = F.col("tok")
+    entries = prefixes.select("id", "n", "p", "small", F.explode("toks").alias("tok")).where(tok["pos"] < F.col("p"))
+    entries = entries.select("id", "n", "small", tok["pos"].alias("pos"), tok["key"].alias("shingle"), (F.col("n") - tok["pos"]).alias("rest"))
 
     near = max(1 - 3 * (1 - num / den), 0.5)
     zone = near - (1 - num / den)
     pairs: list[DataFrame] = []
     stars: list[DataFrame] = []
     for turn in range(ROUNDS + 1):
-        stats = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("cnt"), F.min(F.struct("id", "n")).alias("p")).where("cnt > 1").select("shingle", "cnt", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n"))
+        level = max(0, turn - PIVOTS)  # shingles in a list's name but one
+        tail = F.col("n") - F.ceil(num * F.col("n") / F.lit(float(den))) + 1 + level - F.col("pos")
+        stats = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("cnt"), F.min(F.struct("id", "n")).alias("p"), F.sum(tail).alias("tail")).where("cnt > 1").select("shingle", "cnt", "tail", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n"))
         hits = settle(entries.join(stats, "shingle"))
-        entry = F.struct("id", "n", "pos")
-        lists = hits.where(F.col("cnt") <= SHORT_LIST).groupBy("shingle").agg(F.collect_list(entry).alias("all"))
-        pairs.append(_direct(lists.select("all", F.explode("all").alias("a")).select("a", F.explode("all").alias("b")), num, den))
+        lists = hits.where(F.col("cnt") <= SHORT_LIST).groupBy("shingle").agg(F.sort_array(F.collect_list(F.struct("n", "rest", "id"))).alias("all"))
+        pairs.append(_short_pairs(lists.select("all"), num, den))
         long = hits.where(F.col("cnt") > SHORT_LIST)
+        if PIVOTS <= turn < ROUNDS:
+            cheap = F.col("cnt") * F.col("cnt") <= 2 * F.col("tail")
+            pairs.append(_block_pairs(long.where(cheap), num, den))
+            long = long.where(~cheap)
         if turn == ROUNDS:
-            a, b = long.select("shingle", entry.alias("a")), long.select("shingle", entry.alias("b"))
-            pairs.append(_direct(a.join(b, "shingle"), num, den))
+            pairs.append(_block_pairs(long, num, den))
             break
         star = settle(long.where("id != pivot").select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("pivot").alias("b"), F.col("pivot_n").alias("nb")).distinct())
         if star.isEmpty():
@@ -225,7 +299,11 @@ def links(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, D
         stars.append(found.where(F.col("cost") <= (den - num) * F.col("nb")).select("a", "b"))
         pairs.append(_by_differences(found, num, den))
         done = found.where(F.col("like") >= near).select(F.col("a").alias("id"), F.col("b").alias("pivot"))
-        entries = settle(long.where("id != pivot").join(done, ["id", "pivot"], "left_anti").select("id", "n", "pos", "shingle"))
+        far = long.where("id != pivot").join(done, ["id", "pivot"], "left_anti").select("id", "n", "small", "pos", "shingle", "rest")
+        if turn >= PIVOTS:  # lists of one shared shingle more; the last one stands before p + level + 1
+            more = far.drop("n").join(prefixes, ["id", "small"]).select("id", "n", "small", "shingle", F.explode(F.filter("toks", lambda t, at=level + 1: (t["pos"] > F.col("pos")) & (t["pos"] < F.col("p") + at))).alias("tok"))
+            far = more.select("id", "n", "small", tok["pos"].alias("pos"), F.xxhash64("shingle", tok["key"]).alias("shingle"), (F.col("n") - tok["pos"] + level + 1).alias("rest"))
+        entries = settle(far)
         if entries.isEmpty():
             break
 

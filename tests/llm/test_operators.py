@@ -74,9 +74,12 @@ def test_dedup_is_exact(spark):
     assert {(r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in got} == {(i, max(g), len(g), i == max(g), hashlib.sha256(t.encode()).hexdigest()) for t, g in groups.items() for i in g}
 
 
-@pytest.mark.parametrize(("words", "num", "den", "short"), [(3, 90, 100, 16), (2, 60, 100, 1), (2, 80, 100, 2)])
-def test_join_is_exact(spark, monkeypatch, words, num, den, short):
-    monkeypatch.setattr(ngram_join, "SHORT_LIST", short)  # long lists are the rule then
+@pytest.mark.parametrize(("words", "num", "den", "settings"), [(3, 90, 100, {}), (2, 60, 100, {"SHORT_LIST": 1, "SMALL_SET": 20}), (2, 80, 100, {"SHORT_LIST": 2, "PIVOTS": 0, "ROUNDS": 3}), (2, 70, 100, {"SHORT_LIST": 2, "ROUNDS": 0, "PIVOTS": 0, "BLOCK": 3, "SMALL_SET": 0})])
+def test_join_is_exact(spark, monkeypatch, words, num, den, settings):
+    for name, value in settings.items():
+        monkeypatch.setattr(ngram_join, name, value)  # long lists are the rule then
+    if "SMALL_SET" in settings:  # shuffles in place of broadcasts
+        monkeypatch.setattr(ngram_join, "bounded_broadcast", lambda df, rows: df)
     rows = some()
     sets = {}
     for i, t in rows:
@@ -98,6 +101,31 @@ def test_join_is_exact(spark, monkeypatch, words, num, den, short):
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == {(i, len(s), find(i)) for i, s in sets.items()}
 
 
+def test_a_shingle_of_thousands_of_unlike_sets_makes_few_pairs(spark, monkeypatch):
+    made = []
+    real = ngram_join._with
+    monkeypatch.setattr(ngram_join, "_with", lambda pairs, side, value: made.append(pairs.count()) or real(pairs, side, value))
+    n = 3000
+    rows = [(i, "one two three " + " ".join(f"w{i}x{k}" for k in range(10))) for i in range(n)]
+    rows += [(n + i, rows[i][1] + " more") for i in range(5)]  # a few do link
+    got = {r.doc_id: r.component_id for r in ngram_join.components(table(spark, rows), 3, 80, 100).collect()}
+    assert got == {i: i - n if i >= n else i for i, _ in rows}
+    assert max(made) < 3 * n
+
+
+def test_texts_of_a_repeating_pattern_are_told_apart(spark):
+    """Thue-Morse words: equal sums under powers of any base modulo 2^64."""
+    text = "a"
+    for _ in range(11):
+        text += text.translate(str.maketrans("ab", "ba"))
+    other = text.translate(str.maketrans("ab", "ba"))
+    spaced, spaced2 = " ".join(text), " ".join(other)
+    got = ngram_join.components(table(spark, [(1, text), (2, other), (3, f"{spaced} x"), (4, f"{spaced2} y")]), 1, 80, 100).collect()
+    assert [r.component_id for r in sorted(got, key=lambda r: r.doc_id)] == [1, 2, 3, 4]  # 3 and 4 share the words a and b of a, b, x, y
+    rows = [(1, f"{text} 1 2 3 4 5 6 7\nend"), (2, f"{other} 1 2 3 4 5 6 7\nend"), (3, f"{spaced}\nend"), (4, f"{spaced2}\nend")]
+    assert {r.doc_id: r.text for r in line_dedup.line_dedup(table(spark, rows), extend=True).collect()} == dict(rows)
+
+
 @pytest.mark.parametrize("n", range(7))
 def test_join_of_few_words(spark, n):
     got = ngram_join.components(table(spark, [(1, " ".join(f"w{k}" for k in range(n)))])).collect()
