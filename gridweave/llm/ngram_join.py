@@ -37,10 +37,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, join_counted, mix, settle, slices, texts, word_hashes
+from .common import HOT_PARTS, bounded_broadcast, mix, settle, slices, texts, word_hashes
 
 #: Lists up to this length are paired directly.
 SHORT_LIST = 16
@@ -159,9 +159,15 @@ def _prefixes(reps: DataFrame) -> DataFrame:
     late = F.when(F.col("i") < F.col("nz"), -1).otherwise(F.col("i") - F.col("nz")).cast("int").alias("late")
     every = reps.select("id", "nz", F.posexplode("keys").alias("i", "key")).select("key", "id", late)
     every = every.unionByName(reps.select(F.explode("small").alias("key"), "id", F.lit(-2).alias("late")))
-    total = reps.agg(F.sum(F.size("keys") + F.size("small"))).first()[0] or 0
-    counts = settle(every.groupBy("key").agg(F.count(F.lit(1)).alias("cnt")).where("cnt > 1"))
-    shared = join_counted(every, counts, ["key"], "cnt", total)
+    # Keys that a sample shows to be frequent are counted before they move, and stay where they are; a window
+    # counts the others.  The sample decides where a key is counted, not how: either way is exact.
+    seen = every.sample(1 / 32, seed=1)
+    often = seen.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") > 8 + seen.count() // HOT_PARTS)
+    often = F.broadcast(settle(often.select("key")))  # fewer than HOT_PARTS keys
+    hot = every.join(often, "key", "left_semi")
+    hot = hot.join(F.broadcast(hot.groupBy("key").agg(F.count(F.lit(1)).alias("cnt"))), "key")
+    cold = every.join(often, "key", "left_anti").withColumn("cnt", F.count(F.lit(1)).over(Window.partitionBy("key")))
+    shared = hot.unionByName(cold).where("cnt > 1")
     behind = F.col("late") >= 0
     tok = F.struct(behind.alias("behind"), F.when(behind, 0).otherwise(F.col("cnt")).alias("cnt"), "key", "late")
     sets = shared.groupBy("id", (F.col("late") == -2).alias("small")).agg(F.sort_array(F.collect_list(tok)).alias("all"), F.count_if(~behind).alias("early"))
