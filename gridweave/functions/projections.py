@@ -34,21 +34,40 @@ class Srs:
 EPSG = {"EPSG:4326": "+proj=longlat", "EPSG:3857": "+proj=merc +R=6378137", "EPSG:6933": "+proj=cea +lat_ts=30 +R=6371007.2", "EPSG:2163": "+proj=laea +lat_0=45 +lon_0=-100 +R=6370997"}
 
 
+#: Parameters that are read, and those that say nothing here.
+KNOWN = ("proj", "lon_0", "lat_0", "lat_1", "lat_2", "lat_ts", "x_0", "y_0", "R", "a", "b", "ellps", "units", "to_meter", "pm", "datum", "rf", "f", "es")
+IGNORED = ("no_defs", "type", "wktext", "over", "nadgrids")
+
+
 def parse(text: str) -> Srs:
-    """A proj4 string ("+proj=sinu +lon_0=10"), a bare projection name or one of ``EPSG``."""
+    """A proj4 string ("+proj=sinu +lon_0=10"), a bare projection name or one of ``EPSG``.
+
+    A bare "aea" has the parallels 29.5 and 45.5.  Units other than metres, a prime meridian other than
+    Greenwich's and unknown parameters raise an error, an ellipsoid or datum ``EllipsoidNotSupported``.
+    """
     text = EPSG.get(text.strip().upper(), text.strip())
-    if not text.startswith("+"):
-        text = f"+proj={text}"
-    words = dict(w.lstrip("+").partition("=")[::2] for w in text.split() if w.startswith("+"))
-    if words.get("ellps", "sphere") != "sphere" or {"b", "rf", "f", "es"} & set(words) and words.get("b") != words.get("a"):
-        raise EllipsoidNotSupported(text)
+    bare = not text.startswith("+")
+    words = dict(w.lstrip("+").partition("=")[::2] for w in (f"+proj={text}" if bare else text).split() if w.startswith("+"))
     name = {"latlong": "longlat", "lonlat": "longlat"}.get(words.get("proj", ""), words.get("proj", ""))
     if name not in FORWARD:
         raise ProjectionError(f"projection {name!r} is not known")
+    if unknown := set(words) - {*KNOWN, *IGNORED}:
+        raise ProjectionError(f"{text}: unknown parameters {sorted(unknown)}")
+    if name != "longlat" and (words.get("ellps", "sphere") != "sphere" or "datum" in words or {"rf", "f", "es"} & set(words) or words.get("b", words.get("a")) != words.get("a")):
+        raise EllipsoidNotSupported(text)
+    if words.get("units", "m") != "m" or float(words.get("to_meter") or 1) != 1 or words.get("pm", "0") not in ("0", "greenwich"):
+        raise ProjectionError(f"{text}: units must be metres and longitudes count from Greenwich")
+    if name == "aea" and not bare and "lat_1" not in words:
+        raise ProjectionError(f"{text}: the conic needs its parallels lat_1 and lat_2")
     number = {k: float(words[k]) for k in ("lon_0", "lat_0", "lat_1", "lat_2", "lat_ts", "x_0", "y_0") if words.get(k)}
     return Srs(name, float(words.get("R") or words.get("a") or RADIUS), **number)
 
 
+def _wrapped(lam: str) -> str:
+    """Longitudes beyond half a turn, brought back."""
+    return f"(CASE WHEN abs({lam}) > {lit(math.pi + 1e-9)} THEN {lam} - {lit(2 * math.pi)}*floor(({lam} + {PI}e0)/{lit(2 * math.pi)}) ELSE {lam} END)"
+
+
 def lit(x: float) -> str:
     """A DOUBLE literal; a plain decimal would be DECIMAL."""
     return f"({float(x)!r}e0)" if "e" not in repr(float(x)) else f"({float(x)!r})"
@@ -218,14 +237,14 @@ def forward(srs: str | Srs, lam: str, phi: str) -> tuple[str, str]:
     s = srs if isinstance(srs, Srs) else parse(srs)
     if s.proj == "longlat":
         return FORWARD["longlat"](s, lam, phi)
-    x, y = FORWARD[s.proj](s, f"({lam} - {lit(math.radians(s.lon_0))})" if s.lon_0 else lam, phi)
+    x, y = FORWARD[s.proj](s, _wrapped(f"({lam} - {lit(math.radians(s.lon_0))})") if s.lon_0 else lam, phi)
     return (f"({x} + {lit(s.x_0)})" if s.x_0 else f"({x})"), (f"({y} + {lit(s.y_0)})" if s.y_0 else f"({y})")
 
 
 def inverse(srs: str | Srs, x: str, y: str) -> tuple[str, str]:
-    """(longitude, latitude) of a point; longitudes are not wrapped."""
+    """(longitude, latitude) of a point; with a central meridian, longitudes are wrapped."""
     s = srs if isinstance(srs, Srs) else parse(srs)
     lam, phi = INVERSE[s.proj](s, f"({x} - {lit(s.x_0)})" if s.x_0 else x, f"({y} - {lit(s.y_0)})" if s.y_0 else y)
     if s.lon_0 and s.proj != "longlat":
-        lam = f"({lam} + {lit(math.radians(s.lon_0))})"
+        lam = _wrapped(f"({lam} + {lit(math.radians(s.lon_0))})")
     return f"({lam})", f"({phi})"

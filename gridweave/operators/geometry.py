@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.projections import forward, inverse, lit
+from ..functions import sphere
+from ..functions.projections import forward, inverse, lit, parse
 from ..model import BadArgument, Grid
-
-#: How far a point may come back from a round trip, in units of its own system.
-TOLERANCE = 0.01
+from .tilewise import STRIP, TOLERANCE, rectangles
 
 
 def to_projected(g: Grid, col: str = "col", row: str = "row") -> tuple[str, str]:
@@ -74,8 +76,20 @@ MAP = ["valid", "ul_col", "ul_row", "lr_col", "lr_row"]
 
 
 def pixel_map(df: DataFrame, grid_from: Grid, grid_to: Grid, support: int = 0, area_check: bool = True) -> DataFrame:
-    """``df`` (row, col of ``grid_from``) with the columns ``MAP``."""
-    return _chain(df, pixel_map_steps(grid_from, grid_to, support, area_check)).select(*df.columns, *MAP)
+    """``df`` (row, col of ``grid_from``) with the columns ``MAP``; numpy maps a batch of cells at once.
+
+    As one expression the map is more code than the JVM compiles; ``pixel_map_sql`` is its form in SQL.
+    """
+    names = [*df.columns, *MAP]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, col = (b.column(c).to_numpy().astype(np.int64) for c in ("row", "col"))
+            ok, *box = rectangles(grid_from, grid_to, row, col, support, area_check)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ok), *(pa.array(x, mask=~ok) for x in box)], names)
+
+    schema = ", ".join([*(f"`{k}` {v}" for k, v in df.dtypes), "valid boolean, ul_col long, ul_row long, lr_col long, lr_row long"])
+    return df.mapInArrow(run, schema)
 
 
 def pixel_map_sql(cells_sql: str, grid_from: Grid, grid_to: Grid, support: int = 0) -> str:
@@ -85,6 +99,23 @@ def pixel_map_sql(cells_sql: str, grid_from: Grid, grid_to: Grid, support: int =
     return cells_sql
 
 
+def transform_points(df: DataFrame, srs: str, x: str, y: str, to: tuple[str, str], back: bool = False) -> DataFrame:
+    """``df`` with two columns ``to``: longitude ``x`` and latitude ``y`` (radians) in ``srs``, or with ``back``
+    the longitude and latitude of its points; null outside the projection's domain."""
+    names = [*df.columns, *to]
+    s = parse(srs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = [b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in (x, y)]
+            got = (sphere.inverse if back else sphere.forward)(s, *at)
+            bad = np.isnan(got[0]) | np.isnan(got[1])
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(v, pa.float64(), mask=bad) for v in got)], names)
+
+    schema = ", ".join([*(f"`{k}` {v}" for k, v in df.dtypes), *(f"`{c}` double" for c in to)])
+    return df.mapInArrow(run, schema)
+
+
 def border_bands(g: Grid, mode: str = "strict", buffer: int = 10) -> list[tuple[int, int, int, int]]:
     """(row, last row, col, last col) of the cells whose corners are scanned for an extent.
 
@@ -166,8 +197,28 @@ def block_partition_sql(n_rows: int, n_cols: int, tile_size: int, partition_size
 
 def raster_minbox(parts: DataFrame, grid_from: Grid, grid_to: Grid) -> DataFrame:
     """(part_id, ul_col, ul_row, lr_col, lr_row): for each block of ``grid_from`` the box of
-    ``grid_to`` that its cells need; blocks wholly outside have no row."""
-    rows = parts.select("part_id", F.explode(F.sequence("ul_row", "lr_row")).alias("row"), "ul_col", "lr_col")
-    each = rows.select("part_id", "row", F.explode(F.sequence("ul_col", "lr_col")).alias("col"))
-    m = pixel_map(each, grid_from, grid_to).where(f"valid AND ul_col <= {grid_to.n_cols - 1} AND ul_row <= {grid_to.n_rows - 1} AND lr_col <= {grid_to.n_cols - 1} AND lr_row <= {grid_to.n_rows - 1}")
-    return m.groupBy("part_id").agg(F.min("ul_col").alias("ul_col"), F.min("ul_row").alias("ul_row"), F.max("lr_col").alias("lr_col"), F.max("lr_row").alias("lr_row"))
+    ``grid_to`` that its cells need; blocks wholly outside have no row.  A block stays one row; its
+    cells are mapped in strips."""
+
+    def box(part: dict) -> list[int] | None:
+        found = []
+        wide = part["lr_col"] - part["ul_col"] + 1
+        step = max(1, STRIP // wide)
+        for r in range(part["ul_row"], part["lr_row"] + 1, step):
+            row, col = np.divmod(np.arange(min(step, part["lr_row"] + 1 - r) * wide), wide)
+            ok, c0, r0, c1, r1 = rectangles(grid_from, grid_to, row + r, col + part["ul_col"])
+            ok &= (c0 < grid_to.n_cols) & (r0 < grid_to.n_rows) & (c1 < grid_to.n_cols) & (r1 < grid_to.n_rows)
+            if ok.any():
+                found.append((c0[ok].min(), r0[ok].min(), c1[ok].max(), r1[ok].max()))
+        if not found:
+            return None
+        low, high = np.min(found, axis=0), np.max(found, axis=0)
+        return [int(x) for x in (low[0], low[1], high[2], high[3])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(part["part_id"], *got) for part in b.to_pylist() if (got := box(part))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(5)], ["part_id", "ul_col", "ul_row", "lr_col", "lr_row"])
+
+    every = parts.select(F.col("part_id").cast("long"), *[F.col(c).cast("long") for c in ("ul_col", "ul_row", "lr_col", "lr_row")])
+    return every.mapInArrow(run, "part_id long, ul_col long, ul_row long, lr_col long, lr_row long")

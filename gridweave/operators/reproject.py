@@ -40,7 +40,7 @@ def weight_sql(kernel: Callable[[str], str], support: int, grid_in: Grid, grid_o
 
 
 def _clean(value: str = "value") -> Column:
-    """NaN cells take part in no minimum or maximum."""
+    """NaN cells take part in no resampler but nearest."""
     return F.when(~F.isnan(F.col(value).cast("double")), F.col(value))
 
 
@@ -66,10 +66,10 @@ def reproject(pixels: DataFrame, grid_in: Grid, grid_out: Grid, resampler: Resam
         each = rows.select("*", F.explode(F.sequence("ul_col", "lr_col")).alias("col"))
         joined = each.join(pixels, ["row", "col"])
         if r.support:
-            joined = joined.withColumn("w", F.expr(weight_sql(kernel or KERNELS[r.value], r.support, grid_in, grid_out)))
+            joined = joined.where(~F.isnan(F.col("value").cast("double"))).withColumn("w", F.expr(weight_sql(kernel or KERNELS[r.value], r.support, grid_in, grid_out)))
             out = F.try_divide(F.sum(F.col("w") * F.col("value")), F.sum("w"))
         else:
-            out = {Resampler.MIN: F.min(_clean()), Resampler.MAX: F.max(_clean()), Resampler.MEAN: F.avg("value")}[r]
+            out = {Resampler.MIN: F.min(_clean()), Resampler.MAX: F.max(_clean()), Resampler.MEAN: F.avg(_clean())}[r]
         got = joined.groupBy(*keys, "dst_row", "dst_col").agg(out.alias("value"))
     rasters = pixels.select(*keys).distinct()
     grid = rasters.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(grid_out.n_rows - 1)))).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(grid_out.n_cols - 1))))

@@ -11,34 +11,40 @@ from pyspark.sql import functions as F
 
 from ..model import BadArgument, Grid, Job, Resampler
 from ..operators.geometry import output_grid
-from ..operators.reproject import TIMES, reproject, write_timing
-from ..operators.tiles import to_pixels, to_tiles
+from ..operators.reproject import TIMES, write_timing
+from ..operators.tilewise import reproject_tiles
 from ..sources.bigtiff import options, read_header, register
 
 
 def plan(spark: SparkSession, job: Job) -> tuple[DataFrame, Grid]:
-    """The output's cells, lazily, and its grid."""
+    """The output's tiles, lazily, and its grid.  Only source tiles that the output needs are read."""
     register(spark)
     source = read_header(job.input).grid
-    pixels = to_pixels(spark.read.format("gridtiff").load(job.input))
+    tiles = spark.read.format("gridtiff").load(job.input)
     if source.n_bands == 1:
-        pixels = pixels.drop("band")
+        tiles = tiles.drop("band")
     grid = output_grid(spark, source, job.output_srs, job.tile_size, job.output_ratio, float(job.fill) if job.fill else None)
-    return reproject(pixels, source, grid, job.resampler, job.fill_value), grid
+    return reproject_tiles(tiles, source, grid, job.resampler, job.fill_value, partition_size=job.partition_size), grid
 
 
 def run(spark: SparkSession, job: Job) -> Grid:
-    """One plan and one write; Spark deals the work out, so ``partition_size`` only bounds a task's tiles."""
+    """One plan and one write; ``partition_size`` output tiles are mapped by one task.
+
+    The timing file has the seconds of the whole, of planning (the source boxes among it) and of the
+    one Spark job that reads, resamples and writes; what Spark does not tell apart is left empty.
+    """
     if not job.input or not job.output:
         raise BadArgument("input and output are needed")
+    if job.partition_size < 1:
+        raise BadArgument("the partition size must be positive")
     began = time.time()
-    cells, grid = plan(spark, job)
+    tiles, grid = plan(spark, job)
     ready = time.time()
-    to_tiles(cells, grid).write.format("gridtiff").options(**options(grid)).mode("overwrite").save(job.output)
+    tiles.write.format("gridtiff").options(**options(grid)).mode("overwrite").save(job.output)
     if job.timing_file:
         now = time.time()
-        times = dict.fromkeys(TIMES, 0.0) | {"total": now - began, "preloop": ready - began, "write": now - ready}
-        row = spark.range(1).select(F.lit(0).alias("process"), *[F.lit(times[c]).alias(c) for c in TIMES])
+        times = dict.fromkeys(TIMES) | {"total": now - began, "preloop": ready - began, "write": now - ready}
+        row = spark.range(1).select(F.lit(0).alias("process"), *[F.lit(times[c]).cast("double").alias(c) for c in TIMES])
         write_timing(row, job.timing_file)
     return grid
 

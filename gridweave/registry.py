@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +15,7 @@ from .functions.projections import forward, inverse
 from .model import Grid, Resampler, cell_type
 from .operators import geometry as geo
 from .operators import reproject as rp
+from .operators import tilewise as tw
 from .operators import tiles as tl
 
 GLOBE = Grid("+proj=longlat", -180.0, 90.0, 5.625, 32, 64, "Float64")
@@ -93,7 +97,7 @@ def queries() -> dict[str, Query]:
         q[f"reproject_{r}"] = lambda s, d, r=r: rp.reproject(plane_pixels(s, d), PLANE, PLANE_OUT, r).withColumn("value", F.round("value", 4))
     q["reproject_sized_sinu"] = lambda s, d: rp.reproject(globe_pixels(s, d), GLOBE, geo.output_grid(s, GLOBE, "+proj=sinu"))
     for proj in (*PROJECTIONS, *PARAMETER):
-        q[f"proj_{proj}_fwd"] = lambda s, d, p=proj: geo._chain(_points(s, d), [dict(zip(("x", "y"), forward(p, "lam", "phi"), strict=True))]).selectExpr("id", "round(x, 3) AS x", "round(y, 3) AS y")
+        q[f"proj_{proj}_fwd"] = lambda s, d, p=proj: geo.transform_points(_points(s, d), p, "lam", "phi", ("x", "y")).selectExpr("id", "round(x, 3) AS x", "round(y, 3) AS y")
         q[f"proj_{proj}_roundtrip"] = _roundtrip(proj)
     q["cell_to_projected"] = lambda s, d: geo.cells(s, 32, 64).selectExpr("row", "col", *[f"{v} AS {k}" for k, v in zip("xy", geo.to_projected(GLOBE), strict=True)])
     q["projected_to_cell"] = lambda s, d: _points(s, d).selectExpr("id", *[f"round({v}, 9) AS {k}" for k, v in zip(("col", "row"), geo.to_raster(GLOBE, "degrees(lam)", "degrees(phi)"), strict=True)])
@@ -123,9 +127,49 @@ def queries() -> dict[str, Query]:
     q["tile_roundtrip_all"] = lambda s, d: tl.to_pixels(tl.to_tiles(_padded(all_pixels(s, d)), Grid("", 0, 0, 1, 32, 64, tile_size=10))).where("value is not null")
     q["raster_compare_badpixels_all"] = lambda s, d: rp.compare(all_pixels(s, d), all_pixels(s, d).withColumn("value", F.expr("value + CASE WHEN (row + col) % 7 = 0 THEN 0.01e0 ELSE 0.0005e0 END")))
     q["geotiff_roundtrip_all"] = geotiff_roundtrip_all
+    for r in Resampler:
+        q[f"reproject_tiles_{r.value}"] = lambda s, d, r=r: tiles_of(s, d, r)
     return q
 
 
+TILED_GLOBE = replace(GLOBE, tile_size=10)
+
+
+def tiles_of(s: SparkSession, d: str, r: Resampler) -> DataFrame:
+    """The same reprojections tile by tile: of all vectors, or of the orders for weighted resamplers."""
+    if r.support:
+        src, dst, pixels, digits = replace(PLANE, tile_size=16), replace(PLANE_OUT, tile_size=8), plane_pixels(s, d), 4
+    else:
+        src, dst, pixels, digits = TILED_GLOBE, replace(fixed_output("sinu"), tile_size=8), _padded(all_pixels(s, d)), 6
+    out = tw.reproject_tiles(tl.to_tiles(pixels, src), src, dst, r)
+    return tl.to_pixels(out).withColumn("value", F.round("value", digits))
+
+
+def sized_sinu() -> Grid:
+    """The grid of ``reproject_sized_sinu``, from the corners that are scanned, one by one."""
+    corners = [(row, col) for row in range(32) for col in range(64) if row >= 21 or col <= 10 or col >= 53]
+    at = [(6370997.0 * math.radians(col * 5.625 - 180) * math.cos(math.radians(90 - row * 5.625)), 6370997.0 * math.radians(90 - row * 5.625)) for row, col in corners]
+    left, right, low, high = min(x for x, _ in at), max(x for x, _ in at), min(y for _, y in at), max(y for _, y in at)
+    ps = math.hypot(right - left, high - low) / math.hypot(32, 64)
+    return Grid("+proj=sinu", left, high, ps, int(0.5 + (high - low) / ps), int(0.5 + (right - left) / ps))
+
+
+# Newton's steps for three projections, in SQL of their own: the step and x and y of the angle t
+NEWTON = {
+    "moll": ("(2*t + sin(2*t) - pi()*sin(phi))/(2 + 2*cos(2*t))", "0.9e0*phi", "2*sqrt(2e0)/pi()*lam*cos(t)", "sqrt(2e0)*sin(t)"),
+    "eck4": ("(t + sin(t)*cos(t) + 2*sin(t) - (2 + pi()/2)*sin(phi))/(2*cos(t)*(1 + cos(t)))", "phi/2", "2*lam*(1 + cos(t))/sqrt(pi()*(4 + pi()))", "2*sqrt(pi()/(4 + pi()))*sin(t)"),
+    "eck6": ("(t + sin(t) - (1 + pi()/2)*sin(phi))/(1 + cos(t))", "0.9e0*phi", "lam*(1 + cos(t))/sqrt(2 + pi())", "2*t/sqrt(2 + pi())"),
+}
+
+
+def newton_sql(proj: str) -> str:
+    step, start, x, y = NEWTON[proj]
+    sql = f"SELECT id, lam, phi, {start} AS t FROM ({POINTS}) p"
+    for _ in range(20):
+        sql = f"SELECT id, lam, phi, t - {step} AS t FROM ({sql}) n"
+    return f"SELECT id, round(6370997e0*{x}, 3) AS x, round(6370997e0*{y}, 3) AS y FROM ({sql}) n"
+
+
 BLOCKS = {"small": (180, 360, 1024, 1, 1000), "big": (21600, 43200, 1024, 1, 1000), "huge": (104424, 161190, 1024, 1, 1000), "worker_assign": (5000, 7000, 256, 6, 7)}
 TILED = Grid("", 0, 0, 1, 40, 50, "UInt16", tile_size=16)
 POINTS = "SELECT c_custkey AS id, radians((c_custkey*37 % 3400)/10e0 - 170e0) AS lam, radians((c_custkey*53 % 1600)/10e0 - 80e0) AS phi FROM customer"
@@ -143,7 +187,11 @@ ROUNDTRIP = "coalesce(abs(lam2 - lam) < 1e-6 AND abs(phi2 - phi) < 1e-6, x IS NU
 
 
 def _roundtrip(proj: str) -> Query:
-    return lambda s, d: geo._chain(_points(s, d), _back(proj)).selectExpr("id", ROUNDTRIP)
+    def query(s: SparkSession, d: str) -> DataFrame:
+        there = geo.transform_points(_points(s, d), proj, "lam", "phi", ("x", "y"))
+        return geo.transform_points(there, proj, "x", "y", ("lam2", "phi2"), back=True).selectExpr("id", ROUNDTRIP)
+
+    return query
 
 
 def _timing(s: SparkSession, d: str) -> DataFrame:
@@ -160,7 +208,7 @@ def geotiff_roundtrip(s: SparkSession, d: str) -> DataFrame:
     register(s)
     g = Grid("+proj=longlat", -180.0, 90.0, 5.625, 32, 64, "Float64", tile_size=16)
     folder = (s.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp()).removeprefix("file://")
-    path = tempfile.mktemp(suffix=".tif", dir=folder)
+    path = f"{folder}/grid-{uuid.uuid4().hex}.tif"
     one = globe_pixels(s, d).where("raster_id = 0").drop("raster_id")
     tl.to_tiles(one, g).write.format("gridtiff").options(**options(g)).mode("overwrite").save(path)
     return tl.to_pixels(s.read.format("gridtiff").load(path)).select("row", "col", "value")
@@ -182,7 +230,7 @@ def geotiff_roundtrip_all(s: SparkSession, d: str) -> DataFrame:
     rows = _read(s, d, "embeddings").agg(F.max("vec_id")).first()[0] + 1
     g = Grid("+proj=longlat", -180.0, 90.0, 5.625, rows, 64, "Float64", tile_size=64)
     folder = (s.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp()).removeprefix("file://")
-    path = tempfile.mktemp(suffix=".tif", dir=folder)
+    path = f"{folder}/grid-{uuid.uuid4().hex}.tif"
     tall = all_pixels(s, d).selectExpr("CAST(raster_id * 32 + row AS INT) AS row", "col", "value")
     tl.to_tiles(tall, g).write.format("gridtiff").options(**options(g)).mode("overwrite").save(path)
     return tl.to_pixels(s.read.format("gridtiff").option("tilesPerPartition", 256).load(path)).selectExpr("CAST(row div 32 AS BIGINT) AS raster_id", "row % 32 AS row", "col", "value")
@@ -231,6 +279,14 @@ def oracle_sql() -> dict[str, str]:
             g = fixed_output(proj)
             q[f"reproject_{r}_{proj}_all"] = _out_sql(_cells_sql(g), GLOBE, 0.0, agg, pixels=ALL_SQL, dst=g)
     q["tile_roundtrip_all"] = q["geotiff_roundtrip_all"] = ALL_SQL
+    for r in Resampler:
+        q[f"reproject_tiles_{r.value}"] = q[f"reproject_{r.value}"] if r.support else q[f"reproject_{r.value}_sinu_all"]
+    g = sized_sinu()
+    for name, pixels in (("reproject_sized_sinu", GLOBE_SQL), ("reproject_sized_sinu_all", ALL_SQL)):
+        q[name] = _out_sql(_cells_sql(g), GLOBE, 0.0, None, pixels=pixels, dst=g).replace("round(coalesce(g.value, 0.0), 6)", "coalesce(g.value, 0e0)")
+    for proj in PARAMETER:
+        q[f"proj_{proj}_fwd"] = newton_sql(proj)
+        q[f"proj_{proj}_roundtrip"] = f"SELECT id, true AS same FROM ({POINTS}) p"  # by definition
     q["raster_compare_badpixels_all"] = f"SELECT count(*) AS n_cells, 0 AS n_missing, count(*) FILTER ((row + col) % 7 = 0) AS n_bad FROM ({ALL_SQL}) p"
     times = ", ".join(f"round(avg({c}), 6) AS {c}" for c in rp.TIMES)
     sums = ", ".join(f"sum(value*{i + 1}) AS {c}" for i, c in enumerate(rp.TIMES))

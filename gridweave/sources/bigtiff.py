@@ -1,9 +1,16 @@
-"""Tiled, uncompressed little-endian BigTIFF as a Spark data source ("gridtiff").
-
-Reading: one input partition for a run of tiles; range filters on tile_row and tile_col prune
-tiles before any is read.  Writing: tasks write whole tiles as part files in a staging folder
-beside the file; the commit lays them behind the header in order, so a failed job leaves no
-file.  Paths must be reachable from all machines.
+"""Georeferenced TIFF files as a Spark data source ("gridtiff").
+
+Reading: classic TIFF and BigTIFF of either byte order, in tiles or strips, uncompressed or deflated,
+with interleaved bands.  A file in square tiles gives its own tiles; others give tiles of
+``tilesize`` cells (256 by default) cut from its blocks.  One input partition is a run of tiles;
+range filters on tile_row and tile_col prune tiles before any is read.  Blocks that a sparse file
+leaves out have the nodata value, or 0.
+
+Writing: tiled, uncompressed little-endian BigTIFF.  The header fixes every tile's place, so tasks
+write their tiles straight to their places in a file beside the target, and the commit adds the
+header and renames it; a failed job leaves no file, and a repeated task writes the same bytes again.
+With several bands, which share a tile's bytes, tasks write part files that the commit joins.
+Paths must be reachable from all machines.
 """
 
 from __future__ import annotations
@@ -11,8 +18,10 @@ from __future__ import annotations
 import os
 import struct
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import BinaryIO
 
 import numpy as np
 from pyspark.sql import SparkSession
@@ -28,21 +37,56 @@ FIELD_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11:
 FIELD_CODES = {1: "B", 2: "s", 3: "H", 4: "I", 6: "b", 7: "B", 8: "h", 9: "i", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q", 18: "Q"}
 WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, PLANAR = 256, 257, 258, 259, 262, 273, 277, 278, 284
 TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_BYTES, SAMPLE_FORMAT = 322, 323, 324, 325, 339
-PIXEL_SCALE, TIEPOINT, SRS_TEXT, NODATA = 33550, 33922, 34737, 42113
+STRIP_BYTES, PREDICTOR = 279, 317
+PIXEL_SCALE, TIEPOINT, GEO_KEYS, SRS_TEXT, NODATA = 33550, 33922, 34735, 34737, 42113
+NO_COMPRESSION, DEFLATE = 1, (8, 32946)
+MODEL_KEY, GEOGRAPHIC_KEY, PROJECTED_KEY = 1024, 2048, 3072
 
 
 @dataclass(frozen=True)
 class Header:
+    """``grid`` with the size of the tiles that are given; the file's blocks are block_rows x block_cols cells."""
+
     grid: Grid
     offsets: tuple[int, ...]
     order: str
+    sizes: tuple[int, ...] = ()
+    block_rows: int = 0
+    block_cols: int = 0
+    compression: int = NO_COMPRESSION
+    predictor: int = 1
 
     @property
     def across(self) -> int:
-        return -(-self.grid.n_cols // self.grid.tile_size)
+        return -(-self.grid.n_cols // self.block_cols)
 
-
-def read_header(path: str) -> Header:
+    def block(self, f: BinaryIO, i: int) -> np.ndarray:
+        """Cells (row, col, band) of the file's i-th block, which may be short at the lower edge."""
+        g = self.grid
+        kind = np.dtype(cell_type(g.pixel_type).code)
+        shape = (self.block_rows, self.block_cols, g.n_bands)
+        if not self.offsets[i] or not self.sizes[i]:
+            return np.full(shape, g.nodata or 0).astype(kind)
+        f.seek(self.offsets[i])
+        raw = f.read(self.sizes[i])
+        raw = zlib.decompress(raw) if self.compression in DEFLATE else raw
+        row = self.block_cols * g.n_bands * kind.itemsize
+        a = np.frombuffer(raw[: len(raw) // row * row], kind.newbyteorder(self.order)).reshape(-1, *shape[1:])
+        return np.cumsum(a, axis=1, dtype=kind) if self.predictor == 2 else a
+
+
+def _system(tags: dict) -> str:
+    """The reference system: the text this engine writes, or the EPSG code among the file's keys."""
+    text = tags.get(SRS_TEXT, b"").split(b"\0")[0].rstrip(b"|").decode("utf-8", "replace")
+    if text.startswith("+") or GEO_KEYS not in tags:
+        return text
+    keys = tags[GEO_KEYS]
+    found = {keys[k]: keys[k + 3] for k in range(4, len(keys) - 3, 4) if keys[k + 1] == 0}
+    code = found.get(PROJECTED_KEY) if found.get(MODEL_KEY) == 1 else found.get(GEOGRAPHIC_KEY)
+    return f"EPSG:{code}" if code and code != 32767 else text
+
+
+def read_header(path: str, tile_size: int = 256) -> Header:
     try:
         f = open(path, "rb")
     except OSError as e:
@@ -50,31 +94,46 @@ def read_header(path: str) -> Header:
     with f:
         head = f.read(16)
         order = {b"II": "<", b"MM": ">"}.get(head[:2])
-        if order is None or struct.unpack(order + "HHH", head[2:8]) != (43, 8, 0):
-            raise GridIOError(f"{path} is not a BigTIFF file")
-        f.seek(struct.unpack(order + "Q", head[8:16])[0])
+        version = struct.unpack(order + "H", head[2:4])[0] if order and len(head) == 16 else 0
+        if version not in (42, 43) or version == 43 and struct.unpack(order + "HH", head[4:8]) != (8, 0):
+            raise GridIOError(f"{path} is not a TIFF file")
+        big = version == 43
+        count, offset, entry, room = ("Q", "Q", "HHQ8s", 8) if big else ("H", "I", "HHI4s", 4)
+        f.seek(struct.unpack(order + offset, head[8:16] if big else head[4:8])[0])
         tags = {}
-        for _ in range(struct.unpack(order + "Q", f.read(8))[0]):
-            tag, kind, n, value = struct.unpack(order + "HHQ8s", f.read(20))
+        for _ in range(struct.unpack(order + count, f.read(struct.calcsize(order + count)))[0]):
+            tag, kind, n, value = struct.unpack(order + entry, f.read(struct.calcsize(order + entry)))
             size = FIELD_BYTES.get(kind, 0) * n
             if not size or kind not in FIELD_CODES:
                 continue
-            if size > 8:  # a single offset stands in the entry itself
+            if size > room:  # a single offset stands in the entry itself
                 at = f.tell()
-                f.seek(struct.unpack(order + "Q", value)[0])
+                f.seek(struct.unpack(order + offset, value)[0])
                 value = f.read(size)
                 f.seek(at)
             code = FIELD_CODES[kind]
             tags[tag] = value[:size] if code == "s" else struct.unpack(f"{order}{n}{code}", value[:size])
-    if tags.get(COMPRESSION, (1,))[0] != 1 or TILE_OFFSETS not in tags or tags[TILE_WIDTH] != tags[TILE_LENGTH]:
-        raise GridIOError(f"{path}: only uncompressed square tiles are read")
-    kind = {1: "u", 2: "i", 3: "f"}[tags.get(SAMPLE_FORMAT, (1,))[0]] + str(tags[BITS][0] // 8)
-    name = next((t.name for t in CELL_TYPES.values() if t.code == kind), kind)
+    compression, bands = tags.get(COMPRESSION, (1,))[0], tags.get(SAMPLES, (1,))[0]
+    if compression != NO_COMPRESSION and compression not in DEFLATE:
+        raise GridIOError(f"{path}: compression {compression} is not read")
+    if bands > 1 and tags.get(PLANAR, (1,))[0] != 1:
+        raise GridIOError(f"{path}: bands that are stored apart are not read")
+    code = {1: "u", 2: "i", 3: "f"}.get(tags.get(SAMPLE_FORMAT, (1,))[0], "?") + str(tags.get(BITS, (1,))[0] // 8)
+    name = next((t.name for t in CELL_TYPES.values() if t.code == code), code)
+    predictor = tags.get(PREDICTOR, (1,))[0]
+    if predictor not in (1, 2) or predictor == 2 and code[0] == "f":
+        raise GridIOError(f"{path}: predictor {predictor} is not read")
+    rows, cols = tags[LENGTH][0], tags[WIDTH][0]
+    if TILE_OFFSETS in tags:
+        high, wide, offsets, sizes = tags[TILE_LENGTH][0], tags[TILE_WIDTH][0], tags[TILE_OFFSETS], tags[TILE_BYTES]
+    else:
+        high, wide = min(rows, tags.get(ROWS_PER_STRIP, (rows,))[0]), cols
+        offsets, sizes = tags[STRIP_OFFSETS], tags[STRIP_BYTES]
     tie, scale = tags.get(TIEPOINT, (0.0,) * 6), tags.get(PIXEL_SCALE, (1.0,))
-    srs = tags.get(SRS_TEXT, b"").rstrip(b"\0|").decode()
-    nodata = tags.get(NODATA, b"").rstrip(b"\0").decode()
-    g = Grid(srs, tie[3] - tie[0] * scale[0], tie[4] + tie[1] * scale[0], scale[0], tags[LENGTH][0], tags[WIDTH][0], name, tags.get(SAMPLES, (1,))[0], float(nodata) if nodata else None, tags[TILE_WIDTH][0])
-    return Header(g, tags[TILE_OFFSETS], order)
+    nodata = tags.get(NODATA, b"").split(b"\0")[0].decode().strip()
+    size = wide if TILE_OFFSETS in tags and high == wide else tile_size
+    g = Grid(_system(tags), tie[3] - tie[0] * scale[0], tie[4] + tie[1] * scale[0], scale[0], rows, cols, name, bands, float(nodata) if nodata else None, size)
+    return Header(g, offsets, order, sizes, high, wide, compression, predictor)
 
 
 def header_bytes(g: Grid) -> tuple[bytes, int]:
@@ -114,6 +173,7 @@ class TiffReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path = options["path"]
         self.each = int(options.get("tilesPerPartition", 16))
+        self.tile_size = int(options.get("tilesize", 256))
         self.bounds: dict[str, list[int]] = {"tile_row": [0, 2**31], "tile_col": [0, 2**31]}
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
@@ -129,23 +189,33 @@ class TiffReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[InputPartition]:
-        h = read_header(self.path)
-        down = -(-h.grid.n_rows // h.grid.tile_size)
+        g = read_header(self.path, self.tile_size).grid
+        down, across = -(-g.n_rows // g.tile_size), -(-g.n_cols // g.tile_size)
         (r0, r1), (c0, c1) = self.bounds["tile_row"], self.bounds["tile_col"]
-        tiles = [(r, c) for r in range(max(0, r0), min(down - 1, r1) + 1) for c in range(max(0, c0), min(h.across - 1, c1) + 1)]
+        tiles = [(r, c) for r in range(max(0, r0), min(down - 1, r1) + 1) for c in range(max(0, c0), min(across - 1, c1) + 1)]
         return [_Tiles(tiles[i : i + self.each]) for i in range(0, len(tiles), self.each)]
 
     def read(self, partition: _Tiles) -> Iterator[tuple]:
-        h = read_header(self.path)
+        h = read_header(self.path, self.tile_size)
         g, ts = h.grid, h.grid.tile_size
-        kind = np.dtype(cell_type(g.pixel_type).code).newbyteorder(h.order)
+        kept: dict[int, np.ndarray] = {}  # blocks of the row of tiles at hand
+        at = None
         with open(self.path, "rb") as f:
             for r, c in partition.tiles:
-                f.seek(h.offsets[r * h.across + c])
-                a = np.frombuffer(f.read(ts * ts * g.n_bands * kind.itemsize), kind).reshape(ts, ts, g.n_bands)
+                if r != at:
+                    kept, at = {}, r
                 rows, cols = min(ts, g.n_rows - r * ts), min(ts, g.n_cols - c * ts)
+                out = np.zeros((rows, cols, g.n_bands))
+                for i in range(r * ts // h.block_rows, (r * ts + rows - 1) // h.block_rows + 1):
+                    for j in range(c * ts // h.block_cols, (c * ts + cols - 1) // h.block_cols + 1):
+                        k = i * h.across + j
+                        if k not in kept:
+                            kept[k] = h.block(f, k)
+                        top, left = i * h.block_rows - r * ts, j * h.block_cols - c * ts  # of the block in the tile
+                        part = kept[k][max(0, -top) : rows - top, max(0, -left) : cols - left]
+                        out[max(0, top) : max(0, top) + part.shape[0], max(0, left) : max(0, left) + part.shape[1]] = part
                 for band in range(g.n_bands):
-                    yield band + 1, r, c, r * ts, c * ts, rows, cols, a[:rows, :cols, band].astype(float).ravel().tolist()
+                    yield band + 1, r, c, r * ts, c * ts, rows, cols, out[:, :, band].ravel().tolist()
 
 
 class TiffWriter(DataSourceWriter):
@@ -160,34 +230,54 @@ class TiffWriter(DataSourceWriter):
     def write(self, rows: Iterator) -> WriterCommitMessage:
         g, ts = self.grid, self.grid.tile_size
         t = cell_type(g.pixel_type)
-        os.makedirs(self.staging, exist_ok=True)
         names = []
-        for row in rows:
-            v = dict(zip(self.names, row, strict=True))
-            a = np.zeros((ts, ts), t.code)
-            a[: v["n_rows"], : v["n_cols"]] = np.asarray(v["data"], float).reshape(v["n_rows"], v["n_cols"]).astype(t.code)
-            name = f"{v['tile_row'] * -(-g.n_cols // ts) + v['tile_col']}-{(v.get('band') or 1) - 1}"
-            with open(f"{self.staging}/{name}.{uuid.uuid4().hex}", "wb") as f:
-                f.write(a.astype(np.dtype(t.code).newbyteorder("<")).tobytes())
-            names.append((name, f.name))
+        if g.n_bands > 1:
+            os.makedirs(self.staging, exist_ok=True)
+            whole = None
+        else:
+            first = header_bytes(g)[1]
+            whole = os.open(f"{self.staging}.whole", os.O_RDWR | os.O_CREAT, 0o644)
+        try:
+            for row in rows:
+                v = dict(zip(self.names, row, strict=True))
+                a = np.zeros((ts, ts), t.code)
+                a[: v["n_rows"], : v["n_cols"]] = np.asarray(v["data"], float).reshape(v["n_rows"], v["n_cols"]).astype(t.code)
+                raw = a.astype(np.dtype(t.code).newbyteorder("<")).tobytes()
+                tile = v["tile_row"] * -(-g.n_cols // ts) + v["tile_col"]
+                if whole is not None:
+                    for at in range(0, len(raw), 1 << 20):
+                        os.pwrite(whole, raw[at : at + (1 << 20)], first + tile * len(raw) + at)
+                    continue
+                name = f"{tile}-{(v.get('band') or 1) - 1}"
+                with open(f"{self.staging}/{name}.{uuid.uuid4().hex}", "wb") as f:
+                    f.write(raw)
+                names.append((name, f.name))
+            if whole is not None:
+                os.fsync(whole)
+        finally:
+            if whole is not None:
+                os.close(whole)
         return _Written(names)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         g = self.grid
         if os.path.exists(self.path) and not self.overwrite:
             raise GridIOError(f"{self.path} exists")
-        parts = dict(x for m in messages if m for x in m.names)
         kind = np.dtype(cell_type(g.pixel_type).code).newbyteorder("<")
         head, first = header_bytes(g)
         n = -(-g.n_cols // g.tile_size) * -(-g.n_rows // g.tile_size)
-        with open(f"{self.staging}.whole", "wb") as out:
+        with open(f"{self.staging}.whole", "r+b" if os.path.exists(f"{self.staging}.whole") else "w+b") as out:
             out.write(head.ljust(first, b"\0"))
-            for i in range(n):
-                a = np.zeros((g.tile_size**2, g.n_bands), kind)
-                for band in range(g.n_bands):
-                    if f"{i}-{band}" in parts:
-                        a[:, band] = np.fromfile(parts[f"{i}-{band}"], kind)
-                out.write(a.tobytes())
+            if g.n_bands == 1:  # the tiles are there already; those that were not written are zeros
+                out.truncate(first + n * g.tile_size**2 * kind.itemsize)
+            else:
+                parts = dict(x for m in messages if m for x in m.names)
+                for i in range(n):
+                    a = np.zeros((g.tile_size**2, g.n_bands), kind)
+                    for band in range(g.n_bands):
+                        if f"{i}-{band}" in parts:
+                            a[:, band] = np.fromfile(parts[f"{i}-{band}"], kind)
+                    out.write(a.tobytes())
         os.replace(f"{self.staging}.whole", self.path)
         self._clean()
 
@@ -195,6 +285,8 @@ class TiffWriter(DataSourceWriter):
         self._clean()
 
     def _clean(self) -> None:
+        if os.path.exists(f"{self.staging}.whole"):
+            os.remove(f"{self.staging}.whole")
         if os.path.isdir(self.staging):
             for name in os.listdir(self.staging):
                 os.remove(f"{self.staging}/{name}")

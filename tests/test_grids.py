@@ -1,15 +1,19 @@
 import math
+import struct
+import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gridweave import registry
-from gridweave.functions import kernels
+from gridweave.functions import kernels, sphere
 from gridweave.functions.projections import forward, inverse, parse
-from gridweave.model import BadArgument, EllipsoidNotSupported, Grid, ProjectionError, Resampler, cell_type
+from gridweave.model import BadArgument, EllipsoidNotSupported, Grid, GridIOError, ProjectionError, Resampler, cell_type
 from gridweave.operators import geometry as geo
 from gridweave.operators import reproject as rp
 from gridweave.operators import tiles as tl
+from gridweave.operators import tilewise as tw
 from gridweave.plans.job import parse_args, run
 from gridweave.sources import bigtiff
 
@@ -118,6 +122,144 @@ def test_tiled_file(spark, tmp_path, kind, bands, ts):
     assert back.where("tile_row = 0 AND tile_col = 0").count() == bands
 
 
+def tiff(cells, tile=None, rows_per_strip=None, big=False, order="<", deflate=False, predictor=1, drop=(), extra=()):
+    """A file made by hand: ``cells`` [row, col, band] in tiles or strips."""
+    rows, cols, bands = cells.shape
+    kind = cells.dtype.newbyteorder(order)
+    high, wide = (tile, tile) if tile else (rows_per_strip, cols)
+    blocks = []
+    for r in range(0, rows, high):
+        for c in range(0, cols, wide):
+            a = np.zeros((high if tile else min(high, rows - r), wide, bands), cells.dtype)
+            part = cells[r : r + high, c : c + wide]
+            a[: part.shape[0], : part.shape[1]] = part
+            if predictor == 2:
+                a = np.diff(a, axis=1, prepend=np.zeros_like(a[:, :1]))
+            raw = a.astype(kind).tobytes()
+            blocks.append(b"" if len(blocks) in drop else zlib.compress(raw) if deflate else raw)
+    long = 16 if big else 4
+    tags = [(256, 4, [cols]), (257, 4, [rows]), (258, 3, [cells.itemsize * 8] * bands), (259, 3, [8 if deflate else 1]), (277, 3, [bands]), (317, 3, [predictor]), (339, 3, [{"u": 1, "i": 2, "f": 3}[cells.dtype.kind]] * bands), (33550, 12, [10.0, 10.0, 0.0]), (33922, 12, [0.0, 0.0, 0.0, -180.0, 90.0, 0.0]), (42113, 2, b"7\0"), *extra]
+    tags += [(322, 4, [tile]), (323, 4, [tile]), (324, long, None), (325, long, [len(b) for b in blocks])] if tile else [(273, long, None), (278, 4, [rows_per_strip]), (279, long, [len(b) for b in blocks])]
+    code = {2: "s", 3: "H", 4: "I", 12: "d", 16: "Q"}
+    count, offset, room = ("Q", "Q", 8) if big else ("H", "I", 4)
+    start = 16 if big else 8
+    data = start + struct.calcsize(order + count) + len(tags) * (20 if big else 12) + room
+    size = lambda kind, v: len(v) if kind == 2 else struct.calcsize(order + code[kind]) * (len(blocks) if v is None else len(v))
+    at = data + sum(size(k, v) for _, k, v in tags if size(k, v) > room)
+    offsets = []
+    for b in blocks:
+        offsets.append(at if b else 0)
+        at += len(b)
+    ifd, tail = struct.pack(order + count, len(tags)), b""
+    for tag, k, v in sorted(tags):
+        v = offsets if v is None else v
+        raw = v if k == 2 else struct.pack(f"{order}{len(v)}{code[k]}", *v)
+        value = raw.ljust(room, b"\0")
+        if len(raw) > room:
+            value, tail = struct.pack(order + offset, data + len(tail)), tail + raw
+        ifd += struct.pack(order + "HH" + offset, tag, k, len(v)) + value
+    head = struct.pack(order + "HHHQ", 43, 8, 0, start) if big else struct.pack(order + "HI", 42, start)
+    return (b"II" if order == "<" else b"MM") + head + ifd + b"\0" * room + tail + b"".join(blocks)
+
+
+@pytest.mark.parametrize(
+    "form",
+    [dict(tile=16), dict(tile=16, big=True, order=">"), dict(tile=16, deflate=True, predictor=2), dict(rows_per_strip=5), dict(rows_per_strip=7, deflate=True, order=">"), dict(rows_per_strip=40, big=True, predictor=2), dict(tile=16, drop=(1, 4), big=True)],
+)
+@pytest.mark.parametrize(("kind", "bands"), [("u1", 1), ("i2", 3), ("u4", 1)])
+def test_files_of_others(spark, tmp_path, form, kind, bands):
+    cells = np.random.default_rng(1).integers(0, 120, (40, 37, bands)).astype(kind)
+    (tmp_path / "a.tif").write_bytes(tiff(cells, **form))
+    bigtiff.register(spark)
+    h = bigtiff.read_header(str(tmp_path / "a.tif"))
+    assert (h.grid.n_rows, h.grid.n_cols, h.grid.n_bands, h.grid.pixel_size, h.grid.ulx, h.grid.nodata) == (40, 37, bands, 10.0, -180.0, 7.0)
+    rows = spark.read.format("gridtiff").option("tilesize", 9).load(str(tmp_path / "a.tif")).collect()
+    got = np.full(cells.shape, np.nan)
+    for t in rows:
+        got[t.row0 : t.row0 + t.n_rows, t.col0 : t.col0 + t.n_cols, t.band - 1] = np.array(t.data).reshape(t.n_rows, t.n_cols)
+    want = cells.astype(float)
+    for k in form.get("drop", ()):
+        want[k // 3 * 16 : k // 3 * 16 + 16, k % 3 * 16 : k % 3 * 16 + 16] = 7  # sparse: nodata
+    assert (got == want).all()
+
+
+def test_keys_of_a_file_name_its_system(tmp_path):
+    cells = np.zeros((4, 4, 1), "u1")
+    for keys, want in (([1, 1, 0, 2, 1024, 0, 1, 2, 2048, 0, 1, 4326], "EPSG:4326"), ([1, 1, 0, 2, 1024, 0, 1, 1, 3072, 0, 1, 6933], "EPSG:6933")):
+        (tmp_path / "k.tif").write_bytes(tiff(cells, rows_per_strip=4, extra=[(34735, 3, keys)]))
+        assert bigtiff.read_header(str(tmp_path / "k.tif")).grid.srs == want
+    (tmp_path / "p.tif").write_bytes(tiff(np.zeros((4, 4, 2), "u1"), rows_per_strip=4, extra=[(284, 3, [2])]))
+    (tmp_path / "x.tif").write_bytes(b"no such thing at all")
+    for name in ("p.tif", "x.tif", "missing.tif"):
+        with pytest.raises(GridIOError):
+            bigtiff.read_header(str(tmp_path / name))
+
+
+# Numerical examples on the sphere of Snyder's manual: system, longitude and latitude in degrees, x and y.
+EXAMPLES = [
+    ("+proj=merc +R=1 +lon_0=-180", -75, 35, 1.8325957, 0.6528366),
+    ("+proj=cea +R=1 +lat_ts=30 +lon_0=-75", 80, 35, 2.3428242, 0.6623090),
+    ("+proj=mill +R=1", -75, 50, -1.3089969, 0.9536371),
+    ("+proj=aea +R=1 +lat_1=29.5 +lat_2=45.5 +lat_0=23 +lon_0=-96", -75, 35, 0.2952720, 0.2416774),
+    ("+proj=laea +R=3 +lat_0=40 +lon_0=-100", 100, -20, -4.2339303, 4.0257775),
+    ("+proj=gnom +R=1 +lat_0=40 +lon_0=-100", -110, 30, -0.1542826, -0.1694739),
+    ("+proj=sinu +R=1 +lon_0=-90", -75, -50, 0.1682814, -0.8726646),
+    ("+proj=moll +R=1 +lon_0=-90", -75, -50, 0.1788845, -0.9208758),
+    ("+proj=vandg +R=1 +lon_0=-85", -160, -50, -1.1954154, -0.9960733),
+]
+
+
+@pytest.mark.parametrize(("srs", "lon", "lat", "x", "y"), EXAMPLES)
+def test_worked_examples(spark, srs, lon, lat, x, y):
+    got = sphere.forward(srs, np.radians([lon]), np.radians([lat]))
+    assert (got[0][0], got[1][0]) == pytest.approx((x, y), abs=2e-4)
+    back = sphere.inverse(srs, *got)
+    assert np.degrees([back[0][0], back[1][0]]) == pytest.approx((lon, lat), abs=1e-7)
+    sql = forward(srs, "lam", "phi")
+    row = spark.sql(f"SELECT radians({lon}e0) AS lam, radians({lat}e0) AS phi").selectExpr(*sql).first()
+    assert tuple(row) == pytest.approx((got[0][0], got[1][0]), abs=1e-9)
+
+
+def test_longitudes_beyond_the_seam():
+    x, y = sphere.forward("+proj=sinu +R=1 +lon_0=10", np.radians([-175.0]), np.array([0.0]))
+    assert x[0] == pytest.approx(math.radians(175))
+    assert np.degrees(sphere.inverse("+proj=sinu +R=1 +lon_0=10", x, y)[0][0]) == pytest.approx(-175)
+
+
+@pytest.mark.parametrize("bad", ["+proj=aea", "+proj=merc +units=us-ft", "+proj=sinu +zone=3", "+proj=laea +pm=paris", "+proj=merc +datum=WGS84"])
+def test_parameters_that_are_not_read_raise(bad):
+    with pytest.raises(ProjectionError):
+        parse(bad)
+
+
+def test_tiles_equal_cells(spark):
+    """Tile by tile and cell by cell: two ways to the same result, whatever the tile sizes."""
+    g = Grid("+proj=longlat", -180.0, 90.0, 10.0, 18, 36, "Byte", tile_size=7)
+    out = Grid("+proj=moll", -18_000_000.0, 9_000_000.0, 777_777.7, 22, 45, "Byte", tile_size=6)
+    p = geo.cells(spark, 18, 36).withColumn("value", ((F.col("row") * 36 + F.col("col")) % 251).cast("double"))
+    for r in Resampler:
+        cells = {(x.row, x.col): x.value for x in rp.reproject(p, g, out, r, 9.0).collect()}
+        tiles = {(x.row, x.col): x.value for x in tl.to_pixels(tw.reproject_tiles(tl.to_tiles(p, g), g, out, r, 9.0)).collect()}
+        assert cells.keys() == tiles.keys() and len(cells) == 22 * 45
+        assert all(abs(cells[k] - tiles[k]) <= (1 if r.support else 0) for k in cells), r  # sums in another order, truncated
+
+
+def test_the_job_reads_only_tiles_it_needs(spark, tmp_path, monkeypatch):
+    g = Grid("+proj=cea", 0.0, 6_000_000.0, 10_000.0, 160, 160, "Byte", tile_size=16)
+    bigtiff.register(spark)
+    path = str(tmp_path / "in.tif")
+    tl.to_tiles(geo.cells(spark, 160, 160).withColumn("value", F.lit(1.0)), g).write.format("gridtiff").options(**bigtiff.options(g)).mode("overwrite").save(path)
+    part = Grid("+proj=cea", 410_000.0, 5_500_000.0, 10_000.0, 20, 20, "Byte", tile_size=16)
+    out = tw.reproject_tiles(spark.read.format("gridtiff").load(path).drop("band"), g, part)
+    assert tl.to_pixels(out).where("value = 1").count() == 400
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("tile_row") > 0
+    box = tw.needed_tiles(spark, g, part).agg(F.min("tile_row"), F.max("tile_row"), F.min("tile_col"), F.max("tile_col")).first()
+    reader = bigtiff.TiffReader({"path": path})
+    assert len(list(reader.pushFilters([bigtiff.GreaterThanOrEqual(("tile_row",), box[0]), bigtiff.LessThanOrEqual(("tile_row",), box[1]), bigtiff.GreaterThanOrEqual(("tile_col",), box[2]), bigtiff.LessThanOrEqual(("tile_col",), box[3])]))) == 0
+    assert sum(len(x.tiles) for x in reader.partitions()) <= 9 < 100
+
+
 def test_job(spark, tmp_path):
     g = Grid("+proj=longlat", -180.0, 90.0, 10.0, 18, 36, "Byte", tile_size=16)
     bigtiff.register(spark)
