@@ -406,6 +406,16 @@ def test_pipeline_keeps_columns_and_empties(spark):
     assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), SF).count() == 0
 
 
+def test_one_of_each_group_stays_whatever_its_id(spark):
+    import corpus_pipeline
+
+    a, b, c = ("one two three four five six seven", "a b c d e f g h i", "k l m n o p q r s")
+    rows = [(None, a), (None, a), (1, a), (1, a), (2, b), (2, c), (3, b), (None, ""), (4, None), (5, "x y")]
+    got = corpus_pipeline.drop_near_copies(spark, table(spark, rows), SF).collect()
+    assert sorted(r.text or "" for r in got) == sorted(["", "", a, b, c, "x y"])
+    assert set(got[0].asDict()) == set(table(spark, rows).columns)
+
+
 def test_lines_of_texts():
     import numpy as np
     import pyarrow as pa
