@@ -85,5 +85,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: Trained models and shards by hash have no SQL form; tests hold the stages against brute force.
+#: Trained models and shards by hash have no SQL form; tests hold the operators of the stages against brute force.
 ORACLE_SQL = None
