@@ -170,7 +170,8 @@ def _prefixes(reps: DataFrame) -> DataFrame:
     shared = hot.unionByName(cold).where("cnt > 1")
     behind = F.col("late") >= 0
     tok = F.struct(behind.alias("behind"), F.when(behind, 0).otherwise(F.col("cnt")).alias("cnt"), "key", "late")
-    sets = shared.groupBy("id", (F.col("late") == -2).alias("small")).agg(F.sort_array(F.collect_list(tok)).alias("all"), F.count_if(~behind).alias("early"))
+    # dealt by id alone, the rows meet both the grouping and the join; lists would move once more for the join
+    sets = shared.repartition("id").groupBy("id", (F.col("late") == -2).alias("small")).agg(F.sort_array(F.collect_list(tok)).alias("all"), F.count_if(~behind).alias("early"))
     sets = sets.join(reps.select("id", "n", "p", "nz"), "id")
     alone = F.when(F.col("small"), F.col("n")).otherwise(F.col("nz")) - F.col("early")  # in the zone, and in this set only
     place = F.transform("all", lambda t, i: F.struct(F.when(t["late"] >= 0, F.col("nz") + t["late"]).otherwise(alone + i).alias("pos"), t["key"].alias("key")))
@@ -237,12 +238,11 @@ def _block_pairs(long: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _with(pairs: DataFrame, side: DataFrame, value: str) -> DataFrame:
-    """``pairs`` with the value of a and of b, as a_value and b_value.
+    """``pairs``, which are settled, with the value of a and of b, as a_value and b_value.
 
     Few pairs are broadcast to the values, so that only the values of paired documents move: those
     of a once for each pair, those of b once for each b.
     """
-    pairs = settle(pairs)
     n = pairs.count()
 
     def of(end: str) -> DataFrame:
@@ -317,7 +317,7 @@ def links(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, D
     for p in pairs[1:]:
         every = every.unionByName(p)
     bound = (F.col("na") + F.col("nb") - _distance(F.col("a_bitmap"), F.col("b_bitmap"))) / 2
-    likely = _with(every.distinct(), bitmaps, "bitmap").where(_linked(bound, F.col("na"), F.col("nb"), num, den))
+    likely = _with(settle(every.distinct()), bitmaps, "bitmap").where(_linked(bound, F.col("na"), F.col("nb"), num, den))
     likely = settle(likely.select("a", "na", "b", "nb"))
     exact = _with(likely, settle(_sets(docs, likely.select(F.explode(F.array("a", "b")).alias("id")), words)), "set")
     edges = exact.where(_linked(F.size(F.array_intersect("a_set", "b_set")), F.size("a_set"), F.size("b_set"), num, den)).select("a", "b")
