@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, fingerprints, language_id, license_scan, line_dedup, ngram_join, packing, token_counts, toxicity
+from . import bpe, exact_dedup, filter_audit, fingerprints, language_id, license_scan, line_dedup, merkle, ngram_join, packing, sharding, token_counts, toxicity
 from .common import read
 
 
@@ -61,6 +61,18 @@ def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(read(spark, sf_dir, "documents"))
+
+
+def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe_tree_concat": bpe_roundtrip,
@@ -73,6 +85,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_dedup": dedup,
         "op9_toxicity": toxic,
         "op10_token_counts": counts,
+        "op11_filter_audit": audit,
+        "op12_merkle_manifest": manifest,
+        "op13_label_sharding": shards,
     }
 
 
@@ -82,6 +97,8 @@ LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijkl
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_license_scan": license_scan.oracle_sql(),
+        "op11_filter_audit": filter_audit.oracle_sql(),
+        "op12_merkle_manifest": merkle.oracle_sql(),
         "op8_exact_dedup": f"""
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, text_sha256
 FROM (SELECT doc_id, sha256({LOW}) AS text_sha256 FROM documents) WINDOW w AS (PARTITION BY text_sha256)""",
