@@ -2,7 +2,8 @@
 
 An expression is text that Spark and any SQL engine with the usual functions reads alike; points
 outside a projection's domain give NULL.  Longitudes and latitudes are radians.  Only spherical
-forms are given: an ellipsoid raises ``EllipsoidNotSupported``.
+forms have expressions: ``forward`` and ``inverse`` raise ``EllipsoidNotSupported`` where the ellipsoid
+matters.  ``functions.sphere`` takes both.
 """
 
 from __future__ import annotations
@@ -28,23 +29,41 @@ class Srs:
     lat_ts: float = 0.0
     x_0: float = 0.0
     y_0: float = 0.0
+    #: Squared eccentricity; ``radius`` is the semi-major axis.  0 for a sphere, and for projections that are spherical only.
+    es: float = 0.0
 
 
-# EPSG codes that are read, by their spherical forms.
-EPSG = {"EPSG:4326": "+proj=longlat", "EPSG:3857": "+proj=merc +R=6378137", "EPSG:6933": "+proj=cea +lat_ts=30 +R=6371007.2", "EPSG:2163": "+proj=laea +lat_0=45 +lon_0=-100 +R=6370997"}
+# EPSG codes that are read, by their proj strings.
+EPSG = {
+    "EPSG:4326": "+proj=longlat +ellps=WGS84", "EPSG:4269": "+proj=longlat +ellps=GRS80", "EPSG:4258": "+proj=longlat +ellps=GRS80", "EPSG:3857": "+proj=merc +R=6378137", "EPSG:3395": "+proj=merc +ellps=WGS84",
+    "EPSG:6933": "+proj=cea +lat_ts=30 +ellps=WGS84", "EPSG:3035": "+proj=laea +lat_0=52 +lon_0=10 +x_0=4321000 +y_0=3210000 +ellps=GRS80", "EPSG:5070": "+proj=aea +lat_1=29.5 +lat_2=45.5 +lat_0=23 +lon_0=-96 +ellps=GRS80",
+    "EPSG:2163": "+proj=laea +lat_0=45 +lon_0=-100 +R=6370997", "EPSG:3408": "+proj=laea +lat_0=90 +R=6371228", "EPSG:6931": "+proj=laea +lat_0=90 +ellps=WGS84",
+}
+# Semi-major axis and inverse flattening (0: a sphere) of ellipsoids, and ellipsoids of datums that differ by no shift.
+ELLIPSOIDS = {"WGS84": (6378137.0, 298.257223563), "GRS80": (6378137.0, 298.257222101), "clrk66": (6378206.4, 294.9786982139), "intl": (6378388.0, 297.0), "bessel": (6377397.155, 299.1528128), "krass": (6378245.0, 298.3), "sphere": (RADIUS, 0.0)}
+DATUMS = {"WGS84": "WGS84", "NAD83": "GRS80"}
+#: Projections with an ellipsoidal form; others take the semi-major axis as the radius of a sphere, as proj does.
+ELLIPSOIDAL = ("merc", "cea", "sinu", "aea", "laea")
 
 
 #: Parameters that are read, and those that say nothing here.
-KNOWN = ("proj", "lon_0", "lat_0", "lat_1", "lat_2", "lat_ts", "x_0", "y_0", "R", "a", "b", "ellps", "units", "to_meter", "pm", "datum", "rf", "f", "es")
+KNOWN = ("proj", "lon_0", "lat_0", "lat_1", "lat_2", "lat_ts", "x_0", "y_0", "R", "a", "b", "ellps", "units", "to_meter", "pm", "datum", "rf", "f", "es", "towgs84", "k", "k_0")
 IGNORED = ("no_defs", "type", "wktext", "over", "nadgrids")
 
 
 def parse(text: str) -> Srs:
-    """A proj4 string ("+proj=sinu +lon_0=10"), a bare projection name or one of ``EPSG``.
+    """A proj4 string ("+proj=sinu +lon_0=10"), a bare projection name, a code of ``EPSG`` or well-known text.
 
-    A bare "aea" has the parallels 29.5 and 45.5.  Units other than metres, a prime meridian other than
-    Greenwich's and unknown parameters raise an error, an ellipsoid or datum ``EllipsoidNotSupported``.
+    A bare "aea" has the parallels 29.5 and 45.5; without an ellipsoid or radius the sphere is meant.  Units other than
+    metres, a prime meridian other than Greenwich's, a scale factor and unknown parameters raise an error, a datum
+    that takes a shift ``EllipsoidNotSupported``.  Latitudes are kept as they are between ellipsoids.
     """
+    if "[" in text:
+        from .systems import from_wkt
+
+        text = from_wkt(text)
+    if text.strip().upper().startswith("EPSG:") and text.strip().upper() not in EPSG:
+        raise ProjectionError(f"{text} is not known")
     text = EPSG.get(text.strip().upper(), text.strip())
     bare = not text.startswith("+")
     words = dict(w.lstrip("+").partition("=")[::2] for w in (f"+proj={text}" if bare else text).split() if w.startswith("+"))
@@ -53,14 +72,41 @@ def parse(text: str) -> Srs:
         raise ProjectionError(f"projection {name!r} is not known")
     if unknown := set(words) - {*KNOWN, *IGNORED}:
         raise ProjectionError(f"{text}: unknown parameters {sorted(unknown)}")
-    if name != "longlat" and (words.get("ellps", "sphere") != "sphere" or "datum" in words or {"rf", "f", "es"} & set(words) or words.get("b", words.get("a")) != words.get("a")):
-        raise EllipsoidNotSupported(text)
     if words.get("units", "m") != "m" or float(words.get("to_meter") or 1) != 1 or words.get("pm", "0") not in ("0", "greenwich"):
         raise ProjectionError(f"{text}: units must be metres and longitudes count from Greenwich")
-    if name == "aea" and not bare and "lat_1" not in words:
+    if any(float(words.get(k) or 1) != 1 for k in ("k", "k_0")):
+        raise ProjectionError(f"{text}: a scale factor is not read")
+    if name == "aea" and not bare and not {"lat_1", "lat_2"} <= set(words):
         raise ProjectionError(f"{text}: the conic needs its parallels lat_1 and lat_2")
+    if "datum" in words and words["datum"] not in DATUMS or any(float(x) for x in words.get("towgs84", "0").split(",")):
+        raise EllipsoidNotSupported(f"{text}: shifts of a datum are not read")
+    radius, es = _ellipsoid(text, words)
     number = {k: float(words[k]) for k in ("lon_0", "lat_0", "lat_1", "lat_2", "lat_ts", "x_0", "y_0") if words.get(k)}
-    return Srs(name, float(words.get("R") or words.get("a") or RADIUS), **number)
+    return Srs(name, radius, **number, es=es if name in (*ELLIPSOIDAL, "longlat") else 0.0)
+
+
+def _ellipsoid(text: str, words: dict[str, str]) -> tuple[float, float]:
+    """Semi-major axis and squared eccentricity; R makes a sphere of any."""
+    if words.get("R"):
+        return float(words["R"]), 0.0
+    name = words.get("ellps") or DATUMS.get(words.get("datum", ""))
+    if name and name not in ELLIPSOIDS:
+        raise EllipsoidNotSupported(f"{text}: ellipsoid {name} is not known")
+    a, rf = ELLIPSOIDS[name or "sphere"]
+    if words.get("a"):
+        a, rf = float(words["a"]), rf if name else 0.0
+    f = 1 / rf if rf else 0.0
+    if words.get("rf"):
+        f = 1 / float(words["rf"])
+    elif words.get("f"):
+        f = float(words["f"])
+    elif words.get("es"):
+        return a, float(words["es"])
+    elif words.get("b"):
+        f = 1 - float(words["b"]) / a
+    if not 0 <= f < 1:
+        raise EllipsoidNotSupported(f"{text}: no flattened ellipsoid")
+    return a, f * (2 - f)
 
 
 def _wrapped(lam: str) -> str:
@@ -232,9 +278,16 @@ INVERSE = {
 }
 
 
+def _spherical(srs: str | Srs) -> Srs:
+    s = srs if isinstance(srs, Srs) else parse(srs)
+    if s.es and s.proj in ELLIPSOIDAL:
+        raise EllipsoidNotSupported(f"{srs}: the expressions are of the sphere")
+    return s
+
+
 def forward(srs: str | Srs, lam: str, phi: str) -> tuple[str, str]:
     """(x, y) of longitude and latitude."""
-    s = srs if isinstance(srs, Srs) else parse(srs)
+    s = _spherical(srs)
     if s.proj == "longlat":
         return FORWARD["longlat"](s, lam, phi)
     x, y = FORWARD[s.proj](s, _wrapped(f"({lam} - {lit(math.radians(s.lon_0))})") if s.lon_0 else lam, phi)
@@ -243,7 +296,7 @@ def forward(srs: str | Srs, lam: str, phi: str) -> tuple[str, str]:
 
 def inverse(srs: str | Srs, x: str, y: str) -> tuple[str, str]:
     """(longitude, latitude) of a point; with a central meridian, longitudes are wrapped."""
-    s = srs if isinstance(srs, Srs) else parse(srs)
+    s = _spherical(srs)
     lam, phi = INVERSE[s.proj](s, f"({x} - {lit(s.x_0)})" if s.x_0 else x, f"({y} - {lit(s.y_0)})" if s.y_0 else y)
     if s.lon_0 and s.proj != "longlat":
         lam = _wrapped(f"({lam} + {lit(math.radians(s.lon_0))})")

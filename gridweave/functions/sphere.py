@@ -1,5 +1,7 @@
 """The projections of ``functions.projections`` on numpy arrays, for the kernels that work on whole tiles.
 
+Systems with an ellipsoid take the forms of ``functions.ellipsoid`` where there are any.
+
 Written apart from the SQL forms, which state the same in another way: the tests and the queries'
 SQL hold one against the other.  Points outside a projection's domain are NaN.
 """
@@ -11,6 +13,7 @@ from collections.abc import Callable
 
 import numpy as np
 
+from . import ellipsoid
 from .projections import Srs, parse
 
 Arrays = tuple[np.ndarray, np.ndarray]
@@ -205,7 +208,7 @@ def forward(srs: str | Srs, lam: np.ndarray, phi: np.ndarray) -> Arrays:
     s = srs if isinstance(srs, Srs) else parse(srs)
     if s.proj == "longlat":
         return np.degrees(lam), np.degrees(phi)
-    x, y = FORWARD[s.proj](s, wrap(lam - math.radians(s.lon_0)) if s.lon_0 else lam, phi)
+    x, y = (ellipsoid.FORWARD if s.es else FORWARD)[s.proj](s, wrap(lam - math.radians(s.lon_0)) if s.lon_0 else lam, phi)
     return x * s.radius + s.x_0, y * s.radius + s.y_0
 
 
@@ -215,5 +218,5 @@ def inverse(srs: str | Srs, x: np.ndarray, y: np.ndarray) -> Arrays:
     if s.proj == "longlat":
         return np.radians(x), np.radians(y)
     with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
-        lam, phi = INVERSE[s.proj](s, (x - s.x_0) / s.radius, (y - s.y_0) / s.radius)
+        lam, phi = (ellipsoid.INVERSE if s.es else INVERSE)[s.proj](s, (x - s.x_0) / s.radius, (y - s.y_0) / s.radius)
     return wrap(lam + math.radians(s.lon_0)) if s.lon_0 else lam, phi

@@ -53,6 +53,11 @@ class CellType:
     least: float
     most: float
 
+    @property
+    def wide(self) -> str:
+        """The numpy type of the Spark form."""
+        return {"u1": "i2", "u2": "i4", "u4": "i8"}.get(self.code, self.code)
+
 
 # Names, file forms and ranges of cell types.
 CELL_TYPES = {
@@ -89,11 +94,15 @@ class Grid:
     n_bands: int = 1
     nodata: float | None = None
     tile_size: int = 256
+    #: (red, green, blue) of 0 to 65535 for each value of a Byte or UInt16 grid.
+    colors: tuple[tuple[int, int, int], ...] | None = None
 
     def __post_init__(self) -> None:
         cell_type(self.pixel_type)
         if self.pixel_size <= 0 or self.n_rows < 1 or self.n_cols < 1 or self.tile_size < 1:
             raise BadArgument("a grid needs a positive cell size, rows, columns and tile size")
+        if self.colors is not None and len(self.colors) != {"Byte": 256, "UInt16": 65536}.get(self.pixel_type):
+            raise BadArgument("a colour table has a colour for each value of Byte or UInt16 cells")
 
     @property
     def geotransform(self) -> tuple[float, ...]:
@@ -113,6 +122,7 @@ class Job:
     fill: str = ""
     output_ratio: float = 1.0
     timing_file: str = ""
+    layout: str = "tile"
 
     @property
     def fill_value(self) -> float:

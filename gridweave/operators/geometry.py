@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sphere
@@ -25,26 +25,12 @@ def to_raster(g: Grid, x: str, y: str) -> tuple[str, str]:
     return f"(({x} - {lit(g.ulx)})/{lit(g.pixel_size)})", f"(({lit(g.uly)} - {y})/{lit(g.pixel_size)})"
 
 
-def chunk_to_raster(row: Column, col: Column, row0: int, col0: int) -> tuple[Column, Column]:
-    return row + row0, col + col0
-
-
-def raster_to_chunk(row: Column, col: Column, row0: int, col0: int) -> tuple[Column, Column]:
-    return row - row0, col - col0
-
-
 def cells(spark: SparkSession, n_rows: int, n_cols: int, row0: int = 0, col0: int = 0) -> DataFrame:
     """(row, col) of a rectangle; rows are dealt over tasks, columns are made in them."""
     rows = spark.range(row0, row0 + n_rows).select(F.col("id").cast("int").alias("row"))
     return rows.select("row", F.explode(F.sequence(F.lit(col0), F.lit(col0 + n_cols - 1))).alias("col"))
 
 
-def _chain(df: DataFrame, steps: list[dict[str, str]]) -> DataFrame:
-    for s in steps:
-        df = df.select("*", *[F.expr(v).alias(k) for k, v in s.items()])
-    return df
-
-
 def pixel_map_steps(grid_from: Grid, grid_to: Grid, support: int = 0, area_check: bool = True) -> list[dict[str, str]]:
     """Columns, level by level, that map cells (row, col) of ``grid_from`` to rectangles of
     ``grid_to``: ``valid`` and ``ul_col, ul_row, lr_col, lr_row`` (inclusive; NULL if not valid).
@@ -133,11 +119,19 @@ def projected_minbox(spark: SparkSession, g: Grid, srs: str, mode: str = "strict
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    x, y = to_projected(g)
-    lam, phi = inverse(g.srs, "x", "y")
-    u, v = forward(srs, "lam", "phi")
-    df = _chain(every, [{"x": x, "y": y}, {"lam": lam, "phi": phi}, {"u": u, "v": v}]).where("NOT isnan(u) AND NOT isnan(v)")
-    return df.agg(F.min("u").alias("ulx"), F.max("v").alias("uly"), F.max("u").alias("lrx"), F.min("v").alias("lry"))
+    s, t, names = parse(g.srs), parse(srs), ["ulx", "uly", "lrx", "lry"]
+
+    def box(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, col = (b.column(c).to_numpy().astype(float) for c in ("row", "col"))
+            u, v = sphere.forward(t, *sphere.inverse(s, col * g.pixel_size + g.ulx, g.uly - row * g.pixel_size))
+            ok = np.isfinite(u) & np.isfinite(v)
+            if ok.any():
+                u, v = u[ok], v[ok]
+                yield pa.RecordBatch.from_arrays([pa.array([float(x)]) for x in (u.min(), v.max(), u.max(), v.min())], names)
+
+    found = every.mapInArrow(box, "ulx double, uly double, lrx double, lry double")
+    return found.agg(F.min("ulx").alias("ulx"), F.max("uly").alias("uly"), F.max("lrx").alias("lrx"), F.min("lry").alias("lry"))
 
 
 def minbox_sql(g: Grid, srs: str, mode: str = "strict") -> str:
@@ -173,7 +167,7 @@ def output_size_sql(g: Grid, srs: str, ratio: float = 1.0, max_dim: int | None =
 def output_grid(spark: SparkSession, g: Grid, srs: str, tile_size: int = 256, ratio: float = 1.0, nodata: float | None = None, max_dim: int | None = None, mode: str = "strict") -> Grid:
     """The grid that covers ``g`` in ``srs`` (one aggregated row comes to the driver)."""
     r = output_size(spark, g, srs, ratio, max_dim, mode).first()
-    return Grid(srs, r.ulx, r.uly, r.pixel_size, max(1, r.n_rows), max(1, r.n_cols), g.pixel_type, g.n_bands, g.nodata if nodata is None else nodata, tile_size)
+    return Grid(srs, r.ulx, r.uly, r.pixel_size, max(1, r.n_rows), max(1, r.n_cols), g.pixel_type, g.n_bands, g.nodata if nodata is None else nodata, tile_size, g.colors)
 
 
 def block_partition(spark: SparkSession, n_rows: int, n_cols: int, tile_size: int, partition_size: int = 1, workers: int = 1) -> DataFrame:
