@@ -216,8 +216,8 @@ def to_keys(srs: str) -> tuple[tuple[int, ...], tuple[float, ...], bytes]:
     cited = srs.encode() + b"|"
     numbers = [s.radius]
     entries = [(MODEL, 0, 1, 2 if s.proj == "longlat" else 1), (RASTER, 0, 1, AREA_CELLS), (CITATION, TEXT, len(cited), 0)]
-    if s.proj == "longlat" and srs.strip().upper() == "EPSG:4326":
-        entries.append((GEOGRAPHIC, 0, 1, 4326))
+    if srs.strip().upper().startswith("EPSG:"):
+        entries.append((GEOGRAPHIC if s.proj == "longlat" else PROJECTED, 0, 1, int(srs.strip()[5:])))
         return _directory(entries, [], cited)
     entries += [(GEOGRAPHIC, 0, 1, OWN), (ANGULAR, 0, 1, DEGREE), (ELLIPSOID, 0, 1, OWN), (MAJOR, DOUBLES, 1, 0)]
     if s.es:

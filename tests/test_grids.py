@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridweave import registry
-from gridweave.functions import kernels, sphere
+from gridweave.functions import kernels, sphere, systems
 from gridweave.functions.projections import forward, inverse, parse
 from gridweave.model import BadArgument, EllipsoidNotSupported, Grid, GridIOError, ProjectionError, Resampler, cell_type
 from gridweave.operators import geometry as geo
@@ -15,7 +15,7 @@ from gridweave.operators import reproject as rp
 from gridweave.operators import tiles as tl
 from gridweave.operators import tilewise as tw
 from gridweave.plans.job import parse_args, run
-from gridweave.sources import bigtiff
+from gridweave.sources import bigtiff, codecs
 
 SF = "/root/testdata/sf0.001"
 
@@ -124,24 +124,68 @@ def test_tiled_file(spark, tmp_path, kind, bands, ts):
     assert back.where("tile_row = 0 AND tile_col = 0").count() == bands
 
 
-def tiff(cells, tile=None, rows_per_strip=None, big=False, order="<", deflate=False, predictor=1, drop=(), extra=()):
+def lzw_codes(raw):
+    """Codes of a block, written apart from the reader: high bits first, wider one code early, emptied when full."""
+    table, out, width, code = {bytes((i,)): i for i in range(256)}, [(256, 9)], 9, b""
+    for x in raw:
+        if code + bytes((x,)) in table:
+            code += bytes((x,))
+            continue
+        out.append((table[code], width))
+        table[code + bytes((x,))] = len(table) + 2
+        if len(table) + 2 == 4095:
+            out.append((256, 12))
+            table, width = {bytes((i,)): i for i in range(256)}, 9
+        else:
+            width = max(9, (len(table) + 2).bit_length())
+        code = bytes((x,))
+    out += [(table[code], width)] if code else []
+    # the end mark follows one more entry of the reader's table
+    out.append((257, max(9, (len(table) + 3).bit_length()) if code else width))
+    bits = "".join(f"{c:0{w}b}" for c, w in out)
+    return int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+
+
+def packed(raw):
+    """Runs of three and more, and what stands between them."""
+    out, i = b"", 0
+    while i < len(raw):
+        n = 1
+        while i + n < len(raw) and n < 128 and raw[i + n] == raw[i]:
+            n += 1
+        if n > 2:
+            out += bytes((257 - n,)) + raw[i : i + 1]
+        else:
+            n = min(3, len(raw) - i)
+            out += bytes((n - 1,)) + raw[i : i + n]
+        i += n
+    return out + bytes((128,))
+
+
+def tiff(cells, tile=None, rows_per_strip=None, big=False, order="<", deflate=False, predictor=1, drop=(), extra=(), codec=1, apart=False, without=()):
     """A file made by hand: ``cells`` [row, col, band] in tiles or strips."""
     rows, cols, bands = cells.shape
+    coded = {1: bytes, 5: lzw_codes, 32773: packed, 8: zlib.compress}
+    codec = 8 if deflate else codec
+    if apart:
+        extra = [*extra, (284, 3, [2])]
     kind = cells.dtype.newbyteorder(order)
     high, wide = (tile, tile) if tile else (rows_per_strip, cols)
     blocks = []
-    for r in range(0, rows, high):
-        for c in range(0, cols, wide):
-            a = np.zeros((high if tile else min(high, rows - r), wide, bands), cells.dtype)
-            part = cells[r : r + high, c : c + wide]
-            a[: part.shape[0], : part.shape[1]] = part
-            if predictor == 2:
-                a = np.diff(a, axis=1, prepend=np.zeros_like(a[:, :1]))
-            raw = a.astype(kind).tobytes()
-            blocks.append(b"" if len(blocks) in drop else zlib.compress(raw) if deflate else raw)
+    for band in range(bands) if apart else [slice(None)]:
+        for r in range(0, rows, high):
+            for c in range(0, cols, wide):
+                part = cells[r : r + high, c : c + wide, band].reshape(min(high, rows - r), -1, 1 if apart else bands)
+                a = np.zeros((high if tile else min(high, rows - r), wide, part.shape[2]), cells.dtype)
+                a[: part.shape[0], : part.shape[1]] = part
+                if predictor == 2:
+                    a = np.diff(a, axis=1, prepend=np.zeros_like(a[:, :1]))
+                raw = a.astype(kind).tobytes()
+                blocks.append(b"" if len(blocks) in drop else coded[codec](raw))
     long = 16 if big else 4
-    tags = [(256, 4, [cols]), (257, 4, [rows]), (258, 3, [cells.itemsize * 8] * bands), (259, 3, [8 if deflate else 1]), (277, 3, [bands]), (317, 3, [predictor]), (339, 3, [{"u": 1, "i": 2, "f": 3}[cells.dtype.kind]] * bands), (33550, 12, [10.0, 10.0, 0.0]), (33922, 12, [0.0, 0.0, 0.0, -180.0, 90.0, 0.0]), (42113, 2, b"7\0"), *extra]
+    tags = [(256, 4, [cols]), (257, 4, [rows]), (258, 3, [cells.itemsize * 8] * bands), (259, 3, [codec]), (277, 3, [bands]), (317, 3, [predictor]), (339, 3, [{"u": 1, "i": 2, "f": 3}[cells.dtype.kind]] * bands), (33550, 12, [10.0, 10.0, 0.0]), (33922, 12, [0.0, 0.0, 0.0, -180.0, 90.0, 0.0]), (42113, 2, b"7\0"), *extra]
     tags += [(322, 4, [tile]), (323, 4, [tile]), (324, long, None), (325, long, [len(b) for b in blocks])] if tile else [(273, long, None), (278, 4, [rows_per_strip]), (279, long, [len(b) for b in blocks])]
+    tags = [t for t in tags if t[0] not in without]
     code = {2: "s", 3: "H", 4: "I", 12: "d", 16: "Q"}
     count, offset, room = ("Q", "Q", 8) if big else ("H", "I", 4)
     start = 16 if big else 8
@@ -166,7 +210,8 @@ def tiff(cells, tile=None, rows_per_strip=None, big=False, order="<", deflate=Fa
 
 @pytest.mark.parametrize(
     "form",
-    [dict(tile=16), dict(tile=16, big=True, order=">"), dict(tile=16, deflate=True, predictor=2), dict(rows_per_strip=5), dict(rows_per_strip=7, deflate=True, order=">"), dict(rows_per_strip=40, big=True, predictor=2), dict(tile=16, drop=(1, 4), big=True)],
+    [dict(tile=16), dict(tile=16, big=True, order=">"), dict(tile=16, deflate=True, predictor=2), dict(rows_per_strip=5), dict(rows_per_strip=7, deflate=True, order=">"), dict(rows_per_strip=40, big=True, predictor=2), dict(tile=16, drop=(1, 4), big=True),
+     dict(tile=16, codec=5), dict(rows_per_strip=11, codec=5, predictor=2, order=">"), dict(tile=32, codec=5, big=True), dict(tile=16, codec=32773), dict(rows_per_strip=6, codec=32773, predictor=2), dict(tile=16, apart=True), dict(rows_per_strip=9, apart=True, codec=5, predictor=2)],
 )
 @pytest.mark.parametrize(("kind", "bands"), [("u1", 1), ("i2", 3), ("u4", 1)])
 def test_files_of_others(spark, tmp_path, form, kind, bands):
@@ -185,6 +230,59 @@ def test_files_of_others(spark, tmp_path, form, kind, bands):
     assert (got == want).all()
 
 
+def test_long_lzw_blocks(tmp_path):
+    """All widths of codes, and tables that are emptied."""
+    for raw in (np.random.default_rng(2).integers(0, 256, 40_000).astype("u1").tobytes(), b"ab" * 30_000, b"", b"x"):
+        assert codecs.lzw(lzw_codes(raw)) == raw
+        assert codecs.packbits(packed(raw)) == raw
+    with pytest.raises(GridIOError):
+        codecs.lzw(bytes((0x80, 0x7F, 0xFF, 0xFF)))
+
+
+@pytest.mark.parametrize("form", [dict(tile=16), dict(rows_per_strip=7), dict(tile=16, deflate=True), dict(tile=16, codec=5)])
+def test_a_file_that_is_cut_off_raises(tmp_path, form):
+    cells = np.random.default_rng(1).integers(0, 120, (40, 37, 1)).astype("u1")
+    whole = tiff(cells, **form)
+    (tmp_path / "a.tif").write_bytes(whole[:-30])
+    with pytest.raises(GridIOError), bigtiff.TileFile(str(tmp_path / "a.tif")) as f:
+        f.window(0, 0, 40, 37)
+    (tmp_path / "b.tif").write_bytes(whole[:60])
+    with pytest.raises(GridIOError):
+        bigtiff.read_header(str(tmp_path / "b.tif"))
+
+
+def test_a_block_with_too_few_cells_raises(tmp_path):
+    cells = np.zeros((16, 16, 1), "u1")
+    raw = tiff(cells, tile=16)
+    (tmp_path / "a.tif").write_bytes(raw.replace(struct.pack("<HHII", 325, 4, 1, 256), struct.pack("<HHII", 325, 4, 1, 200)))
+    with pytest.raises(GridIOError, match="200 of 256"), bigtiff.TileFile(str(tmp_path / "a.tif")) as f:
+        f.tile(0, 0)
+
+
+def test_georeferencing_is_honoured_or_refused(tmp_path):
+    cells = np.zeros((4, 4, 1), "u1")
+    place = lambda **form: bigtiff.read_header(_file(tmp_path, tiff(cells, rows_per_strip=4, **form))).grid
+    assert (place().ulx, place().uly, place().pixel_size) == (-180, 90, 10)
+    point = place(extra=[(34735, 3, [1, 1, 0, 1, 1025, 0, 1, 2])])  # the tie is a cell's centre
+    assert (point.ulx, point.uly) == (-185, 95)
+    turn = [5.0, 0.0, 0.0, 7.0, 0.0, -5.0, 0.0, 8.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0]
+    moved = place(without=(33550, 33922), extra=[(34264, 12, turn)])
+    assert (moved.ulx, moved.uly, moved.pixel_size) == (7, 8, 5)
+    for bad in (
+        dict(without=(33550, 33922)),  # no place at all
+        dict(without=(33922,)),
+        dict(without=(33550,), extra=[(33550, 12, [10.0, 5.0, 0.0])]),  # cells that are not square
+        dict(without=(33550, 33922), extra=[(34264, 12, [5.0, 1.0, *turn[2:]])]),  # turned
+    ):
+        with pytest.raises(GridIOError):
+            place(**bad)
+
+
+def _file(folder, raw):
+    (folder / "g.tif").write_bytes(raw)
+    return str(folder / "g.tif")
+
+
 def test_keys_of_a_file_name_its_system(tmp_path):
     cells = np.zeros((4, 4, 1), "u1")
     for keys, want in (([1, 1, 0, 2, 1024, 0, 1, 2, 2048, 0, 1, 4326], "EPSG:4326"), ([1, 1, 0, 2, 1024, 0, 1, 1, 3072, 0, 1, 6933], "EPSG:6933")):
@@ -221,6 +319,99 @@ def test_worked_examples(spark, srs, lon, lat, x, y):
     assert tuple(row) == pytest.approx((got[0][0], got[1][0]), abs=1e-9)
 
 
+# Numerical examples on the ellipsoid of the same manual (Clarke 1866, International), of the notes on EPSG 3035, and of EPSG 6933.
+CLARKE = "+a=6378206.4 +es=0.00676866"
+ELLIPSOID_EXAMPLES = [
+    (f"+proj=merc +lon_0=-180 {CLARKE}", -75, 35, 11688673.7, 4139145.6),
+    (f"+proj=cea +lat_ts=5 +lon_0=-75 {CLARKE}", -78, 5, -332699.8, 554248.5),
+    (f"+proj=aea +lat_1=29.5 +lat_2=45.5 +lat_0=23 +lon_0=-96 {CLARKE}", -75, 35, 1885472.7, 1535925.0),
+    (f"+proj=laea +lat_0=40 +lon_0=-100 {CLARKE}", -110, 30, -965932.1, -1056814.9),
+    ("+proj=laea +lat_0=90 +lon_0=-100 +ellps=intl", 5, 80, 1077459.7, 288704.5),
+    (f"+proj=sinu +lon_0=-90 {CLARKE}", -75, -50, 1075471.5, -5540628.0),
+    ("EPSG:3035", 5, 50, 3962799.45, 2999718.85),
+    ("EPSG:6933", 100, 45, 9648628.0, 5180102.3),
+]
+
+
+@pytest.mark.parametrize(("srs", "lon", "lat", "x", "y"), ELLIPSOID_EXAMPLES)
+def test_worked_examples_on_the_ellipsoid(srs, lon, lat, x, y):
+    got = sphere.forward(srs, np.radians([lon]), np.radians([lat]))
+    assert (got[0][0], got[1][0]) == pytest.approx((x, y), abs=0.1)
+    back = sphere.inverse(srs, *got)
+    assert np.degrees([back[0][0], back[1][0]]) == pytest.approx((lon, lat), abs=1e-10)
+
+
+@pytest.mark.parametrize("proj", ["merc +lat_ts=20", "cea +lat_ts=30", "sinu", "aea +lat_1=20 +lat_2=60", "aea +lat_1=-20 +lat_2=-20", "laea +lat_0=-35", "laea +lat_0=90", "laea +lat_0=-90"])
+def test_ellipsoids_there_and_back(proj):
+    lam, phi = (x.ravel() for x in np.meshgrid(np.radians(np.arange(-170, 171, 10.0)), np.radians(np.arange(-89.5, 90, 2.5))))
+    x, y = sphere.forward(f"+proj={proj} +ellps=WGS84", lam, phi)
+    back = sphere.inverse(f"+proj={proj} +ellps=WGS84", x, y)
+    far = np.abs(phi) > 1.5 if proj.startswith("merc") else (np.abs(back[1] - phi) > 1) | np.isnan(x)
+    assert far.mean() < 0.1
+    assert np.abs(back[1] - phi)[~far].max() < 1e-10
+    assert np.abs(np.angle(np.exp(1j * (back[0] - lam))))[~far].max() < 1e-9
+    # a flattening of next to nothing is a sphere
+    near = sphere.forward(f"+proj={proj} +a=6370997 +es=1e-14", lam, phi)
+    ball = sphere.forward(f"+proj={proj} +R=6370997", lam, phi)
+    assert np.nanmax(np.abs(near[0] - ball[0])) < 1e-2 and np.nanmax(np.abs(near[1] - ball[1])) < 1e-2
+    assert np.isnan(sphere.inverse("+proj=sinu +ellps=WGS84", np.array([0.0]), np.array([2e7]))[1][0])
+
+
+GEOGCS = 'GEOGCS["GCS_WGS_1984",DATUM["D_WGS_1984",SPHEROID["WGS 84",6378137,298.257223563,AUTHORITY["EPSG","7030"]],AUTHORITY["EPSG","6326"]],PRIMEM["Greenwich",0],UNIT["degree",0.0174532925199433],AUTHORITY["EPSG","4326"]]'
+# Systems in three notations: proj string, projection and parameters of the text, and keys of a file.
+NOTATIONS = [
+    ("+proj=aea +lat_1=29.5 +lat_2=45.5 +lat_0=23 +lon_0=-96", "Albers_Conic_Equal_Area", {"standard_parallel_1": 29.5, "standard_parallel_2": 45.5, "latitude_of_center": 23, "longitude_of_center": -96}, 11, {3078: 29.5, 3079: 45.5, 3081: 23.0, 3080: -96.0}),
+    ("+proj=laea +lat_0=52 +lon_0=10 +x_0=4321000 +y_0=3210000", "Lambert_Azimuthal_Equal_Area", {"latitude_of_center": 52, "longitude_of_center": 10, "false_easting": 4321000, "false_northing": 3210000}, 10, {3088: 10.0, 3089: 52.0, 3082: 4321000.0, 3083: 3210000.0}),
+    ("+proj=cea +lat_ts=30", "Cylindrical_Equal_Area", {"standard_parallel_1": 30, "central_meridian": 0}, 28, {3078: 30.0, 3080: 0.0}),
+    ("+proj=sinu +lon_0=15", "Sinusoidal", {"longitude_of_center": 15, "false_easting": 0}, 24, {3088: 15.0}),
+    ("+proj=merc +lon_0=5", "Mercator_1SP", {"central_meridian": 5, "scale_factor": 1, "latitude_of_origin": 0}, 7, {3080: 5.0, 3092: 1.0}),
+    ("+proj=moll +lon_0=0", "Mollweide", {"central_meridian": 0}, None, {}),
+]
+
+
+@pytest.mark.parametrize(("srs", "name", "parameters", "code", "keys"), NOTATIONS)
+def test_notations_of_a_system_agree(spark, srs, name, parameters, code, keys):
+    """Text, keys and proj string: the same grid, and the same points."""
+    want = parse(f"{srs} +a=6378137 +rf=298.257223563")
+    text = f'PROJCS["x",{GEOGCS},PROJECTION["{name}"],' + "".join(f'PARAMETER["{k}",{v}],' for k, v in parameters.items()) + 'UNIT["metre",1,AUTHORITY["EPSG","9001"]],AXIS["Easting",EAST]]'
+    assert parse(text) == want
+    source = Grid("+proj=longlat +ellps=WGS84", -30.0, 60.0, 1.0, 40, 50)
+    size = lambda s: geo.output_grid(spark, source, s, 16)
+    one, two = size(f"{srs} +ellps=WGS84"), size(text)
+    assert (one.ulx, one.uly, one.pixel_size, one.n_rows, one.n_cols) == pytest.approx((two.ulx, two.uly, two.pixel_size, two.n_rows, two.n_cols))
+    if code:
+        fixed = [(1024, 0, 1, 1), (2048, 0, 1, 32767), (2057, 34736, 1, 0), (2059, 34736, 1, 1), (3072, 0, 1, 32767), (3074, 0, 1, 32767), (3075, 0, 1, code), (3076, 0, 1, 9001)]
+        numbers = [6378137.0, 298.257223563]
+        for k, v in keys.items():
+            fixed.append((k, 34736, 1, len(numbers)))
+            numbers.append(v)
+        directory = [1, 1, 0, len(fixed), *(x for e in sorted(fixed) for x in e)]
+        assert parse(systems.from_keys(tuple(directory), tuple(numbers))) == want
+    directory, numbers, cited = systems.to_keys(f"{srs} +ellps=WGS84")  # what is written is read
+    assert parse(cited.split(b"|")[0].decode()) == want
+    bare = systems.from_keys(directory, numbers, "" if code else cited.decode())
+    assert parse(bare) == pytest.approx(want) if not code else _close(parse(bare), want)
+
+
+def _close(a, b):
+    return a.proj == b.proj and all(getattr(a, k) == pytest.approx(getattr(b, k), abs=1e-12) for k in ("radius", "lon_0", "lat_0", "lat_ts", "x_0", "y_0", "es")) and (a.proj != "aea" or (a.lat_1, a.lat_2) == (b.lat_1, b.lat_2))
+
+
+def test_text_that_is_not_read_raises():
+    good = f'PROJCS["x",{GEOGCS},PROJECTION["Sinusoidal"],UNIT["metre",1]]'
+    assert parse(good).proj == "sinu" and parse(GEOGCS).proj == "longlat"
+    assert parse(f'PROJCS["w",{GEOGCS},PROJECTION["Mercator_Auxiliary_Sphere"],PARAMETER["Auxiliary_Sphere_Type",0],UNIT["Meter",1]]').es == 0
+    for bad in (
+        good[:-1], good + "]", good.replace('"metre",1', '"foot",0.3048'), good.replace("Sinusoidal", "Robinson"), good.replace("UNIT[", "EXTENSION["), good.replace('"Greenwich",0', '"Paris",2.33'),
+        good.replace(",AUTHORITY[\"EPSG\",\"6326\"]", ",TOWGS84[1,2,3]"), good.replace("PROJCS", "COMPD_CS"), good.replace('PROJECTION["Sinusoidal"]', 'PROJECTION["Sinusoidal"],PARAMETER["azimuth",3]'), good.replace("degree", "grad").replace("0.0174532925199433", "0.0157"), "PROJCS[]", '"x"[',
+    ):
+        with pytest.raises(ProjectionError):
+            parse(bad)
+    for keys in ([(1024, 0, 1, 3)], [(1024, 0, 1, 1), (3072, 0, 1, 32767), (3075, 0, 1, 1)], [(1024, 0, 1, 2), (2048, 0, 1, 32767)], [(1024, 0, 1, 1), (2056, 0, 1, 7030), (3072, 0, 1, 32767), (3075, 0, 1, 24), (3076, 0, 1, 9003)]):
+        with pytest.raises(ProjectionError):
+            systems.from_keys((1, 1, 0, len(keys), *(x for k in keys for x in k)))
+
+
 def test_longitudes_beyond_the_seam():
     x, y = sphere.forward("+proj=sinu +R=1 +lon_0=10", np.radians([-175.0]), np.array([0.0]))
     assert x[0] == pytest.approx(math.radians(175))
@@ -245,6 +436,41 @@ def test_tiles_equal_cells(spark):
         assert all(abs(cells[k] - tiles[k]) <= (1 if r.support else 0) for k in cells), r  # sums in another order, truncated
 
 
+def test_weighted_and_large_rectangles_in_two_ways():
+    """Partial results of cut rectangles, by offsets and by cells, add up to those of the whole."""
+    rng = np.random.default_rng(3)
+    cells = rng.normal(size=(60, 70))
+    cells[rng.random(cells.shape) < 0.1] = np.nan
+    box = tuple(np.array(x) for x in zip(*[(c, r, c + rng.integers(0, 25), r + rng.integers(0, 25)) for c in range(0, 45, 5) for r in range(0, 35, 5)], strict=True))
+    for r in Resampler:
+        weigh = (lambda at, lo, hi, r=r: tw.KERNELS[r.value]((at + 0.5 - (lo + (hi - lo) / 2)) * r.support / 3) * r.support / 3) if r.support else None
+        whole = tw.partial(cells, box, r, 3.0)
+        if r is not Resampler.NEAREST:
+            for way in (tw._by_offset, tw._by_cell):
+                got = way(cells, box, box, r, weigh)
+                assert all(np.allclose(g, w, equal_nan=True) for g, w in zip(got, whole, strict=True))
+        total, weight = np.full(box[0].size, np.nan), np.zeros(box[0].size)
+        for top in range(0, 60, 20):
+            for left in range(0, 70, 35):
+                tw.add(r, total, weight, *tw.partial(cells[top : top + 20, left : left + 35], (box[0] - left, box[1] - top, box[2] - left, box[3] - top), r, 3.0))
+        assert np.allclose(total, whole[0], equal_nan=True) and np.allclose(weight, whole[1]), r
+
+
+@pytest.mark.parametrize("fan", [1, 256])
+def test_an_output_tile_of_many_source_tiles_is_merged_from_small_parts(spark, monkeypatch, fan):
+    """No group has the source tiles; in two steps, none has more than a neighbourhood's partial results."""
+    monkeypatch.setattr(tw, "FAN", fan)
+    monkeypatch.setattr(tw, "HELD", 0)
+    g = Grid("+proj=longlat", -180.0, 90.0, 1.0, 180, 360, "Float64", tile_size=6)
+    out = Grid("+proj=cea", -20_000_000.0, 6_300_000.0, 2_500_000.0, 5, 16, "Float64", tile_size=16)
+    p = geo.cells(spark, 180, 360).withColumn("value", ((F.col("row") * 7 + F.col("col") * 3) % 251).cast("double"))
+    assert tw.needed_tiles(spark, g, out).count() > 1000
+    for r in ("mean", "max", "bicubic", "nearest"):
+        want = {(x.row, x.col): x.value for x in rp.reproject(p, g, out, r, 9.0).collect()}
+        got = {(x.row, x.col): x.value for x in tl.to_pixels(tw.reproject_tiles(tl.to_tiles(p, g), g, out, r, 9.0)).collect()}
+        assert want.keys() == got.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want), r
+
+
 def test_the_job_reads_only_tiles_it_needs(spark, tmp_path):
     """An output across the seam needs both ends of a global grid, and nothing between them."""
     g = Grid("+proj=longlat", -180.0, 90.0, 1.0, 180, 360, "Byte", tile_size=10)
@@ -257,7 +483,7 @@ def test_the_job_reads_only_tiles_it_needs(spark, tmp_path):
     assert {1.0, 2.0} <= {r.value for r in got}
     needed = {(r.tile_row, r.tile_col) for r in tw.needed_tiles(spark, g, out, Resampler.NEAREST).collect()}
     assert len(needed) <= 8 and {c for _, c in needed} == {0, 35}
-    assert sum(x["tiles"] for x in spent.value.values()) == len(needed)  # each once, none besides
+    assert sum(x.get("tiles", 0) for x in spent.value.values()) == len(needed)  # each once, none besides
     cells = {(r.row, r.col): r.value for r in got}
     tiles = tw.reproject_tiles(spark.read.format("gridtiff").load(path).drop("band"), g, out)
     assert cells == {(r.row, r.col): r.value for r in tl.to_pixels(tiles).collect()}
@@ -274,6 +500,77 @@ def test_job(spark, tmp_path):
     # rectangles that end below the source are filled, so its last row gives no value
     assert tl.to_pixels(spark.read.format("gridtiff").load(out)).agg(F.max("value")).first()[0] == 16
     assert spark.read.csv(f"{timing}/average", header=True).count() == 1
+    each = spark.read.csv(f"{timing}/processes", header=True, inferSchema=True).collect()
+    for r in each:  # measured, and together the whole
+        assert r.total == pytest.approx(r.preloop + r.minbox + r.read + r.resample + r.write + r.misc, rel=1e-6)
+    assert all(sum(r[c] for r in each) > 0 for c in rp.TIMES)
+
+
+@pytest.mark.parametrize(("layout", "bands"), [("tile", 1), ("tile", 3), ("strip", 1), ("strip", 2)])
+@pytest.mark.parametrize("srs", ["+proj=longlat", "EPSG:6933", "+proj=moll +lon_0=10 +ellps=WGS84"])
+def test_layouts_bands_and_systems_of_a_written_file(spark, tmp_path, layout, bands, srs):
+    """Read again by a plain reader of the test's own: order of tags, keys, blocks, nodata and cells."""
+    g = Grid(srs, 10.0, 90.0, 2.0, 37, 53, "UInt16", bands, 9.0, 16)
+    p = geo.cells(spark, 37, 53).withColumn("band", F.explode(F.sequence(F.lit(1), F.lit(bands)))).withColumn("value", F.when(F.col("col") != 20, (F.col("row") * 53 + F.col("col") + F.col("band")).cast("double")))
+    tiles = tl.to_tiles(p.fillna(float("nan"), ["value"]), g).where("NOT (tile_row = 1 AND tile_col = 2)")
+    bigtiff.register(spark)
+    path = str(tmp_path / "a.tif")
+    bigtiff.write_grid(tiles, g, path, layout)
+    want = np.array([[[9 if c == 20 or (16 <= r < 32 and 32 <= c < 48) else r * 53 + c + b for b in range(1, bands + 1)] for c in range(53)] for r in range(37)])
+    tags = plain_tags(path)
+    assert list(tags) == sorted(tags) and tags[277] == (bands,) and tags[42113].startswith(b"9")
+    assert tags[33550][:2] == (2.0, 2.0) and tags[33922][3:5] == (10.0, 90.0)
+    keys = tags[34735]
+    assert keys[:3] == (1, 1, 0) and len(keys) == 4 + 4 * keys[3] and list(keys[4::4]) == sorted(keys[4::4])
+    assert parse(tags[34737].split(b"|")[0].decode()) == parse(srs)
+    raw, got = open(path, "rb").read(), np.full(want.shape, 9)
+    high, wide = (tags[278][0], 53) if layout == "strip" else (tags[323][0], tags[322][0])
+    for i, (at, n) in enumerate(zip(tags[273 if layout == "strip" else 324], tags[279 if layout == "strip" else 325], strict=True)):
+        r, c = (i * high, 0) if layout == "strip" else (i // -(-53 // wide) * high, i % -(-53 // wide) * wide)
+        if n:
+            a = np.frombuffer(raw[at : at + n], "<u2").reshape(-1, wide, bands)[: 37 - r, : 53 - c]
+            got[r : r + high, c : c + wide] = a
+    assert (got == want).all()
+    back = tl.to_pixels(spark.read.format("gridtiff").option("tilesize", 16).load(path))
+    assert {(x.band, x.row, x.col): x.value for x in back.collect()} == {(b + 1, r, c): want[r, c, b] for b in range(bands) for r in range(37) for c in range(53)}
+    assert bigtiff.read_header(path, 16).grid == g
+
+
+def plain_tags(path):
+    """The tags of a little-endian BigTIFF file, one by one."""
+    raw = open(path, "rb").read()
+    at = struct.unpack("<Q", raw[8:16])[0]
+    out = {}
+    for k in range(struct.unpack("<Q", raw[at : at + 8])[0]):
+        e = at + 8 + 20 * k
+        tag, kind, n = struct.unpack("<HHQ", raw[e : e + 12])
+        size = {2: 1, 3: 2, 4: 4, 12: 8, 16: 8}[kind] * n
+        value = raw[e + 12 : e + 12 + size] if size <= 8 else raw[(o := struct.unpack("<Q", raw[e + 12 : e + 20])[0]) : o + size]
+        out[tag] = value if kind == 2 else struct.unpack(f"<{n}{ {3: 'H', 4: 'I', 12: 'd', 16: 'Q'}[kind] }", value)
+    return out
+
+
+def test_parts_of_a_block_in_several_tasks_are_refused(spark, tmp_path):
+    g = Grid("+proj=longlat", 0.0, 0.0, 1.0, 32, 32, "Byte", 2, tile_size=16)
+    p = geo.cells(spark, 32, 32).withColumn("band", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("value", F.lit(1.0))
+    bigtiff.register(spark)
+    apart = tl.to_tiles(p, g).repartitionByRange(2, "band")
+    with pytest.raises(Exception, match="dealt to several tasks"):
+        apart.write.format("gridtiff").options(**bigtiff.options(g)).mode("overwrite").save(str(tmp_path / "a.tif"))
+    assert list(tmp_path.iterdir()) == []
+
+
+def test_colours_stay(spark, tmp_path):
+    colors = tuple((k * 257, 65535 - k * 257, k) for k in range(256))
+    g = Grid("+proj=longlat", -180.0, 90.0, 10.0, 18, 36, "Byte", tile_size=16, colors=colors)
+    source, out = str(tmp_path / "in.tif"), str(tmp_path / "out.tif")
+    bigtiff.register(spark)
+    bigtiff.write_grid(tl.to_tiles(geo.cells(spark, 18, 36).withColumn("value", F.lit(3.0)), g), g, source)
+    assert plain_tags(source)[320] == tuple(c[k] for k in range(3) for c in colors) and plain_tags(source)[262] == (3,)
+    run(spark, parse_args(["-p", "+proj=sinu", "-r", "nearest", "-x", "16", "--layout", "strip", source, out]))
+    assert bigtiff.read_header(out).grid.colors == colors
+    with pytest.raises(BadArgument):
+        Grid("", 0.0, 0.0, 1.0, 1, 1, "Float32", colors=colors)
 
 
 def test_command_line_defaults():
