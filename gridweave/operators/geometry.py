@@ -170,6 +170,59 @@ def output_grid(spark: SparkSession, g: Grid, srs: str, tile_size: int = 256, ra
     return Grid(srs, r.ulx, r.uly, r.pixel_size, max(1, r.n_rows), max(1, r.n_cols), g.pixel_type, g.n_bands, g.nodata if nodata is None else nodata, tile_size, g.colors)
 
 
+GRID_COLUMNS = ("ulx", "uly", "pixel_size", "n_rows", "n_cols")
+
+
+def output_sizes(grids: DataFrame, srs: str, to: str, ratio: float = 1.0, max_dim: int | None = None, mode: str = "strict") -> DataFrame:
+    """``output_size`` and its extent for each row of ``grids`` (``GRID_COLUMNS``, all in ``srs``): with the columns
+    out_ulx, out_uly, out_lrx, out_lry, out_pixel_size, out_n_rows, out_n_cols; null where no point is inside."""
+    if ratio <= 0:
+        raise BadArgument("the output ratio must be positive")
+    s, t = parse(srs), parse(to)
+    made = ["out_ulx", "out_uly", "out_lrx", "out_lry"]
+    names = [*grids.columns, *made]
+
+    def box(ulx: float, uly: float, ps: float, rows: int, cols: int) -> tuple[float, ...] | None:
+        g, found = Grid(srs, ulx, uly, ps, rows, cols), []
+        for r0, r1, c0, c1 in border_bands(g, mode):
+            wide = c1 - c0 + 1
+            for k in range(0, (r1 - r0 + 1) * wide, STRIP):  # a strip at a time, however large the grid is
+                row, col = np.divmod(np.arange(k, min(k + STRIP, (r1 - r0 + 1) * wide)), wide)
+                u, v = sphere.forward(t, *sphere.inverse(s, ulx + (col + c0) * ps, uly - (row + r0) * ps))
+                ok = np.isfinite(u) & np.isfinite(v)
+                if ok.any():
+                    found.append((u[ok].min(), v[ok].max(), u[ok].max(), v[ok].min()))
+        if not found:
+            return None
+        low, high = np.min(found, axis=0), np.max(found, axis=0)
+        return float(low[0]), float(high[1]), float(high[2]), float(low[3])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [box(*x) for x in zip(*(b.column(c).to_pylist() for c in GRID_COLUMNS), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([x and x[k] for x in got], pa.float64()) for k in range(4))], names)
+
+    schema = ", ".join([*(f"`{k}` {v}" for k, v in grids.dtypes), *(f"{c} double" for c in made)])
+    wide, high = "out_lrx - out_ulx", "out_uly - out_lry"
+    size = f"greatest({wide}, {high})/{lit(max_dim)}" if max_dim else f"sqrt(({wide})*({wide}) + ({high})*({high}))/sqrt(CAST(n_rows AS DOUBLE)*n_rows + CAST(n_cols AS DOUBLE)*n_cols)"
+    boxes = grids.mapInArrow(run, schema).withColumn("out_pixel_size", F.expr(f"{lit(ratio)}*{size}"))
+    cells = lambda d: F.expr(f"CAST(floor(0.5e0 + ({d})/out_pixel_size) AS BIGINT)")
+    return boxes.withColumns({"out_n_rows": cells(high), "out_n_cols": cells(wide)})
+
+
+def block_partitions(grids: DataFrame, tile_size: int, partition_size: int = 1) -> DataFrame:
+    """``block_partition`` of each row of ``grids`` (n_rows, n_cols and other columns, which stay): a row for each block, made where
+    its grid is."""
+    if min(tile_size, partition_size) < 1:
+        raise BadArgument("sizes must be positive")
+    rest = [c for c in grids.columns if c not in ("n_rows", "n_cols")]
+    high = math.isqrt(partition_size)
+    h, w = high * tile_size, partition_size // high * tile_size
+    ids = grids.select(*rest, "n_rows", "n_cols", F.expr(f"(n_cols + {w - 1}) div {w}").alias("_across"), F.explode(F.expr(f"sequence(0L, (n_rows + {h - 1}) div {h} * ((n_cols + {w - 1}) div {w}) - 1)")).alias("part_id"))
+    r, c = "(part_id div _across)", "(part_id % _across)"
+    return ids.selectExpr(*rest, "part_id", f"{c}*{w} AS ul_col", f"{r}*{h} AS ul_row", f"least(({c} + 1)*{w}, n_cols) - 1 AS lr_col", f"least(({r} + 1)*{h}, n_rows) - 1 AS lr_row")
+
+
 def block_partition(spark: SparkSession, n_rows: int, n_cols: int, tile_size: int, partition_size: int = 1, workers: int = 1) -> DataFrame:
     """(part_id, worker, ul_col, ul_row, lr_col, lr_row): blocks of tiles in row-major order,
     inclusive; ``worker`` goes round.  A block is floor(sqrt(p)) tiles high, p div that wide."""
