@@ -13,8 +13,8 @@ from gridweave.model import Grid
 from gridweave.operators import tilewise
 
 NAMES = (
-    "reproject_nearest_sinu_all", "reproject_mean_sinu_all", "reproject_tiles_bilinear", "reproject_tiles_lanczos", "reproject_file_mean_sinu", "downsample_mean_cea",
-    "projected_minbox_corrected", "raster_minbox_per_block", "tile_roundtrip", "geotiff_roundtrip", "tile_store_window", "raster_compare_badpixels",
+    "reproject_nearest_sinu", "reproject_mean_sinu", "reproject_bilinear", "reproject_lanczos", "projected_minbox_corrected", "raster_minbox_per_block", "tile_roundtrip", "raster_compare_badpixels",
+    "reproject_file_mean_sinu", "geotiff_roundtrip", "tile_store_window",
 )
 #: Cells of the large grid that is made in tasks and reprojected tile by tile.
 LARGE = 10_000

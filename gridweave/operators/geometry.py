@@ -244,28 +244,46 @@ def block_partition_sql(n_rows: int, n_cols: int, tile_size: int, partition_size
 
 def raster_minbox(parts: DataFrame, grid_from: Grid, grid_to: Grid) -> DataFrame:
     """(part_id, ul_col, ul_row, lr_col, lr_row): for each block of ``grid_from`` the box of
-    ``grid_to`` that its cells need; blocks wholly outside have no row.  A block stays one row; its
-    cells are mapped in strips."""
-
-    def box(part: dict) -> list[int] | None:
-        found = []
-        wide = part["lr_col"] - part["ul_col"] + 1
-        step = max(1, STRIP // wide)
-        for r in range(part["ul_row"], part["lr_row"] + 1, step):
-            row, col = np.divmod(np.arange(min(step, part["lr_row"] + 1 - r) * wide), wide)
-            ok, c0, r0, c1, r1 = rectangles(grid_from, grid_to, row + r, col + part["ul_col"])
-            ok &= (c0 < grid_to.n_cols) & (r0 < grid_to.n_rows) & (c1 < grid_to.n_cols) & (r1 < grid_to.n_rows)
-            if ok.any():
-                found.append((c0[ok].min(), r0[ok].min(), c1[ok].max(), r1[ok].max()))
-        if not found:
-            return None
-        low, high = np.min(found, axis=0), np.max(found, axis=0)
-        return [int(x) for x in (low[0], low[1], high[2], high[3])]
+    ``grid_to`` that its cells need; blocks wholly outside have no row.  Small blocks are mapped
+    together, large ones in bands of rows, whose boxes are merged."""
+
+    def boxes(blocks: np.ndarray) -> np.ndarray:
+        """[part_id, box] of blocks [part_id, ul_col, ul_row, lr_col, lr_row], all their cells at once."""
+        wide = blocks[:, 3] - blocks[:, 1] + 1
+        n = wide * (blocks[:, 4] - blocks[:, 2] + 1)
+        of = np.repeat(np.arange(len(blocks)), n)
+        row, col = np.divmod(np.arange(of.size) - np.repeat(np.cumsum(n) - n, n), wide[of])
+        ok, *found = rectangles(grid_from, grid_to, row + blocks[of, 2], col + blocks[of, 1])
+        c0, r0, c1, r1 = found
+        ok &= (c0 < grid_to.n_cols) & (r0 < grid_to.n_rows) & (c1 < grid_to.n_cols) & (r1 < grid_to.n_rows)
+        of = of[ok]
+        first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if of.size else of
+        low, high = (f.reduceat(np.stack(found, axis=1)[ok], first) if of.size else np.zeros((0, 4), np.int64) for f in (np.minimum, np.maximum))
+        return np.column_stack([blocks[of[first], 0], low[:, :2], high[:, 2:]])
+
+    def pieces(blocks: np.ndarray) -> Iterator[np.ndarray]:
+        """Runs of blocks that have about STRIP cells; a larger block is cut into bands of rows."""
+        n = (blocks[:, 3] - blocks[:, 1] + 1) * (blocks[:, 4] - blocks[:, 2] + 1)
+        total, at = np.cumsum(n), 0
+        while at < len(blocks):
+            end = max(at + 1, int(np.searchsorted(total, total[at] - n[at] + STRIP, "right")))
+            if n[at] <= STRIP:
+                yield blocks[at:end]
+            else:
+                end = at + 1
+                part, left, top, right, bottom = (int(x) for x in blocks[at])
+                step = max(1, STRIP // (right - left + 1))
+                for r in range(top, bottom + 1, step):
+                    yield np.array([[part, left, r, right, min(bottom, r + step - 1)]])
+            at = end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(part["part_id"], *got) for part in b.to_pylist() if (got := box(part))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(5)], ["part_id", "ul_col", "ul_row", "lr_col", "lr_row"])
+            blocks = np.stack([b.column(c).to_numpy() for c in ("part_id", "ul_col", "ul_row", "lr_col", "lr_row")], axis=1)
+            for piece in pieces(blocks):
+                got = boxes(piece)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in got.T], ["part_id", "ul_col", "ul_row", "lr_col", "lr_row"])
 
     every = parts.select(F.col("part_id").cast("long"), *[F.col(c).cast("long") for c in ("ul_col", "ul_row", "lr_col", "lr_row")])
-    return every.mapInArrow(run, "part_id long, ul_col long, ul_row long, lr_col long, lr_row long")
+    found = every.mapInArrow(run, "part_id long, ul_col long, ul_row long, lr_col long, lr_row long")
+    return found.groupBy("part_id").agg(F.min("ul_col").alias("ul_col"), F.min("ul_row").alias("ul_row"), F.max("lr_col").alias("lr_col"), F.max("lr_row").alias("lr_row"))

@@ -260,26 +260,38 @@ class _Partials:
         self.grid_in, self.grid_out, self.r, self.kernel, self.spent = grid_in, grid_out, r, kernel, spent
         self.held: dict[tuple, list] = {}
         self.cells = 0
+        self.known: dict[tuple, tuple] = {}
+        self.known_cells = 0
 
     def take(self, keys: tuple, need: tuple[int, ...], tile: np.ndarray) -> None:
         """``need`` is a row of ``needed_tiles``, ``tile`` the cells of its source tile."""
         began = time.time()
         out_tile, tile_row, tile_col, top, left, bottom, right = need
-        ts, g = self.grid_out.tile_size, self.grid_out
-        across = -(-g.n_cols // ts)
-        row, col = np.divmod(np.arange((bottom - top + 1) * (right - left + 1)), right - left + 1)
-        value, weight = np.full(row.size, np.nan), np.zeros(row.size)
-        for k in range(0, row.size, STRIP):
-            at = slice(k, k + STRIP)
-            ok, *box = sources(g, self.grid_in, row[at] + top + out_tile // across * ts, col[at] + left + out_tile % across * ts, self.r.support)
-            corner = tile_col * self.grid_in.tile_size, tile_row * self.grid_in.tile_size
-            box = tuple(x[ok] - corner[i % 2] for i, x in enumerate(box))
-            value[at][ok], weight[at][ok] = partial(tile, box, self.r, g.pixel_size / self.grid_in.pixel_size, self.kernel)
+        n = (bottom - top + 1) * (right - left + 1)
+        value, weight = np.full(n, np.nan), np.zeros(n)
+        for k in range(0, n, STRIP):
+            at, (ok, box) = slice(k, k + STRIP), self._rectangles(tuple(need), k, min(k + STRIP, n))
+            value[at][ok], weight[at][ok] = partial(tile, box, self.r, self.grid_out.pixel_size / self.grid_in.pixel_size, self.kernel)
         shape = bottom - top + 1, right - left + 1
         self._merge((*keys, out_tile), (top, left, bottom, right), value.reshape(shape), weight.reshape(shape))
         if self.spent is not None:
             self.spent.add({"resample": time.time() - began})
 
+    def _rectangles(self, need: tuple[int, ...], begin: int, end: int) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+        """Rectangles of cells [begin, end) of a need's box, from the source tile's corner; grids of one shape share them."""
+        if (need, begin) not in self.known:
+            out_tile, tile_row, tile_col, top, left, _, right = need
+            g, ts = self.grid_out, self.grid_out.tile_size
+            across = -(-g.n_cols // ts)
+            row, col = np.divmod(np.arange(begin, end), right - left + 1)
+            ok, *box = sources(g, self.grid_in, row + top + out_tile // across * ts, col + left + out_tile % across * ts, self.r.support)
+            corner = tile_col * self.grid_in.tile_size, tile_row * self.grid_in.tile_size
+            if self.known_cells + end - begin > HELD:
+                self.known, self.known_cells = {}, 0
+            self.known[need, begin] = ok, tuple(x[ok] - corner[i % 2] for i, x in enumerate(box))
+            self.known_cells += end - begin
+        return self.known[need, begin]
+
     def _merge(self, key: tuple, box: tuple[int, int, int, int], value: np.ndarray, weight: np.ndarray) -> None:
         if key in self.held:
             old, old_value, old_weight = self.held.pop(key)
