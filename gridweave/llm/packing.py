@@ -25,6 +25,8 @@ LENGTHS = (4_096, 8_192, 16_384, 32_768)
 OVERHEAD = 64
 #: Pieces in a shard, about.
 SHARD_PIECES = 8_192
+#: Rows that are alike and are numbered by one task at a time.
+CHUNK = 4_096
 
 
 def _trial(sizes: list[int], at: int, length: int) -> int:
@@ -71,7 +73,8 @@ def pack(docs: DataFrame, size: Column | None = None, lengths: tuple[int, ...] =
     ``at`` its first token in the bin; (shard, bin) names the bin, whose length is ``capacity``
     and whose contents have ``used`` tokens.  ``size`` (default: byte tokens of ``text``) below 1
     or null counts as 1.  Repeated rows are packed each by itself; ties go by id and piece, and
-    null ids come first, before negative ones, too.  Other columns are ignored.  An empty table gives an empty result.
+    null ids come first, before negative ones, too; the result
+    does not depend on how the rows are dealt over partitions.  Other columns are ignored.  An empty table gives an empty result.
     The number of shards follows from a count of all pieces.
     """
     lengths = tuple(sorted(lengths))
@@ -81,10 +84,13 @@ def pack(docs: DataFrame, size: Column | None = None, lengths: tuple[int, ...] =
     n = F.ceil(F.col("total") / F.lit(float(most))).cast("int")
     count = base.agg(F.sum(n)).first()[0] or 0
     shards = max(1, -(-count // shard_pieces))
-    # the place of a row in the input is in the deal, so that rows that repeat an id or have none are dealt out, too
-    base = base.withColumn("place", F.monotonically_increasing_id())
-    pieces = base.select("doc_id", "total", "place", F.explode(F.sequence(F.lit(0), n - 1)).alias("piece"))
-    pieces = pieces.select("doc_id", "piece", (F.col("piece").cast("long") * most).alias("start"), F.least(F.lit(most).cast("long"), F.col("total") - F.col("piece").cast("long") * most).alias("size"), F.pmod(F.xxhash64("doc_id", "piece", "place"), F.lit(shards)).cast("int").alias("shard"))
+    # Rows that are alike are counted and numbered anew, a chunk at a time, so that the deal spreads them and yet
+    # depends on the rows alone: not on their order, nor on which task is run again.
+    alike = base.groupBy("doc_id", "total").agg(F.count(F.lit(1)).alias("rows"))
+    chunks = alike.select("doc_id", "total", "rows", F.explode(F.expr(f"sequence(0L, (rows - 1) div {CHUNK})")).alias("chunk")).repartition("doc_id", "total", "chunk")
+    each = chunks.select("doc_id", "total", F.explode(F.expr(f"sequence(chunk*{CHUNK}L, least(rows, (chunk + 1)*{CHUNK}L) - 1)")).alias("place"))
+    pieces = each.select("doc_id", "total", "place", F.explode(F.sequence(F.lit(0), n - 1)).alias("piece"))
+    pieces = pieces.select("doc_id", "piece", (F.col("piece").cast("long") * most).alias("start"), F.least(F.lit(most).cast("long"), F.col("total") - F.col("piece").cast("long") * most).alias("size"), F.pmod(F.xxhash64("doc_id", "total", "piece", "place"), F.lit(shards)).cast("int").alias("shard"))
 
     def shard(t: pa.Table) -> pa.Table:
         order = [("size", "descending"), ("doc_id", "ascending"), ("piece", "ascending")]

@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from gridweave.llm import common, exact_dedup, filter_audit, merkle, sharding
+from gridweave.llm import common, exact_dedup, filter_audit, merkle, packing, sharding
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, mask int, key string, shard int, _row int, total long"
 
@@ -206,3 +206,19 @@ def test_exact_dedup_is_the_same_by_shuffles(spark, monkeypatch):
     want = Counter(map(tuple, exact_dedup.exact_dedup(table(spark, rows), block_chars=32).collect()))
     monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
     assert Counter(map(tuple, exact_dedup.exact_dedup(table(spark, rows), block_chars=32).collect())) == want
+
+
+def test_packing_depends_on_the_rows_alone(spark, monkeypatch):
+    """The same rows over 1, 3 and 7 partitions, in another order; thousands of them alike, by chunks."""
+    monkeypatch.setattr(packing, "CHUNK", 100)
+    rng = random.Random(9)
+    rows = [(i, "x" * rng.randrange(300), "en", "a", 1) for i in range(1500)] + [(None, "same", "en", "a", 1)] * 1200 + [(7, "y" * 90, "en", "a", 1)] * 300
+    packs = []
+    for parts in (1, 3, 7):
+        rng.shuffle(rows)
+        got = packing.pack(table(spark, rows, parts), lengths=(64, 128), shard_pieces=200)
+        packs.append(Counter(map(tuple, got.collect())))
+    assert packs[0] == packs[1] == packs[2]
+    assert Counter((r[0], r[3]) for r in packs[0].elements())[None, 5] == 1200
+    per = Counter(r[4] for r in packs[0].elements() if r[0] is None)
+    assert max(per.values()) < 400  # rows that are alike are dealt out
