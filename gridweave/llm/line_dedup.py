@@ -154,22 +154,22 @@ def _key(id_col: str, text: Column) -> Column:
     return F.struct(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.xxhash64(text).alias("sha"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, extend: bool = False) -> DataFrame:
-    """The rows and columns of ``docs`` with the repeated lines deleted from ``text_col``, and ``_deleted_lines``.
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, extend: bool = False, deleted_col: str = "_deleted_lines") -> DataFrame:
+    """The rows and columns of ``docs`` with the repeated lines deleted from ``text_col``, and their number as ``deleted_col``.
 
     The first copy of a run, by id and line, stays; null ids come first.  ``extend`` deletes
     repeated runs to both their ends, else only the windows at each line go.  A null or empty text
-    stays as it is.  Rows that repeat both id and text are one document.  Columns named
-    ``_key``, ``_gone`` or ``_lines`` in the input are not allowed; other names may be any.  An empty table
-    gives an empty result.
+    stays as it is.  Rows that repeat both id and text are one document.  Other columns may have any name; one
+    named like ``deleted_col`` gives way to it.  An empty table gives an empty result.
     """
-    for name in ("_key", "_gone", "_lines"):
-        if name in docs.columns:
-            raise ValueError(f"column {name} is reserved")
-    base = docs.withColumn("_key", _key(id_col, F.col(text_col)))
-    gone = repeated_lines(base.select(F.col("_key").alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), min_words, extend)
-    out = base.join(gone.select(F.col("key").alias("_key"), F.col("gone").alias("_gone")), "_key", "left")
-    out = out.withColumn("_lines", F.when(F.col("_gone").isNotNull(), F.split(text_col, "\n", -1)))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone")
-    kept = F.array_join(F.transform(stay, lambda i: F.get("_lines", i)), "\n")
-    return out.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept)).select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce(F.size("_gone"), F.lit(0)).cast("int").alias("_deleted_lines"))
+    every = [c for c in docs.columns if c != deleted_col]
+    key = _key(id_col, F.col(text_col))
+    gone = repeated_lines(docs.select(key.alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), min_words, extend)
+    # the input's columns are one struct meanwhile, so that no name of theirs can clash
+    base = docs.select(key.alias("key"), F.struct(*[F.col(f"`{c}`") for c in every]).alias("row"))
+    out = base.join(gone, "key", "left").withColumn("lines", F.when(F.col("gone").isNotNull(), F.split(F.col("row").getField(text_col), "\n", -1)))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
+    kept = F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n")
+    text = F.when(F.col("gone").isNull(), F.col("row").getField(text_col)).otherwise(kept)
+    columns = [(text if c == text_col else F.col("row").getField(c)).alias(c) for c in every]
+    return out.select(*columns, F.coalesce(F.size("gone"), F.lit(0)).cast("int").alias(deleted_col))

@@ -222,3 +222,26 @@ def test_packing_depends_on_the_rows_alone(spark, monkeypatch):
     assert Counter((r[0], r[3]) for r in packs[0].elements())[None, 5] == 1200
     per = Counter(r[4] for r in packs[0].elements() if r[0] is None)
     assert max(per.values()) < 400  # rows that are alike are dealt out
+
+
+def test_columns_of_any_name_go_through_the_stages(spark):
+    """Names that operators use inside stay what they are in the input."""
+    import corpus_pipeline
+    from gridweave.llm import line_dedup
+
+    names = ["_key", "_gone", "_lines", "_id", "_deleted_lines", "key", "gone", "lines", "row", "id", "n", "sha"]
+    line = " ".join(f"w{k}" for k in range(12))
+    long = " ".join(f"v{k}" for k in range(60))
+    texts = [(1, f"{line}\nmy own words"), (2, f"{line}\nother words of mine"), (3, long), (4, f"{long} x"), (None, "no id"), (None, "no id"), (5, "one"), (5, "two"), (6, None)]
+    df = spark.createDataFrame([(i, t, len(t or ""), *range(len(names))) for i, t in texts], ", ".join(["doc_id long, text string, n_chars long", *(f"`{n}` int" for n in names)]))
+    lines = line_dedup.line_dedup(df)
+    assert lines.columns == [c for c in df.columns if c != "_deleted_lines"] + ["_deleted_lines"]
+    kept = corpus_pipeline.drop_repeated_lines(spark, df, "")
+    assert kept.columns == df.columns
+    assert {(r.doc_id, r.text, r.n_chars) for r in kept.collect()} >= {(1, f"{line}\nmy own words", len(line) + 13), (2, "other words of mine", 19), (6, None, 0)}
+    near = corpus_pipeline.drop_near_copies(spark, df, "")
+    got = sorted(map(str, ((r.doc_id, r.text) for r in near.collect())))
+    assert near.columns == df.columns
+    assert got == sorted(map(str, [(i, t) for i, t in dict.fromkeys(texts) if i != 4]))
+    for df2 in (kept, near):
+        assert {tuple(r[n] for n in names) for r in df2.collect()} == {tuple(range(len(names)))}
