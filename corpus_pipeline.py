@@ -31,22 +31,28 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated runs of lines go, and documents of which nothing but white space is left by that."""
-    out = line_dedup.line_dedup(docs, extend=True).where("_deleted_lines = 0 or trim(text) != ''")
-    return out.withColumn("n_chars", F.when(F.col("_deleted_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    deleted = "_deleted_lines"
+    while deleted in docs.columns:
+        deleted += "_"
+    out = line_dedup.line_dedup(docs, extend=True, deleted_col=deleted).where((F.col(deleted) == 0) | (F.trim("text") != ""))
+    n_chars = F.when(F.col(deleted) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return out.withColumn("n_chars", n_chars).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows whose id is their own, and the others, once each, with a key ``_id`` for either.
+    """(key, row): rows whose id is their own, and the others, once each; ``row`` has all columns of ``docs``.
 
     The key is the id.  Rows without an id or with one that other rows have get a hash of id and text,
-    far below zero; of rows that repeat both, one stays.
+    far below zero; of rows that repeat both, one stays, which the text's sha256 decides.
     """
-    repeated = settle(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc_id"))
+    base = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    repeated = settle(base.where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id"))
     repeated = bounded_broadcast(repeated, repeated.count())
-    own = docs.where("doc_id is not null").join(repeated, "doc_id", "left_anti").withColumn("_id", F.col("doc_id").cast("long"))
-    others = docs.where("doc_id is null").unionByName(docs.join(repeated, "doc_id", "left_semi"))
-    key = -F.lit(1 << 62) - F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 62))
-    return own.select(*docs.columns, "_id"), others.withColumn("_id", key).dropDuplicates(["_id"]).select(*docs.columns, "_id")
+    own = base.where("id is not null").join(repeated, "id", "left_anti").select(F.col("id").alias("key"), "row")
+    others = base.where("id is null").unionByName(base.join(repeated, "id", "left_semi"))
+    once = others.withColumn("sha", F.sha2(F.col("row").getField("text"), 256)).dropDuplicates(["id", "sha"])
+    key = -F.lit(1 << 62) - F.pmod(F.xxhash64("id", "sha"), F.lit(1 << 62))
+    return own, once.select(key.alias("key"), "row")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,8 +62,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     own, others = _keyed(docs)
     keyed = own.unionByName(others)
-    gone = settle(ngram_join.components(keyed, id_col="_id").where("component_id != doc_id").select(F.col("doc_id").alias("_id")))
-    return keyed.join(bounded_broadcast(gone, gone.count()), "_id", "left_anti").select(*docs.columns)
+    texts = keyed.select("key", F.col("row").getField("text").alias("text"))
+    gone = settle(ngram_join.components(texts, id_col="key").where("component_id != doc_id").select(F.col("doc_id").alias("key")))
+    left = keyed.join(bounded_broadcast(gone, gone.count()), "key", "left_anti")
+    return left.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
