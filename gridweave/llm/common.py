@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,17 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def store(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a table of its own in the shared folder.
+
+    Other than a checkpoint, which takes the plan's estimate along, it is planned by its true size;
+    so take this where many joins follow each other.  The folder is the cluster's to clear.
+    """
+    path = f"{shared_dir(df.sparkSession)}/tables/{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z only, as SQL's translate()."""
     return F.translate(c, UPPER, LOWER)

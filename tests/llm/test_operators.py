@@ -5,9 +5,10 @@ import hashlib
 import random
 import re
 import textwrap
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from gridweave.llm import bpe, exact_dedup, fingerprints, language_id, license_scan, line_dedup, ngram_join, packing, token_counts, toxicity
 from gridweave.llm.registry import tokenizer
@@ -74,6 +75,22 @@ def test_dedup_is_exact(spark):
     assert {(r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in got} == {(i, max(g), len(g), i == max(g), hashlib.sha256(t.encode()).hexdigest()) for t, g in groups.items() for i in g}
 
 
+@pytest.mark.parametrize("hashes", [1, 7])
+def test_dedup_does_not_trust_its_hashes(spark, monkeypatch, hashes):
+    """All blocks and pairs share a few hashes; thousands of rows are alike and have no id."""
+    monkeypatch.setattr(exact_dedup, "block_hash", lambda *c: F.pmod(F.xxhash64(*c), F.lit(hashes)))
+    hot = "Same words. " * 9
+    rows = some(60) + [(None, hot)] * 1500 + [(None, None)] * 40 + [(-(2**63), ""), (1_000_000, hot.upper()), (1_000_001, hot + "x"), (1_000_001, hot + "x")]
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[(t or "").lower()].append(i)
+    want = Counter()
+    for t, g in groups.items():
+        keep = max((i for i in g if i is not None), default=None)
+        want.update((i, keep, len(g), i == keep, hashlib.sha256(t.encode()).hexdigest()) for i in g)
+    assert Counter(map(tuple, exact_dedup.exact_dedup(table(spark, rows), block_chars=16, buckets=3).collect())) == want
+
+
 @pytest.mark.parametrize(("words", "num", "den", "settings"), [(3, 90, 100, {}), (2, 60, 100, {"SHORT_LIST": 1, "SMALL_SET": 20}), (2, 80, 100, {"SHORT_LIST": 2, "PIVOTS": 0, "ROUNDS": 3}), (2, 70, 100, {"SHORT_LIST": 2, "ROUNDS": 0, "PIVOTS": 0, "BLOCK": 3, "SMALL_SET": 0})])
 def test_join_is_exact(spark, monkeypatch, words, num, den, settings):
     for name, value in settings.items():
