@@ -21,11 +21,12 @@ one set only keep their place in the order and are left out.
   any other link has s > 0, so it is found by a join on the elements of R and A, again on
   prefixes only.  A group of near copies thus needs a number of comparisons in proportion to
   its size, and only pairs of which one is not linked to the pivot are ever made.
-* Sets far from their pivot get another one.  After PIVOTS of them they go on to lists of two
-  shared shingles, then of three, and so on: the next shingle that they share stands before the
-  prefix's end, which moves on by one with each.  A shingle that thousands of unlike sets share
-  thus makes no pairs.  Lists that make fewer pairs than longer names would make entries, and those
-  left after the last round, are paired block by block, with the skips above.
+* Sets far from their pivot go on to lists of two shared shingles, then of three, and so on up to
+  LEVELS + 1: the next shingle that they share stands before the prefix's end, which moves on by
+  one with each.  A shingle that thousands of unlike sets share thus makes no pairs.  Lists that
+  make fewer pairs than longer names would make entries, and those left at the last level, are
+  paired block by block, with the skips above.  A name is short, or paired by blocks, at one level
+  only, so all levels' lists are paired together at the end.
 
 Parity bitmaps give a bound on the overlap that drops most pairs before their sets are
 compared; then the exact overlap decides.  Sets are of 64-bit hashes of shingles.
@@ -34,6 +35,7 @@ compared; then the exact overlap decides.  Sets are of 64-bit hashes of shingles
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,10 +46,8 @@ from .common import HOT_PARTS, bounded_broadcast, mix, settle, slices, texts, wo
 
 #: Lists up to this length are paired directly.
 SHORT_LIST = 16
-#: Pivots that a list gets before lists are named by one shingle more.
-PIVOTS = 2
-#: Rounds in all; so a list is named by ROUNDS - PIVOTS + 1 shared shingles at most.
-ROUNDS = 4
+#: A list is named by LEVELS + 1 shared shingles at most.
+LEVELS = 2
 #: Sets up to this size are in the index whose zone is the whole range.
 SMALL_SET = 64
 #: Entries in a block of a long list, about.
@@ -106,7 +106,7 @@ def _described(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
         nz = int(np.searchsorted(s, zone))
         if (den - num) * n < num:
             return p, 0, none, none
-        keys = s[: max(nz, p + ROUNDS - PIVOTS)] ^ _SIGN if n > SMALL_SET else none  # in order as signed numbers, too
+        keys = s[: max(nz, p + LEVELS)] ^ _SIGN if n > SMALL_SET else none  # in order as signed numbers, too
         return p, nz, keys, mix(s ^ _SMALL) if n <= most else none
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +175,7 @@ def _prefixes(reps: DataFrame) -> DataFrame:
     sets = sets.join(reps.select("id", "n", "p", "nz"), "id")
     alone = F.when(F.col("small"), F.col("n")).otherwise(F.col("nz")) - F.col("early")  # in the zone, and in this set only
     place = F.transform("all", lambda t, i: F.struct(F.when(t["late"] >= 0, F.col("nz") + t["late"]).otherwise(alone + i).alias("pos"), t["key"].alias("key")))
-    return sets.select("id", "n", "p", "small", F.filter(place, lambda t: t["pos"] < F.col("p") + ROUNDS - PIVOTS).alias("toks"))
+    return sets.select("id", "n", "p", "small", F.filter(place, lambda t: t["pos"] < F.col("p") + LEVELS).alias("toks"))
 
 
 def _short_pairs(lists: DataFrame, num: int, den: int) -> DataFrame:
@@ -272,26 +272,25 @@ def links(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, D
 
     near = max(1 - 3 * (1 - num / den), 0.5)
     zone = near - (1 - num / den)
-    pairs: list[DataFrame] = []
+    short: list[DataFrame] = []
+    blocks: list[DataFrame] = []
     stars: list[DataFrame] = []
-    for turn in range(ROUNDS + 1):
-        level = max(0, turn - PIVOTS)  # shingles in a list's name but one
+    around: list[DataFrame] = []
+    for level in range(LEVELS + 1):  # shingles in a list's name but one
         tail = F.col("n") - F.ceil(num * F.col("n") / F.lit(float(den))) + 1 + level - F.col("pos")
         stats = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("cnt"), F.min(F.struct("id", "n")).alias("p"), F.sum(tail).alias("tail")).where("cnt > 1").select("shingle", "cnt", "tail", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n"))
         hits = settle(entries.join(stats, "shingle"))
-        lists = hits.where(F.col("cnt") <= SHORT_LIST).groupBy("shingle").agg(F.sort_array(F.collect_list(F.struct("n", "rest", "id"))).alias("all"))
-        pairs.append(_short_pairs(lists.select("all"), num, den))
+        block = ("shingle", "n", "rest", "id", "cnt")
+        short.append(hits.where(F.col("cnt") <= SHORT_LIST).select("shingle", "n", "rest", "id"))
         long = hits.where(F.col("cnt") > SHORT_LIST)
-        if PIVOTS <= turn < ROUNDS:
-            cheap = F.col("cnt") * F.col("cnt") <= 2 * F.col("tail")
-            pairs.append(_block_pairs(long.where(cheap), num, den))
-            long = long.where(~cheap)
-        if turn == ROUNDS:
-            pairs.append(_block_pairs(long, num, den))
-            break
-        star = settle(long.where("id != pivot").select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("pivot").alias("b"), F.col("pivot_n").alias("nb")).distinct())
-        if star.isEmpty():
+        if level == LEVELS:
+            blocks.append(long.select(*block))
             break
+        star = long.where("id != pivot").select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("pivot").alias("b"), F.col("pivot_n").alias("nb")).distinct()
+        for s in stars:  # compared before
+            star = star.join(s, ["a", "na", "b", "nb"], "left_anti")
+        star = settle(star)
+        stars.append(star)
         # what is surely far from its pivot needs no sets
         close = _with(star, bitmaps, "bitmap")
         bound = (F.col("na") + F.col("nb") - _distance(F.col("a_bitmap"), F.col("b_bitmap"))) / 2
@@ -302,27 +301,29 @@ def links(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, D
         like = inter / (F.col("na") + F.col("nb") - inter)
         found = found.withColumn("like", like).withColumn("cost", den * F.size("less") + num * F.size("more")).where(F.col("like") >= zone)
         found = settle(found.select("a", "na", "b", "nb", "like", "cost", F.concat("less", "more").alias("diff")))
-        stars.append(found.where(F.col("cost") <= (den - num) * F.col("nb")).select("a", "b"))
-        pairs.append(_by_differences(found, num, den))
-        done = found.where(F.col("like") >= near).select(F.col("a").alias("id"), F.col("b").alias("pivot"))
-        far = long.where("id != pivot").join(done, ["id", "pivot"], "left_anti").select("id", "n", "small", "pos", "shingle", "rest")
-        if turn >= PIVOTS:  # lists of one shared shingle more; the last one stands before p + level + 1
-            more = far.drop("n").join(prefixes, ["id", "small"]).select("id", "n", "small", "shingle", F.explode(F.filter("toks", lambda t, at=level + 1: (t["pos"] > F.col("pos")) & (t["pos"] < F.col("p") + at))).alias("tok"))
-            far = more.select("id", "n", "small", tok["pos"].alias("pos"), F.xxhash64("shingle", tok["key"]).alias("shingle"), (F.col("n") - tok["pos"] + level + 1).alias("rest"))
-        entries = settle(far)
+        around.append(found)
+        done = reduce(DataFrame.unionByName, around).where(F.col("like") >= near).select(F.col("a").alias("id"), F.col("b").alias("pivot"))
+        far = long.where("id != pivot").join(done, ["id", "pivot"], "left_anti")
+        cheap = F.col("cnt") * F.col("cnt") <= 2 * F.col("tail")
+        blocks.append(far.where(cheap).select(*block))
+        # lists of one shared shingle more; the last one stands before p + level + 1
+        more = far.where(~cheap).select("id", "small", "pos", "shingle").join(prefixes, ["id", "small"]).select("id", "n", "small", "shingle", F.explode(F.filter("toks", lambda t, at=level + 1: (t["pos"] > F.col("pos")) & (t["pos"] < F.col("p") + at))).alias("tok"))
+        entries = settle(more.select("id", "n", "small", tok["pos"].alias("pos"), F.xxhash64("shingle", tok["key"]).alias("shingle"), (F.col("n") - tok["pos"] + level + 1).alias("rest")))
         if entries.isEmpty():
             break
 
-    every = pairs[0]
-    for p in pairs[1:]:
-        every = every.unionByName(p)
+    lists = reduce(DataFrame.unionByName, short).groupBy("shingle").agg(F.sort_array(F.collect_list(F.struct("n", "rest", "id"))).alias("all"))
+    every = _short_pairs(lists.select("all"), num, den).unionByName(_block_pairs(reduce(DataFrame.unionByName, blocks), num, den))
+    if around:
+        found = reduce(DataFrame.unionByName, around)
+        every = every.unionByName(_by_differences(found, num, den))
     bound = (F.col("na") + F.col("nb") - _distance(F.col("a_bitmap"), F.col("b_bitmap"))) / 2
     likely = _with(settle(every.distinct()), bitmaps, "bitmap").where(_linked(bound, F.col("na"), F.col("nb"), num, den))
     likely = settle(likely.select("a", "na", "b", "nb"))
     exact = _with(likely, settle(_sets(docs, likely.select(F.explode(F.array("a", "b")).alias("id")), words)), "set")
     edges = exact.where(_linked(F.size(F.array_intersect("a_set", "b_set")), F.size("a_set"), F.size("b_set"), num, den)).select("a", "b")
-    for s in stars:
-        edges = edges.unionByName(s)
+    if around:
+        edges = edges.unionByName(found.where(F.col("cost") <= (den - num) * F.col("nb")).select("a", "b"))
     return members, edges.distinct()
 
 
