@@ -21,8 +21,8 @@ one set only keep their place in the order and are left out.
   any other link has s > 0, so it is found by a join on the elements of R and A, again on
   prefixes only.  A group of near copies thus needs a number of comparisons in proportion to
   its size, and only pairs of which one is not linked to the pivot are ever made.
-* Sets far from their pivot go on to lists of two shared shingles, then of three, and so on up to
-  LEVELS + 1: the next shingle that they share stands before the prefix's end, which moves on by
+* Sets far from their pivot get another one.  After PIVOTS of them, and one more at each level, they
+  go on to lists of two shared shingles, then of three, and so on up to LEVELS + 1: the next shingle that they share stands before the prefix's end, which moves on by
   one with each.  A shingle that thousands of unlike sets share thus makes no pairs.  Lists that
   make fewer pairs than longer names would make entries, and those left at the last level, are
   paired block by block, with the skips above.  A name is short, or paired by blocks, at one level
@@ -46,6 +46,8 @@ from .common import HOT_PARTS, bounded_broadcast, mix, settle, slices, texts, wo
 
 #: Lists up to this length are paired directly.
 SHORT_LIST = 16
+#: Pivots that a list gets before the one after which lists are named by one shingle more.
+PIVOTS = 2
 #: A list is named by LEVELS + 1 shared shingles at most.
 LEVELS = 2
 #: Sets up to this size are in the index whose zone is the whole range.
@@ -276,14 +278,15 @@ def links(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, D
     blocks: list[DataFrame] = []
     stars: list[DataFrame] = []
     around: list[DataFrame] = []
-    for level in range(LEVELS + 1):  # shingles in a list's name but one
+    for turn in range(PIVOTS + LEVELS + 1):
+        level = max(0, turn - PIVOTS)  # shingles in a list's name but one
         tail = F.col("n") - F.ceil(num * F.col("n") / F.lit(float(den))) + 1 + level - F.col("pos")
         stats = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("cnt"), F.min(F.struct("id", "n")).alias("p"), F.sum(tail).alias("tail")).where("cnt > 1").select("shingle", "cnt", "tail", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n"))
         hits = settle(entries.join(stats, "shingle"))
         block = ("shingle", "n", "rest", "id", "cnt")
         short.append(hits.where(F.col("cnt") <= SHORT_LIST).select("shingle", "n", "rest", "id"))
         long = hits.where(F.col("cnt") > SHORT_LIST)
-        if level == LEVELS:
+        if turn == PIVOTS + LEVELS:
             blocks.append(long.select(*block))
             break
         star = long.where("id != pivot").select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("pivot").alias("b"), F.col("pivot_n").alias("nb")).distinct()
@@ -304,6 +307,11 @@ def links(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, D
         around.append(found)
         done = reduce(DataFrame.unionByName, around).where(F.col("like") >= near).select(F.col("a").alias("id"), F.col("b").alias("pivot"))
         far = long.where("id != pivot").join(done, ["id", "pivot"], "left_anti")
+        if turn < PIVOTS:
+            entries = settle(far.select("id", "n", "small", "pos", "shingle", "rest"))
+            if entries.isEmpty():
+                break
+            continue
         cheap = F.col("cnt") * F.col("cnt") <= 2 * F.col("tail")
         blocks.append(far.where(cheap).select(*block))
         # lists of one shared shingle more; the last one stands before p + level + 1
@@ -313,7 +321,9 @@ def links(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, D
             break
 
     lists = reduce(DataFrame.unionByName, short).groupBy("shingle").agg(F.sort_array(F.collect_list(F.struct("n", "rest", "id"))).alias("all"))
-    every = _short_pairs(lists.select("all"), num, den).unionByName(_block_pairs(reduce(DataFrame.unionByName, blocks), num, den))
+    every = _short_pairs(lists.select("all"), num, den)
+    if blocks:
+        every = every.unionByName(_block_pairs(reduce(DataFrame.unionByName, blocks), num, den))
     if around:
         found = reduce(DataFrame.unionByName, around)
         every = every.unionByName(_by_differences(found, num, den))

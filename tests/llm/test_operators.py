@@ -91,7 +91,7 @@ def test_dedup_does_not_trust_its_hashes(spark, monkeypatch, hashes):
     assert Counter(map(tuple, exact_dedup.exact_dedup(table(spark, rows), block_chars=16, buckets=3).collect())) == want
 
 
-@pytest.mark.parametrize(("words", "num", "den", "settings"), [(3, 90, 100, {}), (2, 60, 100, {"SHORT_LIST": 1, "SMALL_SET": 20}), (2, 80, 100, {"SHORT_LIST": 2, "LEVELS": 3}), (2, 70, 100, {"SHORT_LIST": 2, "LEVELS": 0, "BLOCK": 3, "SMALL_SET": 0})])
+@pytest.mark.parametrize(("words", "num", "den", "settings"), [(3, 90, 100, {}), (2, 60, 100, {"SHORT_LIST": 1, "SMALL_SET": 20}), (2, 80, 100, {"SHORT_LIST": 2, "PIVOTS": 0, "LEVELS": 3}), (2, 70, 100, {"SHORT_LIST": 2, "LEVELS": 0, "PIVOTS": 0, "BLOCK": 3, "SMALL_SET": 0})])
 def test_join_is_exact(spark, monkeypatch, words, num, den, settings):
     for name, value in settings.items():
         monkeypatch.setattr(ngram_join, name, value)  # long lists are the rule then
