@@ -3,30 +3,27 @@
 Documents with equal sets form a class, and the join runs over one representative of each.  Sets
 that are too small to link with a different one take no further part.
 
-Index.  Shingles are put in one order; a set's prefix are its first ones, as many as two sets that
-link must share one of.  The order begins with a zone: the shingles whose hash is in a fixed part
-of the range, half as many again as a prefix needs, by the number of sets that hold them, rarest
-first.  So the frequencies that matter are counted exactly, over all documents, and only a part of
-the shingles moves for it.  What follows the zone is in order of hash.  Small sets have an index of
-their own whose zone is the whole range; sets about its border are in both.  Shingles that stand in
-one set only keep their place in the order and are left out.
-
-* Index level: a list is kept in blocks of neighbouring sizes, and by position in a block.  A block
-  is skipped whole if its sizes are too far apart or what follows its first position cannot give
-  the overlap that is needed; else only the entries before that position are paired.
-* Answer level: in a long list one set is the pivot, and all others are compared with it only.
+Index.  A range of sizes cuts the hashes of shingles into parts, and a set into as many tokens: what
+it has in a part, as one hash.  A shingle that only one of two sets has changes one token, so two sets
+that link, of which at most d shingles are in one set only, differ in d tokens at most; so they share
+one of the first d + 1 in any order of tokens.  There are more parts than that, and first come tokens
+that a sample of the documents doesn't show to be frequent, those of most shingles first: a token is
+several shingles and has no other ones beside them, so next to nothing but near copies shares it.
+Tokens of empty parts come last.  The sample decides on the order only: any order finds all links.
+A pair meets in the range of its larger set; a set that may be the smaller one of a pair in the next range
+is in both.  Tokens that one set only has are left out.
+
+* In a long list one set is the pivot, and all others are compared with it only.  It is the one whose
+  lists are longest, so that the lists of a group of near copies have the same one, from its middle.
   What a set lacks (R) and adds (A) against the pivot gives its answers from the pivot's: with
   cost c = den*|R| + num*|A| and s = |R∩R'| + |A∩A'|, two sets link exactly if
   (den+num)*s >= c + c' - (den-num)*|pivot|.  Sets with c <= (den-num)*|pivot| link to the pivot;
   any other link has s > 0, so it is found by a join on the elements of R and A, again on
-  prefixes only.  A group of near copies thus needs a number of comparisons in proportion to
+  prefixes only: the costlier set looks for the other one, whose prefix is the shorter for it.
+  A group of near copies thus needs a number of comparisons in proportion to
   its size, and only pairs of which one is not linked to the pivot are ever made.
-* Sets far from their pivot get another one.  After PIVOTS of them, and one more at each level, they
-  go on to lists of two shared shingles, then of three, and so on up to LEVELS + 1: the next shingle that they share stands before the prefix's end, which moves on by
-  one with each.  A shingle that thousands of unlike sets share thus makes no pairs.  Lists that
-  make fewer pairs than longer names would make entries, and those left at the last level, are
-  paired block by block, with the skips above.  A name is short, or paired by blocks, at one level
-  only, so all levels' lists are paired together at the end.
+* Sets far from their pivot get another one, PIVOTS in all and LEVELS more in lists that are longer than
+  a block.  What is left is paired block by block (a range of sizes, a part of its entries).
 
 Parity bitmaps give a bound on the overlap that drops most pairs before their sets are
 compared; then the exact overlap decides.  Sets are of 64-bit hashes of shingles.
@@ -45,17 +42,21 @@ from pyspark.sql import functions as F
 from .common import HOT_PARTS, bounded_broadcast, mix, settle, slices, texts, word_hashes
 
 #: Lists up to this length are paired directly.
-SHORT_LIST = 16
-#: Pivots that a list gets before the one after which lists are named by one shingle more.
+SHORT_LIST = 4
+#: Pivots that a long list gets.
 PIVOTS = 2
-#: A list is named by LEVELS + 1 shared shingles at most.
+#: Pivots that a list gets beyond those if it is still longer than a block.
 LEVELS = 2
-#: Sets up to this size are in the index whose zone is the whole range.
+#: Parts, as a multiple of the tokens that a range's largest sets need.
+SPARE = 1.6
+#: Ranges that begin up to this size have twice as many parts: chance leaves more of theirs empty.
 SMALL_SET = 64
 #: Entries in a block of a long list, about.
 BLOCK = 256
-_SMALL = np.uint64(0x5851F42D4C957F2D)
-_SIGN = np.uint64(1 << 63)
+#: Documents, about, that show which tokens are frequent; as many of them as make a token so; such tokens at most.
+SAMPLE, FREQUENT, MOST = 20_000, 4, 50_000
+_PART = np.uint64(0x5851F42D4C957F2D)
+Frequent = tuple[np.ndarray, np.ndarray]
 
 
 def shingle_hashes(data: np.ndarray, offs: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,39 +93,87 @@ def _bitmap(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
-def _described(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """(id, n, sig1, sig2, p, nz, keys, small, bitmap) of each document; ``docs`` has id and text.
+def part_tokens(s: np.ndarray, size: np.ndarray, num: int, den: int, frequent: Frequent) -> tuple[np.ndarray, np.ndarray]:
+    """(set, token) of the tokens by which sets are found; ``s`` has the sorted sets one after another, of
+    ``size`` shingles each, ``frequent`` the tokens that come late, ascending, and how often each was seen."""
+    n = size.astype(np.int64)
+    up = den * n // num  # the largest set that it may link with
+    able = (den - num) * n >= num
+    low, high = np.frexp(n)[1] - 1, np.frexp(up)[1] - 1
+    owner = np.repeat(np.arange(n.size), n)
+    mixed = mix(s ^ _PART)
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+    for step in range(int((high - low)[able].max(initial=-1)) + 1):
+        use = able & (low + step <= high)
+        g = low + step  # the range of the larger set's size: 2^g up to 2^(g+1) - 1
+        parts = np.ceil(SPARE * (den - num) / num * np.exp2(g + 1) * np.where(np.exp2(g) <= SMALL_SET, 2, 1)).astype(np.int64) + 1
+        differ = (den - num) * (n + np.minimum(up, (np.int64(2) << g) - 1)) // (den + num)
+        own = use[owner]
+        o, x, v = owner[own], s[own], mixed[own]
+        part = ((x >> np.uint64(32)) * parts[o].astype(np.uint64)) >> np.uint64(32)
+        new = np.ones(o.size, bool)
+        new[1:] = (o[1:] != o[:-1]) | (part[1:] != part[:-1])
+        at = np.flatnonzero(new)
+        if not at.size:
+            continue
+        d, part, held = o[at], part[at], np.diff(np.append(at, o.size))
+        name = lambda k, g: mix((k << np.uint64(6)) + g.astype(np.uint64) + np.uint64(1 << 60))
+        token = mix(np.add.reduceat(v, at) + name(part, g[d]))
+        lacks = [(k, np.setdiff1d(np.arange(parts[k]).astype(np.uint64), part[d == k])) for k in np.flatnonzero(use & (np.bincount(d, minlength=n.size) <= differ))]
+        for k, empty in lacks:
+            token = np.append(token, mix(name(empty, g[k])))
+            d, held = np.append(d, np.full(empty.size, k)), np.append(held, np.zeros(empty.size, np.int64))
+        often = np.zeros(token.size, np.int64)
+        if frequent[0].size:
+            place = np.minimum(np.searchsorted(frequent[0], token), frequent[0].size - 1)
+            often = np.where(frequent[0][place] == token, frequent[1][place], 0)
+        order = np.lexsort((token, -held, often, held == 0, d))
+        d, token = d[order], token[order]
+        keep = np.arange(d.size) - np.searchsorted(d, d) <= differ[d]
+        out.append((d[keep], token[keep]))
+    return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
+
+
+def _frequent(docs: DataFrame, words: int, num: int, den: int) -> Frequent:
+    """Tokens that several documents of a sample have, ascending, and their counts there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for b in slices(batches, "text"):
+            h, offs = shingle_hashes(*texts(b.column("text")), words)
+            sets = [np.unique(h[a:e]) for a, e in zip(offs, offs[1:], strict=False)]
+            token = part_tokens(np.concatenate(sets), np.array([s.size for s in sets]), num, den, none)[1]
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64))], ["token"])
 
-    ``p`` is the length of the prefix, ``keys`` the set's shingles of the zone, of which there are
-    ``nz``, and further ones if they don't fill the prefix; ``small`` those for the index of small sets.
-    Both are empty for a set that cannot link with a different one.
+    some = docs.sample(min(1.0, SAMPLE / max(1, docs.count())), seed=1).select("text").mapInArrow(run, "token long")
+    seen = some.groupBy("token").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") >= FREQUENT).orderBy(F.desc("times"), "token").limit(MOST).collect()
+    token, times = np.array([r.token for r in seen], np.int64).view(np.uint64), np.array([r.times for r in seen], np.int64)
+    order = np.argsort(token)
+    return token[order], times[order]
+
+
+def _described(docs: DataFrame, words: int, num: int, den: int, frequent: Frequent) -> DataFrame:
+    """(id, n, sig1, sig2, tokens, bitmap) of each document; ``docs`` has id and text.
+
+    A set that cannot link with a different one has no tokens.
     """
-    zone = np.uint64(min((1 << 64) - 1, int((1 << 64) * 1.5 * (1 - num / den))))
-    most = -(-SMALL_SET * den // num)
-
-    def index(s: np.ndarray) -> tuple[int, int, np.ndarray, np.ndarray]:
-        n, none = s.size, s[:0]
-        p = n - -(-num * n // den) + 1
-        nz = int(np.searchsorted(s, zone))
-        if (den - num) * n < num:
-            return p, 0, none, none
-        keys = s[: max(nz, p + LEVELS)] ^ _SIGN if n > SMALL_SET else none  # in order as signed numbers, too
-        return p, nz, keys, mix(s ^ _SMALL) if n <= most else none
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             h, offs = shingle_hashes(*texts(b.column("text")), words)
             sets = [np.unique(h[a:e]) for a, e in zip(offs, offs[1:], strict=False)]
-            parts = [index(s) for s in sets]
-            sums = [(int(mix(s).sum(dtype=np.uint64)), int(mix(s ^ _SMALL).sum(dtype=np.uint64))) for s in sets]
+            size = np.array([s.size for s in sets], np.int64)
+            sums = [(int(mix(s).sum(dtype=np.uint64)), int(mix(s ^ _PART).sum(dtype=np.uint64))) for s in sets]
             sig = np.array(sums, np.uint64).reshape(-1, 2).view(np.int64)
-            ints = [pa.array([int(x) for x in v], pa.int64()) for v in ([s.size for s in sets], sig[:, 0], sig[:, 1], [x[0] for x in parts], [x[1] for x in parts])]
+            doc, token = part_tokens(np.concatenate(sets), size, num, den, frequent)
+            order = np.argsort(doc, kind="stable")
+            tokens = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[order], np.arange(size.size + 1)).astype(np.int32)), pa.array(token[order].view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), *ints, _lists([x[2] for x in parts]), _lists([x[3] for x in parts]), _lists([_bitmap(s) if s.size else s for s in sets])],
-                ["id", "n", "sig1", "sig2", "p", "nz", "keys", "small", "bitmap"],
+                [b.column("id"), pa.array(size), pa.array(sig[:, 0]), pa.array(sig[:, 1]), tokens, _lists([_bitmap(s) if s.size else s for s in sets])],
+                ["id", "n", "sig1", "sig2", "tokens", "bitmap"],
             )
 
-    return docs.select("id", "text").mapInArrow(run, "id long, n long, sig1 long, sig2 long, p long, nz long, keys array<long>, small array<long>, bitmap array<long>")
+    return docs.select("id", "text").mapInArrow(run, "id long, n long, sig1 long, sig2 long, tokens array<long>, bitmap array<long>")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -155,46 +204,32 @@ def _linked(inter: Column, n: Column, m: Column, num: int, den: int) -> Column:
     return den * inter >= num * (n + m - inter)
 
 
-def _prefixes(reps: DataFrame) -> DataFrame:
-    """(id, n, p, small, toks): the shingles of each set's prefix and some more that other sets
-    have as well, as (pos, key) in order; ``small`` tells the two indexes apart."""
-    late = F.when(F.col("i") < F.col("nz"), -1).otherwise(F.col("i") - F.col("nz")).cast("int").alias("late")
-    every = reps.select("id", "nz", F.posexplode("keys").alias("i", "key")).select("key", "id", late)
-    every = every.unionByName(reps.select(F.explode("small").alias("key"), "id", F.lit(-2).alias("late")))
-    # Keys that a sample shows to be frequent are counted before they move, and stay where they are; a window
-    # counts the others.  The sample decides where a key is counted, not how: either way is exact.
-    seen = every.sample(1 / 32, seed=1)
-    often = seen.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") > 8 + seen.count() // HOT_PARTS)
-    often = F.broadcast(settle(often.select("key")))  # fewer than HOT_PARTS keys
-    hot = every.join(often, "key", "left_semi")
-    hot = hot.join(F.broadcast(hot.groupBy("key").agg(F.count(F.lit(1)).alias("cnt"))), "key")
-    cold = every.join(often, "key", "left_anti").withColumn("cnt", F.count(F.lit(1)).over(Window.partitionBy("key")))
-    shared = hot.unionByName(cold).where("cnt > 1")
-    behind = F.col("late") >= 0
-    tok = F.struct(behind.alias("behind"), F.when(behind, 0).otherwise(F.col("cnt")).alias("cnt"), "key", "late")
-    # dealt by id alone, the rows meet both the grouping and the join; lists would move once more for the join
-    sets = shared.repartition("id").groupBy("id", (F.col("late") == -2).alias("small")).agg(F.sort_array(F.collect_list(tok)).alias("all"), F.count_if(~behind).alias("early"))
-    sets = sets.join(reps.select("id", "n", "p", "nz"), "id")
-    alone = F.when(F.col("small"), F.col("n")).otherwise(F.col("nz")) - F.col("early")  # in the zone, and in this set only
-    place = F.transform("all", lambda t, i: F.struct(F.when(t["late"] >= 0, F.col("nz") + t["late"]).otherwise(alone + i).alias("pos"), t["key"].alias("key")))
-    return sets.select("id", "n", "p", "small", F.filter(place, lambda t: t["pos"] < F.col("p") + LEVELS).alias("toks"))
+def _shared(reps: DataFrame, frequent: Frequent) -> DataFrame:
+    """(token, id, n, cnt): the tokens that ``cnt`` sets have, two at least."""
+    every = reps.select(F.explode("tokens").alias("token"), "id", "n")
+    # The most frequent ones are counted before they move, and stay where they are; a window counts the others.
+    top = np.sort(frequent[0][np.argsort(-frequent[1], kind="stable")[: HOT_PARTS - 1]].view(np.int64))
+    often = F.broadcast(reps.sparkSession.createDataFrame([(int(x),) for x in top], "token long"))
+    hot = every.join(often, "token", "left_semi")
+    hot = hot.join(F.broadcast(hot.groupBy("token").agg(F.count(F.lit(1)).alias("cnt"))), "token")
+    cold = every.join(often, "token", "left_anti").withColumn("cnt", F.count(F.lit(1)).over(Window.partitionBy("token")))
+    return hot.unionByName(cold).where("cnt > 1")
 
 
 def _short_pairs(lists: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, na, b, nb) of short lists; ``all`` has (n, rest, id) by size, ``rest`` being what
-    the entry's position leaves for the overlap."""
+    """Pairs (a, na, b, nb) of short lists; ``all`` has (n, id) by size."""
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             size = b.column("all").value_lengths().to_numpy(zero_copy_only=False)
             flat = b.column("all").flatten()
-            n, rest, ids = (flat.field(k).to_numpy() for k in ("n", "rest", "id"))
+            n, ids = (flat.field(k).to_numpy() for k in ("n", "id"))
             left = np.repeat(np.cumsum(size), size) - np.arange(n.size)  # entries of the list from here on
             out = []
             for gap in range(1, int(size.max(initial=0))):
                 i = np.flatnonzero(left > gap)
                 j = i + gap
-                ok = (num * n[j] <= den * n[i]) & ((num + den) * np.minimum(rest[i], rest[j]) >= num * (n[i] + n[j]))
+                ok = num * n[j] <= den * n[i]
                 out.append((i[ok], j[ok]))
             i, j = (np.concatenate([np.zeros(0, np.int64), *(o[k] for o in out)]) for k in range(2))
             yield _pairs(ids, n, i, ids, n, j)
@@ -212,28 +247,21 @@ def _pairs(ids: np.ndarray, n: np.ndarray, i: np.ndarray, ids2: np.ndarray, n2:
 
 
 def _block_pairs(long: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of long lists, made block by block: (shingle, a range of sizes, a part of its entries)."""
+    """Pairs of long lists, made block by block: (token, a range of sizes, a part of its entries)."""
     step = F.floor(F.log(F.col("n")) / F.log(F.lit(den / num))).cast("int").alias("step")
     part = F.pmod(F.xxhash64("id"), F.ceil(F.col("cnt") / BLOCK)).alias("part")
-    blocks = long.select("shingle", step, part, F.struct((-F.col("rest")).alias("less"), "n", "id").alias("e")).groupBy("shingle", "step", "part")
-    blocks = blocks.agg(F.sort_array(F.collect_list("e")).alias("all"), F.min("e.n").alias("low"), F.max("e.n").alias("high"), F.max(-F.col("e.less")).alias("rest"))
-    blocks = settle(blocks)
+    blocks = long.select("token", step, part, F.struct("n", "id").alias("e")).groupBy("token", "step", "part")
+    blocks = settle(blocks.agg(F.collect_list("e").alias("all"), F.min("e.n").alias("low"), F.max("e.n").alias("high")))
     # sets that link are in the same step or in neighbouring ones
-    one = blocks.select("shingle", *[F.col(c).alias(f"x_{c}") for c in ("step", "part", "all", "low", "high", "rest")])
-    two = blocks.select("shingle", *[F.col(c).alias(f"y_{c}") for c in ("step", "part", "all", "low", "high", "rest")]).withColumn("x_step", F.explode(F.array("y_step", F.col("y_step") - 1)))
-    room = (num + den) * F.least("x_rest", "y_rest") >= num * (F.col("x_low") + F.col("y_low"))
-    both = one.join(two, ["shingle", "x_step"]).where(((F.col("x_step") < F.col("y_step")) | (F.col("x_part") <= F.col("y_part"))) & room & (num * F.col("y_low") <= den * F.col("x_high")))
+    one = blocks.select("token", *[F.col(c).alias(f"x_{c}") for c in ("step", "part", "all", "low", "high")])
+    two = blocks.select("token", *[F.col(c).alias(f"y_{c}") for c in ("step", "part", "all", "low", "high")]).withColumn("x_step", F.explode(F.array("y_step", F.col("y_step") - 1)))
+    both = one.join(two, ["token", "x_step"]).where(((F.col("x_step") < F.col("y_step")) | (F.col("x_part") <= F.col("y_part"))) & (num * F.col("y_low") <= den * F.col("x_high")))
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
-                (lx, nx, ix), (ly, ny, iy) = ([b.column(c)[k].values.field(f).to_numpy() for f in ("less", "n", "id")] for c in ("x_all", "y_all"))
-                # by position: entries after the first that leaves too little are skipped
-                x = int(np.searchsorted(lx, -(num * (nx.min() + ny.min())) / (num + den), "right"))
-                y = int(np.searchsorted(ly, -(num * (nx.min() + ny.min())) / (num + den), "right"))
-                need = num * (nx[:x, None] + ny[None, :y])
-                ok = ((num + den) * np.minimum(-lx[:x, None], -ly[None, :y]) >= need) & (num * np.maximum(nx[:x, None], ny[None, :y]) <= den * np.minimum(nx[:x, None], ny[None, :y]))
-                i, j = np.nonzero(ok)
+                (nx, ix), (ny, iy) = ([b.column(c)[k].values.field(f).to_numpy() for f in ("n", "id")] for c in ("x_all", "y_all"))
+                i, j = np.nonzero(num * np.maximum(nx[:, None], ny[None, :]) <= den * np.minimum(nx[:, None], ny[None, :]))
                 yield _pairs(ix, nx, i, iy, ny, j)
 
     return both.select("x_all", "y_all").repartition(F.xxhash64("x_all", "y_all")).mapInArrow(pair, "a long, na long, b long, nb long")
@@ -257,7 +285,8 @@ def _with(pairs: DataFrame, side: DataFrame, value: str) -> DataFrame:
 def links(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """Members (id, n, rep) and enough links (a, b) between representatives to connect every
     two that are connected by links; each is a link.  ``docs`` has id and text, no nulls."""
-    base = settle(_described(docs, words, num, den))
+    frequent = _frequent(docs, words, num, den)
+    base = settle(_described(docs, words, num, den, frequent))
     sig = ["sig1", "sig2", "n"]
     classes = base.where("n > 0").groupBy(*sig).agg(F.min("id").alias("rep"))
     members = base.select("id", *sig).join(classes, sig, "left").select("id", *sig, F.coalesce("rep", "id").alias("rep"))
@@ -265,12 +294,8 @@ def links(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, D
     copies = members.where("id != rep").select("id", *sig)
     copies = bounded_broadcast(copies, copies.count())
     reps = base.where(f"n > 0 and {den - num} * n >= {num}").join(copies, ["id", *sig], "left_anti")
-    reps = settle(reps.select("id", "n", "p", "nz", "keys", "small", "bitmap"))
     bitmaps = reps.select("id", "bitmap")
-    prefixes = settle(_prefixes(reps))
-    tok = F.col("tok")
-    entries = prefixes.select("id", "n", "p", "small", F.explode("toks").alias("tok")).where(tok["pos"] < F.col("p"))
-    entries = entries.select("id", "n", "small", tok["pos"].alias("pos"), tok["key"].alias("shingle"), (F.col("n") - tok["pos"]).alias("rest"))
+    hits = settle(_shared(reps, frequent))
 
     near = max(1 - 3 * (1 - num / den), 0.5)
     zone = near - (1 - num / den)
@@ -279,16 +304,22 @@ def links(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, D
     stars: list[DataFrame] = []
     around: list[DataFrame] = []
     for turn in range(PIVOTS + LEVELS + 1):
-        level = max(0, turn - PIVOTS)  # shingles in a list's name but one
-        tail = F.col("n") - F.ceil(num * F.col("n") / F.lit(float(den))) + 1 + level - F.col("pos")
-        stats = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("cnt"), F.min(F.struct("id", "n")).alias("p"), F.sum(tail).alias("tail")).where("cnt > 1").select("shingle", "cnt", "tail", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n"))
-        hits = settle(entries.join(stats, "shingle"))
-        block = ("shingle", "n", "rest", "id", "cnt")
-        short.append(hits.where(F.col("cnt") <= SHORT_LIST).select("shingle", "n", "rest", "id"))
+        if turn:
+            counts = entries.groupBy("token").agg(F.count(F.lit(1)).alias("cnt")).where("cnt > 1")
+            hits = settle(entries.join(counts, "token"))
+        short.append(hits.where(F.col("cnt") <= SHORT_LIST).select("token", "n", "id"))
         long = hits.where(F.col("cnt") > SHORT_LIST)
-        if turn == PIVOTS + LEVELS:
-            blocks.append(long.select(*block))
+        if turn >= PIVOTS:
+            done_with = (F.col("cnt") <= BLOCK) | F.lit(turn == PIVOTS + LEVELS)
+            blocks.append(long.where(done_with).select("token", "n", "id", "cnt"))
+            long = long.where(~done_with)
+        if long.isEmpty():
             break
+        # those whose lists are longest: the middle of a group of near copies is the pivot of all its lists
+        weight = long.groupBy("id").agg(F.sum("cnt").alias("weight"))
+        stats = long.join(weight, "id").groupBy("token").agg(F.max(F.struct("weight", -F.col("id"), "id", "n")).alias("p")).select("token", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n"))
+        stats = settle(stats)
+        long = settle(long.join(bounded_broadcast(stats, stats.count()), "token"))
         star = long.where("id != pivot").select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("pivot").alias("b"), F.col("pivot_n").alias("nb")).distinct()
         for s in stars:  # compared before
             star = star.join(s, ["a", "na", "b", "nb"], "left_anti")
@@ -299,28 +330,20 @@ def links(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, D
         bound = (F.col("na") + F.col("nb") - _distance(F.col("a_bitmap"), F.col("b_bitmap"))) / 2
         close = settle(close.where(bound >= zone * (F.col("na") + F.col("nb") - bound)).select("a", "na", "b", "nb"))
         found = _with(close, settle(_sets(docs, close.select(F.explode(F.array("a", "b")).alias("id")), words)), "set")
+        found = found.where((F.size("a_set") == F.col("na")) & (F.size("b_set") == F.col("nb")))  # an id may have several sets
         found = found.select("a", "na", "b", "nb", F.array_except("b_set", "a_set").alias("less"), F.array_except("a_set", "b_set").alias("more"))
         inter = F.col("nb") - F.size("less")
         like = inter / (F.col("na") + F.col("nb") - inter)
         found = found.withColumn("like", like).withColumn("cost", den * F.size("less") + num * F.size("more")).where(F.col("like") >= zone)
         found = settle(found.select("a", "na", "b", "nb", "like", "cost", F.concat("less", "more").alias("diff")))
         around.append(found)
-        done = reduce(DataFrame.unionByName, around).where(F.col("like") >= near).select(F.col("a").alias("id"), F.col("b").alias("pivot"))
-        far = long.where("id != pivot").join(done, ["id", "pivot"], "left_anti")
-        if turn < PIVOTS:
-            entries = settle(far.select("id", "n", "small", "pos", "shingle", "rest"))
-            if entries.isEmpty():
-                break
-            continue
-        cheap = F.col("cnt") * F.col("cnt") <= 2 * F.col("tail")
-        blocks.append(far.where(cheap).select(*block))
-        # lists of one shared shingle more; the last one stands before p + level + 1
-        more = far.where(~cheap).select("id", "small", "pos", "shingle").join(prefixes, ["id", "small"]).select("id", "n", "small", "shingle", F.explode(F.filter("toks", lambda t, at=level + 1: (t["pos"] > F.col("pos")) & (t["pos"] < F.col("p") + at))).alias("tok"))
-        entries = settle(more.select("id", "n", "small", tok["pos"].alias("pos"), F.xxhash64("shingle", tok["key"]).alias("shingle"), (F.col("n") - tok["pos"] + level + 1).alias("rest")))
+        done = reduce(DataFrame.unionByName, around).where(F.col("like") >= near).select(F.col("a").alias("id"), F.col("na").alias("n"), F.col("b").alias("pivot"), F.col("nb").alias("pivot_n"))
+        far = long.where("id != pivot").join(done, ["id", "n", "pivot", "pivot_n"], "left_anti")
+        entries = settle(far.select("token", "id", "n"))
         if entries.isEmpty():
             break
 
-    lists = reduce(DataFrame.unionByName, short).groupBy("shingle").agg(F.sort_array(F.collect_list(F.struct("n", "rest", "id"))).alias("all"))
+    lists = reduce(DataFrame.unionByName, short).groupBy("token").agg(F.sort_array(F.collect_list(F.struct("n", "id"))).alias("all"))
     every = _short_pairs(lists.select("all"), num, den)
     if blocks:
         every = every.unionByName(_block_pairs(reduce(DataFrame.unionByName, blocks), num, den))
@@ -338,20 +361,26 @@ def links(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, D
 
 
 def _by_differences(found: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs around one pivot of which at least one isn't linked to it and that may link."""
-    free = (den - num) * F.col("nb")
-    out = F.col("cost") > free
-    least = F.ceil(F.when(out, F.col("cost") - free).otherwise(F.col("cost") + 1) / F.lit(float(den + num))).cast("int")
-    rows = found.select("a", "na", "b", "nb", "cost", "diff", out.alias("out"), (F.size("diff") - least + 1).alias("keep")).where("keep > 0")
-    each = rows.select("a", "b", "keep", "out", F.explode("diff").alias("element"))
+    """Pairs around one pivot of which at least one isn't linked to it and that may link.
+
+    The costlier set of a pair isn't linked to the pivot.  It looks for the other one by all elements that may be the first
+    that they share; the other one, since its partner costs as much at least, is found by fewer.
+    """
+    cost, free = F.col("cost"), (den - num) * F.col("nb")
+    out = cost > free
+    prefix_for = lambda least: F.size("diff") - F.ceil(least / F.lit(float(den + num))).cast("int") + 1
+    rows = found.select("a", "na", "b", "nb", "cost", "diff", out.alias("out"), prefix_for(F.greatest(cost, free + 1) + cost - free).alias("keep"), F.when(out, prefix_for(cost - free)).otherwise(0).alias("look"))
+    rows = rows.where("keep > 0 or look > 0")
+    each = rows.select("a", "b", F.greatest("keep", "look").alias("most"), "out", F.explode("diff").alias("element"))
     counts = each.groupBy("b", "element").agg(F.count(F.lit(1)).alias("cnt"), F.max("out").alias("any_out"))
-    ordered = each.join(counts, ["b", "element"]).groupBy("a", "b", "keep").agg(F.sort_array(F.collect_set(F.struct("cnt", "element", "any_out"))).alias("all"))
-    prefix = ordered.select("a", "b", F.explode(F.slice("all", F.lit(1), F.col("keep"))).alias("e")).where("e.cnt > 1 and e.any_out")
-    prefix = prefix.join(rows.select("a", "na", "b", "nb", "cost", "out", F.size("diff").alias("size")), ["a", "b"]).withColumn("element", F.col("e.element"))
-    one = prefix.where("out").select("b", "element", "nb", *[F.col(c).alias(f"x_{c}") for c in ("a", "na", "cost", "size")])
-    two = prefix.select("b", "element", *[F.col(c).alias(f"y_{c}") for c in ("a", "na", "cost", "size", "out")])
-    room = (den + num) * F.least("x_size", "y_size") >= F.col("x_cost") + F.col("y_cost") - (den - num) * F.col("nb")
-    pairs = one.join(two, ["b", "element"]).where(room & ((F.col("x_a") < F.col("y_a")) | (~F.col("y_out") & (F.col("x_a") != F.col("y_a")))))
+    ordered = each.join(counts, ["b", "element"]).groupBy("a", "b", "most").agg(F.sort_array(F.collect_set(F.struct("cnt", "element", "any_out"))).alias("all"))
+    prefix = ordered.select("a", "b", F.posexplode(F.slice("all", F.lit(1), F.col("most"))).alias("at", "e")).where("e.cnt > 1 and e.any_out")
+    prefix = prefix.join(rows.select("a", "na", "b", "nb", "cost", "keep", "look", F.size("diff").alias("size")), ["a", "b"]).withColumn("element", F.col("e.element")).withColumn("rest", F.col("size") - F.col("at"))
+    one = prefix.where("at < look").select("b", "element", "nb", *[F.col(c).alias(f"x_{c}") for c in ("a", "na", "cost", "rest")])
+    two = prefix.where("at < keep").select("b", "element", *[F.col(c).alias(f"y_{c}") for c in ("a", "na", "cost", "rest")])
+    room = (den + num) * F.least("x_rest", "y_rest") >= F.col("x_cost") + F.col("y_cost") - (den - num) * F.col("nb")
+    turn = (F.col("x_cost") > F.col("y_cost")) | ((F.col("x_cost") == F.col("y_cost")) & (F.col("x_a") < F.col("y_a")))
+    pairs = one.join(two, ["b", "element"]).where(room & turn)
     first = F.col("x_a") < F.col("y_a")
     pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
     return pairs.select(pick("x_a", "y_a").alias("a"), pick("x_na", "y_na").alias("na"), pick("y_a", "x_a").alias("b"), pick("y_na", "x_na").alias("nb"))

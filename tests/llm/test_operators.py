@@ -7,6 +7,7 @@ import re
 import textwrap
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,6 +131,56 @@ def test_a_shingle_of_thousands_of_unlike_sets_makes_few_pairs(spark, monkeypatc
     assert max(made) < 3 * n
 
 
+@pytest.mark.parametrize(("num", "small"), [(90, 64), (80, 64), (80, 0), (60, 20)])
+def test_sets_that_link_share_a_token(monkeypatch, num, small):
+    """For sets of all sizes, at the edge of linking, whatever is said to be frequent."""
+    monkeypatch.setattr(ngram_join, "SMALL_SET", small)
+    rng = np.random.default_rng(num + small)
+    sets = []
+    for n in [*range(2, 140), 255, 256, 257, 511, 900]:
+        base = rng.integers(0, 1 << 64, 2 * n + 2, np.uint64)
+        for lacks in range(int(n * (100 - num) / 100) + 1):
+            both = n - lacks
+            adds = 100 * both // num - n  # the most that the other set may have beside what they share
+            if adds >= 0 and lacks + adds:
+                sets += [np.unique(base[:n]), np.unique(np.concatenate([base[:both], base[n : n + adds]]))]
+    size = np.array([s.size for s in sets])
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    all_tokens = np.unique(ngram_join.part_tokens(np.concatenate(sets), size, num, 100, none)[1])
+    some_tokens = all_tokens[rng.random(all_tokens.size) < 0.3]
+    for frequent in (none, (some_tokens, rng.integers(4, 99, some_tokens.size))):
+        doc, token = ngram_join.part_tokens(np.concatenate(sets), size, num, 100, frequent)
+        held = defaultdict(set)
+        for d, t in zip(doc.tolist(), token.tolist(), strict=True):
+            held[d].add(t)
+        for k in range(0, len(sets), 2):
+            inter = np.intersect1d(sets[k], sets[k + 1]).size
+            assert 100 * inter >= num * (size[k] + size[k + 1] - inter)
+            assert held[k] & held[k + 1], (size[k], size[k + 1], inter)
+        assert doc.size < 3 * (sum(size) * (100 - num) / num + size.size)
+
+
+def test_near_copies_that_do_not_link_make_few_pairs(spark, monkeypatch):
+    """Copies of one text with three to six words changed: two link only if they share most changes."""
+    made = []
+    real = ngram_join._by_differences
+    monkeypatch.setattr(ngram_join, "_by_differences", lambda *a: made.append(real(*a).count()) or real(*a))
+    rng = random.Random(7)
+    base = [f"w{k}" for k in range(150)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 300):
+        words = list(base)
+        for at in rng.sample(range(2, 148), rng.randint(3, 6)):
+            words[at] = f"x{rng.randrange(5000)}"
+        rows.append((i, " ".join(words)))
+    rows += [(i + 1000, f"{t} end") for i, t in rows[1:6]]
+    got = {r.doc_id: r.component_id for r in ngram_join.components(table(spark, rows), 3, 90, 100).collect()}
+    sets = {i: {tuple(w[k : k + 3]) for k in range(len(w) - 2)} for i, w in ((i, t.split()) for i, t in rows)}
+    want = {i: min(j for j in sets if 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j])) for i in sets}
+    assert got == want
+    assert sum(made) < 2 * len(rows)
+
+
 def test_texts_of_a_repeating_pattern_are_told_apart(spark):
     """Thue-Morse words: equal sums under powers of any base modulo 2^64."""
     text = "a"
