@@ -13,8 +13,9 @@ Tokens of empty parts come last.  The sample decides on the order only: any orde
 A pair meets in the range of its larger set; a set that may be the smaller one of a pair in the next range
 is in both.  Tokens that one set only has are left out.
 
-* In a long list one set is the pivot, and all others are compared with it only.  It is the one whose
-  lists are longest, so that the lists of a group of near copies have the same one, from its middle.
+* A long list has a pivot, and all its sets are compared with it only.  It is the one whose
+  lists are longest, by a vote of the list's sets, so that the lists of a group of near copies have the same one,
+  from its middle, whether or not it is in the list.
   What a set lacks (R) and adds (A) against the pivot gives its answers from the pivot's: with
   cost c = den*|R| + num*|A| and s = |R∩R'| + |A∩A'|, two sets link exactly if
   (den+num)*s >= c + c' - (den-num)*|pivot|.  Sets with c <= (den-num)*|pivot| link to the pivot;
@@ -23,7 +24,8 @@ is in both.  Tokens that one set only has are left out.
   A group of near copies thus needs a number of comparisons in proportion to
   its size, and only pairs of which one is not linked to the pivot are ever made.
 * Sets far from their pivot get another one, PIVOTS in all and LEVELS more in lists that are longer than
-  a block.  What is left is paired block by block (a range of sizes, a part of its entries).
+  a block.  What is left gets a last one, and the join on elements of R and A finds its links, however far the
+  sets are from it: the elements are counted, so those that only a few have come first.
 
 Parity bitmaps give a bound on the overlap that drops most pairs before their sets are
 compared; then the exact overlap decides.  Sets are of 64-bit hashes of shingles.
@@ -51,7 +53,7 @@ LEVELS = 2
 SPARE = 1.6
 #: Ranges that begin up to this size have twice as many parts: chance leaves more of theirs empty.
 SMALL_SET = 64
-#: Entries in a block of a long list, about.
+#: Lists up to this length get no more pivots than PIVOTS and the last one.
 BLOCK = 256
 #: Documents, about, that show which tokens are frequent; as many of them as make a token so; such tokens at most.
 SAMPLE, FREQUENT, MOST = 20_000, 4, 50_000
@@ -93,9 +95,9 @@ def _bitmap(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
-def part_tokens(s: np.ndarray, size: np.ndarray, num: int, den: int, frequent: Frequent) -> tuple[np.ndarray, np.ndarray]:
+def part_tokens(s: np.ndarray, size: np.ndarray, num: int, den: int, frequent: Frequent, every: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(set, token) of the tokens by which sets are found; ``s`` has the sorted sets one after another, of
-    ``size`` shingles each, ``frequent`` the tokens that come late, ascending, and how often each was seen."""
+    ``size`` shingles each, ``frequent`` the tokens that come late, ascending, and how often each was seen.  ``every``: the tokens of all parts, in any order."""
     n = size.astype(np.int64)
     up = den * n // num  # the largest set that it may link with
     able = (den - num) * n >= num
@@ -119,6 +121,9 @@ def part_tokens(s: np.ndarray, size: np.ndarray, num: int, den: int, frequent: F
         d, part, held = o[at], part[at], np.diff(np.append(at, o.size))
         name = lambda k, g: mix((k << np.uint64(6)) + g.astype(np.uint64) + np.uint64(1 << 60))
         token = mix(np.add.reduceat(v, at) + name(part, g[d]))
+        if every:
+            out.append((d, token))
+            continue
         lacks = [(k, np.setdiff1d(np.arange(parts[k]).astype(np.uint64), part[d == k])) for k in np.flatnonzero(use & (np.bincount(d, minlength=n.size) <= differ))]
         for k, empty in lacks:
             token = np.append(token, mix(name(empty, g[k])))
@@ -135,14 +140,17 @@ def part_tokens(s: np.ndarray, size: np.ndarray, num: int, den: int, frequent: F
 
 
 def _frequent(docs: DataFrame, words: int, num: int, den: int) -> Frequent:
-    """Tokens that several documents of a sample have, ascending, and their counts there."""
+    """Tokens that several documents of a sample have, ascending, and their counts there.
+
+    Those of all parts count: which of them come first is known only afterwards.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for b in slices(batches, "text"):
             h, offs = shingle_hashes(*texts(b.column("text")), words)
             sets = [np.unique(h[a:e]) for a, e in zip(offs, offs[1:], strict=False)]
-            token = part_tokens(np.concatenate(sets), np.array([s.size for s in sets]), num, den, none)[1]
+            token = part_tokens(np.concatenate(sets), np.array([s.size for s in sets]), num, den, none, every=True)[1]
             yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64))], ["token"])
 
     some = docs.sample(min(1.0, SAMPLE / max(1, docs.count())), seed=1).select("text").mapInArrow(run, "token long")
@@ -246,27 +254,6 @@ def _pairs(ids: np.ndarray, n: np.ndarray, i: np.ndarray, ids2: np.ndarray, n2:
     return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], ["a", "na", "b", "nb"])
 
 
-def _block_pairs(long: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of long lists, made block by block: (token, a range of sizes, a part of its entries)."""
-    step = F.floor(F.log(F.col("n")) / F.log(F.lit(den / num))).cast("int").alias("step")
-    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("cnt") / BLOCK)).alias("part")
-    blocks = long.select("token", step, part, F.struct("n", "id").alias("e")).groupBy("token", "step", "part")
-    blocks = settle(blocks.agg(F.collect_list("e").alias("all"), F.min("e.n").alias("low"), F.max("e.n").alias("high")))
-    # sets that link are in the same step or in neighbouring ones
-    one = blocks.select("token", *[F.col(c).alias(f"x_{c}") for c in ("step", "part", "all", "low", "high")])
-    two = blocks.select("token", *[F.col(c).alias(f"y_{c}") for c in ("step", "part", "all", "low", "high")]).withColumn("x_step", F.explode(F.array("y_step", F.col("y_step") - 1)))
-    both = one.join(two, ["token", "x_step"]).where(((F.col("x_step") < F.col("y_step")) | (F.col("x_part") <= F.col("y_part"))) & (num * F.col("y_low") <= den * F.col("x_high")))
-
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(b.num_rows):
-                (nx, ix), (ny, iy) = ([b.column(c)[k].values.field(f).to_numpy() for f in ("n", "id")] for c in ("x_all", "y_all"))
-                i, j = np.nonzero(num * np.maximum(nx[:, None], ny[None, :]) <= den * np.minimum(nx[:, None], ny[None, :]))
-                yield _pairs(ix, nx, i, iy, ny, j)
-
-    return both.select("x_all", "y_all").repartition(F.xxhash64("x_all", "y_all")).mapInArrow(pair, "a long, na long, b long, nb long")
-
-
 def _with(pairs: DataFrame, side: DataFrame, value: str) -> DataFrame:
     """``pairs``, which are settled, with the value of a and of b, as a_value and b_value.
 
@@ -282,6 +269,37 @@ def _with(pairs: DataFrame, side: DataFrame, value: str) -> DataFrame:
     return bounded_broadcast(pairs, n).join(of("a"), "a").join(of("b"), "b")
 
 
+def _pivots(long: DataFrame) -> DataFrame:
+    """(token, pivot, pivot_n) of each list.
+
+    A set prefers, of those whose lists are longest in its lists, the one whose are longest of all, and a list takes what
+    most of its sets prefer, in the list or not: so the middle of a group of near copies is the pivot of all its lists,
+    also of those that its own prefix doesn't reach.
+    """
+    weight = long.groupBy("id").agg(F.sum("cnt").alias("weight"))
+    best = settle(long.join(weight, "id").groupBy("token").agg(F.max(F.struct("weight", -F.col("id"), "id", "n")).alias("p")))
+    liked = long.join(bounded_broadcast(best, best.count()), "token").groupBy("id", "n").agg(F.max("p").alias("p"))
+    votes = long.join(liked, ["id", "n"]).groupBy("token", "p").agg(F.count(F.lit(1)).alias("votes"))
+    most = votes.groupBy("token").agg(F.max(F.struct("votes", "p")).alias("v"))
+    return most.select("token", F.col("v.p.id").alias("pivot"), F.col("v.p.n").alias("pivot_n"))
+
+
+def _star(long: DataFrame) -> DataFrame:
+    """(a, na, b, nb): each set with the pivots of its lists."""
+    return long.where("id != pivot or n != pivot_n").select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("pivot").alias("b"), F.col("pivot_n").alias("nb")).distinct()
+
+
+def _differences(docs: DataFrame, star: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """(a, na, b, nb, like, cost, diff) of sets and their pivots in ``star``, which is settled."""
+    found = _with(star, settle(_sets(docs, star.select(F.explode(F.array("a", "b")).alias("id")), words)), "set")
+    found = found.where((F.size("a_set") == F.col("na")) & (F.size("b_set") == F.col("nb")))  # an id may have several sets
+    found = found.select("a", "na", "b", "nb", F.array_except("b_set", "a_set").alias("less"), F.array_except("a_set", "b_set").alias("more"))
+    inter = F.col("nb") - F.size("less")
+    like = inter / (F.col("na") + F.col("nb") - inter)
+    found = found.withColumn("like", like).withColumn("cost", den * F.size("less") + num * F.size("more"))
+    return found.select("a", "na", "b", "nb", "like", "cost", F.concat("less", "more").alias("diff"))
+
+
 def links(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """Members (id, n, rep) and enough links (a, b) between representatives to connect every
     two that are connected by links; each is a link.  ``docs`` has id and text, no nulls."""
@@ -300,7 +318,7 @@ def links(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, D
     near = max(1 - 3 * (1 - num / den), 0.5)
     zone = near - (1 - num / den)
     short: list[DataFrame] = []
-    blocks: list[DataFrame] = []
+    left: list[DataFrame] = []
     stars: list[DataFrame] = []
     around: list[DataFrame] = []
     for turn in range(PIVOTS + LEVELS + 1):
@@ -311,16 +329,13 @@ def links(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, D
         long = hits.where(F.col("cnt") > SHORT_LIST)
         if turn >= PIVOTS:
             done_with = (F.col("cnt") <= BLOCK) | F.lit(turn == PIVOTS + LEVELS)
-            blocks.append(long.where(done_with).select("token", "n", "id", "cnt"))
+            left.append(long.where(done_with).select("token", "n", "id", "cnt"))
             long = long.where(~done_with)
         if long.isEmpty():
             break
-        # those whose lists are longest: the middle of a group of near copies is the pivot of all its lists
-        weight = long.groupBy("id").agg(F.sum("cnt").alias("weight"))
-        stats = long.join(weight, "id").groupBy("token").agg(F.max(F.struct("weight", -F.col("id"), "id", "n")).alias("p")).select("token", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n"))
-        stats = settle(stats)
+        stats = settle(_pivots(long))
         long = settle(long.join(bounded_broadcast(stats, stats.count()), "token"))
-        star = long.where("id != pivot").select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("pivot").alias("b"), F.col("pivot_n").alias("nb")).distinct()
+        star = _star(long)
         for s in stars:  # compared before
             star = star.join(s, ["a", "na", "b", "nb"], "left_anti")
         star = settle(star)
@@ -329,24 +344,25 @@ def links(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, D
         close = _with(star, bitmaps, "bitmap")
         bound = (F.col("na") + F.col("nb") - _distance(F.col("a_bitmap"), F.col("b_bitmap"))) / 2
         close = settle(close.where(bound >= zone * (F.col("na") + F.col("nb") - bound)).select("a", "na", "b", "nb"))
-        found = _with(close, settle(_sets(docs, close.select(F.explode(F.array("a", "b")).alias("id")), words)), "set")
-        found = found.where((F.size("a_set") == F.col("na")) & (F.size("b_set") == F.col("nb")))  # an id may have several sets
-        found = found.select("a", "na", "b", "nb", F.array_except("b_set", "a_set").alias("less"), F.array_except("a_set", "b_set").alias("more"))
-        inter = F.col("nb") - F.size("less")
-        like = inter / (F.col("na") + F.col("nb") - inter)
-        found = found.withColumn("like", like).withColumn("cost", den * F.size("less") + num * F.size("more")).where(F.col("like") >= zone)
-        found = settle(found.select("a", "na", "b", "nb", "like", "cost", F.concat("less", "more").alias("diff")))
+        found = settle(_differences(docs, close, words, num, den).where(F.col("like") >= zone))
         around.append(found)
         done = reduce(DataFrame.unionByName, around).where(F.col("like") >= near).select(F.col("a").alias("id"), F.col("na").alias("n"), F.col("b").alias("pivot"), F.col("nb").alias("pivot_n"))
-        far = long.where("id != pivot").join(done, ["id", "n", "pivot", "pivot_n"], "left_anti")
+        far = long.where("id != pivot or n != pivot_n").join(done, ["id", "n", "pivot", "pivot_n"], "left_anti")
         entries = settle(far.select("token", "id", "n"))
         if entries.isEmpty():
             break
 
     lists = reduce(DataFrame.unionByName, short).groupBy("token").agg(F.sort_array(F.collect_list(F.struct("n", "id"))).alias("all"))
     every = _short_pairs(lists.select("all"), num, den)
-    if blocks:
-        every = every.unionByName(_block_pairs(reduce(DataFrame.unionByName, blocks), num, den))
+    if left:
+        rest = settle(reduce(DataFrame.unionByName, left))
+        if not rest.isEmpty():
+            # whatever is not like its pivot is found by differences, too
+            stats = settle(_pivots(rest))
+            star = _star(rest.join(bounded_broadcast(stats, stats.count()), "token"))
+            for s in around:
+                star = star.join(s, ["a", "na", "b", "nb"], "left_anti")
+            around.append(settle(_differences(docs, settle(star), words, num, den)))
     if around:
         found = reduce(DataFrame.unionByName, around)
         every = every.unionByName(_by_differences(found, num, den))
@@ -371,16 +387,16 @@ def _by_differences(found: DataFrame, num: int, den: int) -> DataFrame:
     prefix_for = lambda least: F.size("diff") - F.ceil(least / F.lit(float(den + num))).cast("int") + 1
     rows = found.select("a", "na", "b", "nb", "cost", "diff", out.alias("out"), prefix_for(F.greatest(cost, free + 1) + cost - free).alias("keep"), F.when(out, prefix_for(cost - free)).otherwise(0).alias("look"))
     rows = rows.where("keep > 0 or look > 0")
-    each = rows.select("a", "b", F.greatest("keep", "look").alias("most"), "out", F.explode("diff").alias("element"))
-    counts = each.groupBy("b", "element").agg(F.count(F.lit(1)).alias("cnt"), F.max("out").alias("any_out"))
-    ordered = each.join(counts, ["b", "element"]).groupBy("a", "b", "most").agg(F.sort_array(F.collect_set(F.struct("cnt", "element", "any_out"))).alias("all"))
-    prefix = ordered.select("a", "b", F.posexplode(F.slice("all", F.lit(1), F.col("most"))).alias("at", "e")).where("e.cnt > 1 and e.any_out")
-    prefix = prefix.join(rows.select("a", "na", "b", "nb", "cost", "keep", "look", F.size("diff").alias("size")), ["a", "b"]).withColumn("element", F.col("e.element")).withColumn("rest", F.col("size") - F.col("at"))
+    each = rows.select("a", "na", "b", "nb", F.greatest("keep", "look").alias("most"), "out", F.explode("diff").alias("element"))
+    counts = each.groupBy("b", "nb", "element").agg(F.count(F.lit(1)).alias("cnt"), F.max("out").alias("any_out"))
+    ordered = each.join(counts, ["b", "nb", "element"]).groupBy("a", "na", "b", "nb", "most").agg(F.sort_array(F.collect_set(F.struct("cnt", "element", "any_out"))).alias("all"))
+    prefix = ordered.select("a", "na", "b", "nb", F.posexplode(F.slice("all", F.lit(1), F.col("most"))).alias("at", "e")).where("e.cnt > 1 and e.any_out")
+    prefix = prefix.join(rows.select("a", "na", "b", "nb", "cost", "keep", "look", F.size("diff").alias("size")), ["a", "na", "b", "nb"]).withColumn("element", F.col("e.element")).withColumn("rest", F.col("size") - F.col("at"))
     one = prefix.where("at < look").select("b", "element", "nb", *[F.col(c).alias(f"x_{c}") for c in ("a", "na", "cost", "rest")])
-    two = prefix.where("at < keep").select("b", "element", *[F.col(c).alias(f"y_{c}") for c in ("a", "na", "cost", "rest")])
+    two = prefix.where("at < keep").select("b", "nb", "element", *[F.col(c).alias(f"y_{c}") for c in ("a", "na", "cost", "rest")])
     room = (den + num) * F.least("x_rest", "y_rest") >= F.col("x_cost") + F.col("y_cost") - (den - num) * F.col("nb")
     turn = (F.col("x_cost") > F.col("y_cost")) | ((F.col("x_cost") == F.col("y_cost")) & (F.col("x_a") < F.col("y_a")))
-    pairs = one.join(two, ["b", "element"]).where(room & turn)
+    pairs = one.join(two, ["b", "nb", "element"]).where(room & turn)
     first = F.col("x_a") < F.col("y_a")
     pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
     return pairs.select(pick("x_a", "y_a").alias("a"), pick("x_na", "y_na").alias("na"), pick("y_a", "x_a").alias("b"), pick("y_na", "x_na").alias("nb"))

@@ -181,6 +181,32 @@ def test_near_copies_that_do_not_link_make_few_pairs(spark, monkeypatch):
     assert sum(made) < 2 * len(rows)
 
 
+@pytest.mark.parametrize("sample", [20_000, 0])
+def test_near_copies_far_from_each_other_make_few_pairs(spark, monkeypatch, sample):
+    """Texts that share a long passage, and a text with ever more words changed; also if no token is known to be frequent."""
+    monkeypatch.setattr(ngram_join, "SAMPLE", sample)
+    made = []
+    real = ngram_join._with
+    monkeypatch.setattr(ngram_join, "_with", lambda pairs, side, value: made.append(pairs.count()) or real(pairs, side, value))
+    rng = random.Random(11)
+    passage = " ".join(f"p{k}" for k in range(70))
+    base = [f"w{k}" for k in range(150)]
+    n, texts = 250, []
+    for i in range(n):
+        texts.append(passage + " " + " ".join(f"o{i}x{k}" for k in range(75)))
+        words = list(base)
+        for at in rng.sample(range(150), rng.randint(12, 24)):
+            words[at] = f"x{i}x{at}"
+        texts.append(" ".join(words))
+    texts += [f"{t} end" for t in texts[:10]]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    linked = [(a, b) for b in range(len(sets)) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert linked == [(k, 2 * n + k) for k in range(10)]
+    got = {r.doc_id: r.component_id for r in ngram_join.components(table(spark, list(enumerate(texts)))).collect()}
+    assert got == {i: i - 2 * n if i >= 2 * n else i for i in range(len(texts))}
+    assert max(made) < 3 * len(texts)
+
+
 def test_texts_of_a_repeating_pattern_are_told_apart(spark):
     """Thue-Morse words: equal sums under powers of any base modulo 2^64."""
     text = "a"
