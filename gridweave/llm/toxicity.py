@@ -76,7 +76,8 @@ class Ftrl:
 
     def compact(self) -> tuple[np.ndarray, np.ndarray, float]:
         """Coordinates and values of the weights that aren't zero, and the bias."""
-        w = self.weights(np.arange(self.z.size)).astype(np.float32)
+        step = 1 << 16
+        w = np.concatenate([self.weights(np.arange(a, min(a + step, self.z.size))).astype(np.float32) for a in range(0, self.z.size, step)])
         keep = np.flatnonzero(w[:-1])
         return keep.astype(np.int32), w[keep], float(w[-1])
 
@@ -110,9 +111,10 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", rows: in
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), pa.array([low[s:e].tobytes() for s, e in zip(ends, ends[1:], strict=False)], pa.binary())], ["id", "y", "features"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = sorted((i, f, y) for b in batches for i, y, f in zip(*(b.column(k).to_pylist() for k in ("id", "y", "features")), strict=True))
+        # features stay where Arrow has them; an id has one row
+        got = sorted(((i, y, np.frombuffer(f.as_buffer(), np.int32)) for b in batches for i, y, f in zip(b.column("id").to_pylist(), b.column("y").to_pylist(), b.column("features"), strict=True)), key=lambda r: r[0])
         if got:
-            keep, values, bias = Ftrl().fit([(np.frombuffer(f, np.int32), y) for _, f, y in got]).compact()
+            keep, values, bias = Ftrl().fit([(f, y) for _, y, f in got]).compact()
             yield pa.RecordBatch.from_arrays([pa.array([keep.tobytes()], pa.binary()), pa.array([values.tobytes()], pa.binary()), pa.array([bias])], ["keep", "values", "bias"])
 
     # one task learns from the bounded sample, so the driver sees the compact weights only
